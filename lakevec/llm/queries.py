@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lakevec.llm.simhash import op2_simhash
+from lakevec.llm.substring import op9_substring_dedup
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
