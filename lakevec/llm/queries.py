@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lakevec.llm.bpe import op4_bpe
+from lakevec.llm.planes import op5_planes
 from lakevec.llm.simhash import op2_simhash
 from lakevec.llm.substring import op9_substring_dedup
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_bpe": op4_bpe,
+    "op5_planes": op5_planes,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
