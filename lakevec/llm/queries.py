@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from lakevec.llm.bpe import op4_bpe
+from lakevec.llm.langid import op7_langid
 from lakevec.llm.planes import op5_planes
+from lakevec.llm.quality import op6_quality
 from lakevec.llm.simhash import op2_simhash
 from lakevec.llm.substring import op9_substring_dedup
+from lakevec.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op5_planes": op5_planes,
+    "op6_quality": op6_quality,
+    "op7_langid": op7_langid,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
