@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lakevec.llm.bpe import op4_bpe
 from lakevec.llm.langid import op7_langid
+from lakevec.llm.pages import op8_html
 from lakevec.llm.planes import op5_planes
 from lakevec.llm.quality import op6_quality
 from lakevec.llm.simhash import op2_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_planes": op5_planes,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
+    "op8_html": op8_html,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
