@@ -19,6 +19,7 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,9 +31,8 @@ from pyspark.sql import DataFrame
 from lakevec.llm.shared import texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MAX_REMEMBERED = 600_000
+MAX_REMEMBERED = 500_000
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
-_NO_CUT = re.compile(r" (?![!-~\w])|(?<![!-~\w]) ")
 
 
 def byte_characters() -> list[str]:
@@ -67,20 +67,33 @@ def _library(vocabulary: str):
     return library, tokens
 
 
+class _Uncut(Exception):
+    """A piece begins or ends with something other than a visible character."""
+
+
 class _Remembered(dict):
-    """Ids by text; what is missing is worked out once. Emptied at ``limit`` entries, so memory stays bounded."""
+    """Ids by text; what is missing is worked out once. At ``limit`` entries the table becomes the old one, from which
+    texts still in use come back, and the old one before it goes: memory stays within two tables."""
 
     def __init__(self, find, limit: int = MAX_REMEMBERED):
         super().__init__()
-        self.find, self.limit = find, limit
+        self.find, self.limit, self.old = find, limit, {}
 
     def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.find(text)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self[text] = self.find(text)
+        self[text] = ids
         return ids
 
 
+def _visible(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum() or c == "_"
+
+
 class Codec:
     """Encoder and decoder of one vocabulary. Ids travel as little-endian unsigned 32-bit integers."""
 
@@ -97,25 +110,41 @@ class Codec:
     def _match(self, text: str) -> bytes:
         """One match of the pattern: its bytes as characters, merged by the library's model."""
         shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, text: str) -> bytes:
+        """Letters, and letters with a full stop or comma, need no pattern."""
+        if text.isalpha():
+            return self.match[text]
+        if text[-1:] in (".", ",") and text[:-1].isalpha():
+            return self.match[text[:-1]] + self.match[text[-1]]
         return b"".join([self.match[m] for m in self.split(text)])
 
     def _spaced(self, text: str) -> bytes:
-        """A piece that stands after one space. Letters, and letters with a full stop or comma, need no pattern."""
+        """A piece that stands after one space. One line break between visible characters is a match of its own."""
         if text.isalpha():
             return self.match[" " + text]
         if text[-1:] in (".", ",") and text[:-1].isalpha():
             return self.match[" " + text[:-1]] + self.match[text[-1]]
+        if not text or not _visible(text[0]) or not _visible(text[-1]):
+            raise _Uncut
+        above, line, below = text.partition("\n")
+        if line and "\n" not in below and _visible(above[-1]) and _visible(below[0]):
+            return self.spaced[above] + self.match[line] + self.piece[below]
         return self._piece(" " + text)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
         if not text:
             return b""
-        first, *rest = _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
-        return self.piece[first] + b"".join(map(self.spaced.__getitem__, rest))
+        first, *rest = text.split(" ")
+        try:
+            if not rest or first and _visible(first[-1]):
+                return self.piece[first] + b"".join(map(self.spaced.__getitem__, rest))
+        except _Uncut:
+            pass
+        first, *rest = _CUT.split(text)
+        return self.piece[first] + b"".join([self._piece(" " + p) if p and not (_visible(p[0]) and _visible(p[-1])) else self.spaced[p] for p in rest])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a run of ids; whole characters appear once their tokens stand together."""
