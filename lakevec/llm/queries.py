@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lakevec.llm.bpe import op4_bpe
 from lakevec.llm.langid import op7_langid
+from lakevec.llm.mpeg import op3_mpeg
 from lakevec.llm.pages import op8_html
 from lakevec.llm.planes import op5_planes
 from lakevec.llm.quality import op6_quality
@@ -13,6 +14,7 @@ from lakevec.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_mpeg": op3_mpeg,
     "op4_bpe": op4_bpe,
     "op5_planes": op5_planes,
     "op6_quality": op6_quality,
