@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lakevec.llm.bpe import op4_bpe
+from lakevec.llm.decontam import op1_decontam
 from lakevec.llm.langid import op7_langid
 from lakevec.llm.mpeg import op3_mpeg
 from lakevec.llm.pages import op8_html
@@ -13,6 +14,7 @@ from lakevec.llm.substring import op9_substring_dedup
 from lakevec.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_decontam": op1_decontam,
     "op2_simhash": op2_simhash,
     "op3_mpeg": op3_mpeg,
     "op4_bpe": op4_bpe,
