@@ -183,8 +183,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, offsets: bool = Fals
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
-def round_trips(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Encode, decode the ids, and digest both: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+def round_trips(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode, decode the ids, and digest both: (doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
     vocabulary = vocabulary or public_tokenizers.path(RANKS)
 
     def run(batches):
@@ -192,15 +192,18 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         decimal = [str(i).encode() for i in range(len(c.tokens))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, kept = [], [], [], []
             for t in texts:
                 ids = np.frombuffer(c.encode(t), "<u4")
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(ids.view(np.int32))
                 ids_sha.append(hashlib.sha256(b",".join([decimal[i] for i in ids.tolist()])).hexdigest())
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

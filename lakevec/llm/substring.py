@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakevec.llm.shared import texts_of
 from lakevec.llm.textkernel import RunHasher, Words, mix64, slices, sliding_min
@@ -160,17 +161,20 @@ def single_windows(docs: DataFrame, bits, window: int = WINDOW, anchor: int = AN
     return alone.select("doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` (doc_id, text, and nothing else) with the kept text and counts:
-    (doc_id, kept string, n_words long, n_removed long). kept is null where the text is null."""
+def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rest: str | None = None) -> DataFrame:
+    """(doc_id, kept string, n_words long, n_removed long) of each row; kept is null where the text is null.
+
+    ``rest``: a struct column of ``docs`` that is carried along under that name.
+    """
     spark = docs.sparkSession
-    docs = texts_of(docs)
+    carried = [] if rest is None else [rest]
+    docs = texts_of(docs, *carried)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = spark.sparkContext.broadcast(repeated_cells(docs, sketch_cells(n_bytes), window, anchor))
     alone = single_windows(docs, bits, window, anchor).groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("alone"))  # of one document
 
     keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "tag": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    joined = keyed.join(alone.select(F.col("doc_id").alias("id"), "tag", "alone"), ["id", "tag"], "left").select("doc_id", "text", "alone")
+    joined = keyed.join(alone.select(F.col("doc_id").alias("id"), "tag", "alone"), ["id", "tag"], "left").select("doc_id", "text", "alone", *carried)
 
     def removed(batches):
         hasher = RunHasher(1)
@@ -200,9 +204,20 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     kept.append(None if raw[i] is None else b" ".join(runs))
                     n_words.append(n)
                     n_removed.append(n - int(stays.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *batch.columns[3:]], names=["doc_id", "kept", "n_words", "n_removed", *carried])
+
+    fields = StructType().add("doc_id", "long").add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    for c in carried:
+        fields.add(c, docs.schema[c].dataType)
+    return joined.mapInArrow(removed, fields)
+
 
-    return joined.mapInArrow(removed, "doc_id long, kept string, n_words long, n_removed long")
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the kept words as text and their length as n_chars; all other columns as they are."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = repeated_words(docs.select("*", F.struct(*rest).alias("_rest")), rest="_rest")
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*(fresh[c].alias(c) if c in fresh else F.col("_rest")[c].alias(c) for c in docs.columns))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -188,6 +188,21 @@ def scored(docs: DataFrame, model: tuple[Lookup, Chain | None]) -> DataFrame:
     return texts_of(docs).mapInArrow(score, "doc_id long, p_insult double, p_severe double, p_toxic double")
 
 
+def without_toxic(docs: DataFrame, model: tuple[Lookup, Chain | None]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the last model of the chain does not call toxic."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        hasher = RunHasher(3)
+        lookup, chain = shared.value
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            parts = [chain(presence(texts[a:b], hasher, lookup))[:, -1] < THRESHOLD if chain else np.ones(b - a, bool) for a, b in slices(texts)]
+            yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
