@@ -26,4 +26,14 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 35 words that start anywhere else too, and the words they cover, by plain grouping.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(list_transform(range(1, len(ws) - 33), lambda p: md5(array_to_string(ws[p:p+34], ' ')))) AS h, unnest(range(1, len(ws) - 33)) AS p FROM d WHERE len(ws) >= 35),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS i FROM w SEMI JOIN again USING (h)),
+words AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL}
