@@ -49,8 +49,8 @@ def chunk_sentence(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Sentences (split after . ! ? and white space) packed while they fit ``size`` tokens; longer ones are cut."""
     limit = size * CHARS_PER_TOKEN
     cut = lambda s: F.transform(F.sequence(F.lit(0), ((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(cut(s), F.trim)))
+    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(cut(s), lambda p: F.trim(p))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     step = lambda acc, s: (
         F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), s.alias("open")))
@@ -166,7 +166,8 @@ def merged_metadata(standard: Column, user: dict) -> Column:
 
 def embed_stub(text: Column, dimension: int = 768) -> Column:
     """A deterministic unit vector: byte i mod 32 of the text's SHA-256 over 255, normalised."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / length)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a lambda's argument is worked out once
+    byte = lambda digest: lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
+    raw = once(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), byte(digest)))
+    length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return once(raw, lambda r: once(length(r), lambda n: F.transform(r, lambda x: x / n)))
