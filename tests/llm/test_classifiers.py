@@ -1,0 +1,96 @@
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakevec.llm import langid, quality, toxicity
+from lakevec.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_equals_plain_naive_bayes(spark, small_docs):
+    def buckets(text):
+        clean = f" {re.sub(r'[\W\d_]+', ' ', text.lower()).strip()} "
+        out = []
+        for n in langid.SIZES:
+            for k in range(len(clean) - n + 1):
+                code = n
+                for c in clean[k : k + n]:
+                    code = (code * 0x100000001B3 + ord(c)) % 2**64
+                out.append((code * 0x9E3779B97F4A7C15) % 2**64 >> 49)
+        return out
+
+    rows = small_docs.limit(40).collect()
+    counts = defaultdict(Counter)
+    for r in rows[:25]:
+        counts[r.lang].update(buckets(r.text))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in langs}
+    learn = spark.createDataFrame([(r.text, r.lang) for r in rows[:25]] + [(None, "xx"), ("text", None)], "text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(small_docs.limit(40), *langid.train(learn)).collect()}
+    for r in rows:
+        log = {x: sum(n * math.log((counts[x][b] + langid.SMOOTHING) / total[x]) for b, n in Counter(buckets(r.text)).items()) for x in langs}
+        best = max(langs, key=log.get)
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-3
+
+
+def test_language_edge_rows(spark, edge_docs, no_docs, small_docs):
+    model = langid.train(small_docs)
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.classify(edge_docs, *model).collect()]
+    assert len(got) == 10 and {(i, p, s) for i, p, s in got if i in (1, 2, 3)} == {(i, "und", 0.0) for i in (1, 2, 3)}
+    assert all(0 <= s <= 1 for _, _, s in got) and langid.classify(no_docs, *model).count() == 0
+    assert {r.lang_pred for r in langid.classify(edge_docs, *langid.train(no_docs)).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("name, column, folds, rest", [("op6_quality", "quality", 5, 0), ("op7_langid", "lang", 4, 2), ("op10_toxicity", "toxic", 5, 0)])
+def test_held_out_accuracy(spark, name, column, folds, rest):
+    got = {r.doc_id: r for r in QUERIES[name](spark, SF).collect()}
+    assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(i).encode()) % folds == rest) and 0 <= r.score <= 1 for i, r in got.items())
+    truth = spark.read.parquet(f"{SF}/{'documents' if column == 'lang' else 'labels'}.parquet").select("doc_id", column).collect()
+    held = [(got[r.doc_id], r[column]) for r in truth if got[r.doc_id].held_out]
+    right = [(g.lang_pred if column == "lang" else g.predicted) == y for g, y in held]
+    assert sum(right) / len(right) > 0.93
+
+
+def test_quality_scores_equal_plain_voting(spark, small_docs):
+    texts = [(r.doc_id, r.text.encode()) for r in small_docs.collect()]
+    x = quality.counts([t for _, t in texts])
+    y = np.array([i % 3 == 0 for i, _ in texts], float)
+    model = quality.Model(x[:80], y[:80])
+    got = {r.doc_id: r.score for r in quality.scored(small_docs, model).collect()}
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    for (i, _), row in zip(texts[:60], x):
+        v = unit(unit(np.log1p(row) * model.idf) @ model.projection)
+        near = sorted(((float(v @ u), k) for k, u in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(s, 0) ** quality.SHARPNESS for s, _ in near]
+        assert abs(got[i] - sum(a * y[k] for a, (_, k) in zip(w, near)) / sum(w)) < 0.02
+
+
+def test_quality_and_toxicity_edge_rows(spark, edge_docs, no_docs, small_docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("text", F.lit("clash"))
+    odd = labels.select("doc_id", "quality", "toxic").union(spark.createDataFrame([(None, 1, 1), (5, None, None), (0, 0, 0), (0, 1, 1)], "doc_id long, quality int, toxic int"))
+    for model, score in ((quality.train(small_docs, odd), quality.scored), (toxicity.train(small_docs, odd), toxicity.scored)):
+        got = score(edge_docs, model).collect()
+        column = "score" if score is quality.scored else "p_toxic"
+        assert len(got) == 10 and all(0 <= r[column] <= 1 for r in got)
+        assert len({r[column] for r in got if r.doc_id in (1, 2)}) == 1 and score(no_docs, model).count() == 0
+    assert {r.score for r in quality.scored(edge_docs, quality.train(no_docs, labels.limit(0))).collect()} == {0.5}
+    assert {r.p_toxic for r in toxicity.scored(edge_docs, toxicity.train(small_docs, labels.where("toxic = 0"))).collect()} == {0.0}
+
+
+def test_chain_feeds_earlier_probabilities_on():
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 6)) < 0.3).astype(float)
+    first = x[:, 0] * (rng.random(400) < 0.9)
+    second = first * (x[:, 1] > 0)
+    chain = toxicity.Chain(x, np.stack([first, second], axis=1))
+    assert [len(w) for w in chain.weights] == [7, 8] and chain(x).shape == (400, 2)
+    p = toxicity.sigmoid(x @ chain.weights[0][:-1] + chain.weights[0][-1])
+    q = toxicity.sigmoid(np.hstack([x, p[:, None]]) @ chain.weights[1][:-1] + chain.weights[1][-1])
+    assert np.allclose(chain(x), np.stack([p, q], axis=1))
+    assert ((chain(x)[:, 1] > 0.5) == (second > 0.5)).mean() > 0.9
