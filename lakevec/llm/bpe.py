@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from lakevec.llm.shared import texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
@@ -123,9 +123,9 @@ class Codec:
     def _spaced(self, text: str) -> bytes:
         """A piece that stands after one space. One line break between visible characters is a match of its own."""
         if text.isalpha():
-            return self.match[" " + text]
+            return self._match(" " + text)
         if text[-1:] in (".", ",") and text[:-1].isalpha():
-            return self.match[" " + text[:-1]] + self.match[text[-1]]
+            return self.spaced[text[:-1]] + self.match[text[-1]]
         if not text or not _visible(text[0]) or not _visible(text[-1]):
             raise _Uncut
         above, line, below = text.partition("\n")

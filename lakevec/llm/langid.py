@@ -59,7 +59,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             raw = batch.column(0).cast(pa.binary()).to_pylist()
             langs = np.array(batch.column(1).to_pylist(), object)
-            for a, b in slices([t or b"" for t in raw], 1_000_000):
+            for a, b in slices([t or b"" for t in raw]):
                 bucket, owner = grams([(t or b"").decode("utf-8", "replace") for t in raw[a:b]])
                 own = langs[a:b][owner]
                 for lang in set(langs[a:b]):
@@ -91,7 +91,7 @@ def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             pred, best = [], []
-            for a, b in slices([t or b"" for t in raw], max(20_000, 2_000_000 // max(1, len(langs)))):
+            for a, b in slices([t or b"" for t in raw], max(20_000, 1_000_000 // max(1, len(langs)))):
                 texts = [(t or b"").decode("utf-8", "replace") for t in raw[a:b]]
                 letters = [bool(langs) and _LETTER.search(t) is not None for t in texts]
                 if not any(letters):

@@ -95,7 +95,7 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def slices(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Consecutive [from, to) with about ``limit`` bytes each; a longer text stands alone."""
     at = size = 0
     for i, t in enumerate(texts):
