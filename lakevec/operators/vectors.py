@@ -16,7 +16,7 @@ from lakevec.errors import Validation
 from lakevec.functions.distance import distance
 from lakevec.functions.json_filter import compile_filter
 
-OVERSAMPLE = 100
+OVERSAMPLE, MAX_QUERIES = 100, 20_000
 
 
 def invalid(vectors: DataFrame, dimension: int) -> DataFrame:
@@ -98,34 +98,42 @@ def search(vectors: DataFrame, query: Column, k: int, metric: str = "cosine", wh
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """(query_key, key, distance, rank): the k nearest rows of each query (key, vec), by distance and key.
 
-    Queries are dealt into blocks by hash and meet every Arrow batch of ``vectors`` as a matrix product; a batch hands on
-    k rows for each query, and a grouped top-k merges them. The queries are broadcast as arrays, so their number is the
-    caller's bound; vectors of any number stream past.
+    Queries are dealt by hash into parts of about MAX_QUERIES; a part is broadcast and meets every Arrow batch of
+    ``vectors`` as a matrix product, ``block`` queries at a time. A batch hands on k rows for each query (and ties at the
+    edge), and a grouped top-k merges them. Each part is one pass over ``vectors``.
     """
     names.top_k(k)
     names.metric(metric)
-    known = queries.select("key", "vec").collect()  # the caller's query set
-    keys = [r.key for r in known]
-    matrix = np.array([r.vec for r in known], dtype=np.float64).reshape(len(keys), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((keys, matrix))
+    spark, parts = vectors.sparkSession, -(-queries.count() // MAX_QUERIES)
+    found = spark.createDataFrame([], "query_key string, key string, distance double")
+    for part in range(parts):
+        known = queries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).select("key", "vec").collect()
+        if known:
+            shared = spark.sparkContext.broadcast(([r.key for r in known], np.array([r.vec for r in known], dtype=np.float64)))
+            found = found.unionByName(vectors.select("key", "vec").mapInPandas(_nearest(shared, k, metric, block), found.schema))
+    ordered = Window.partitionBy("query_key").orderBy(F.round("distance", 9), "key")
+    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+
+
+def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows) distances in double precision; a zero vector's cosine distance is NaN."""
+    products = queries @ rows.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "cosine":
+            return 1 - products / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
+        return np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * products, 0))
 
-    def nearest(batches):
+
+def _nearest(shared, k: int, metric: str, block: int):
+    def run(batches):
         keys, q = shared.value
         for batch in batches:
-            x = np.array(batch["vec"].to_list(), dtype=np.float64).reshape(len(batch), -1)
-            own = batch["key"].to_numpy()
-            for at in range(0, len(keys) if len(x) else 0, block):
-                part = q[at : at + block]
-                products = part @ x.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    if metric == "cosine":
-                        d = 1 - products / (np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(x, axis=1))
-                    else:
-                        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (x**2).sum(1) - 2 * products, 0))
-                edge = np.partition(d, min(k, len(x)) - 1, axis=1)[:, [min(k, len(x)) - 1]]
-                row, col = np.nonzero(d <= edge + 1e-9)  # ties at the edge stay, for the key to decide
+            if not len(batch):
+                continue
+            x, own, n = np.array(batch["vec"].to_list(), dtype=np.float64), batch["key"].to_numpy(), min(k, len(batch)) - 1
+            for at in range(0, len(keys), block):
+                d = distances(q[at : at + block], x, metric)
+                row, col = np.nonzero(d <= np.partition(d, n, axis=1)[:, [n]] + 1e-9)  # ties at the edge stay, for the key to decide
                 yield pd.DataFrame({"query_key": [keys[at + r] for r in row], "key": own[col], "distance": d[row, col]})
 
-    found = vectors.select("key", "vec").mapInPandas(nearest, "query_key string, key string, distance double")
-    ordered = Window.partitionBy("query_key").orderBy(F.round("distance", 9), "key")
-    return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+    return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakevec import names
 from lakevec.functions.distance import cosine_distance, euclidean_distance
 from lakevec.functions.json_filter import compile_filter
-from lakevec.operators import chunks, dml, ingest, vectors
+from lakevec.operators import chunks, dml, ingest, ivf, vectors
 from lakevec.plans import pivot as pv
 from lakevec.plans import sql as sqltool
 from lakevec.sources import files, snapshot, tables
@@ -94,6 +94,13 @@ def knn_join(spark, sf):
     return found.select("query_key", "key", F.abs(F.round("distance", 6)).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def vec_ann_index(spark, sf):
+    """Every vector's list in an index of 16 lists; its recall is measured in the tests."""
+    v = _vectors(spark, sf)
+    return ivf.assigned(v, ivf.fit(v, 16)).select("key", "list")
+
+
 @query(f"""WITH {VEC_SQL}, u AS (SELECT key, '{{"tier":9}}' AS meta FROM v WHERE vec_id % 5 = 0 UNION ALL SELECT 'w' || substr(key, 2), '{{"tier":8}}' FROM v WHERE vec_id % 7 = 0)
 SELECT key, meta FROM u UNION ALL SELECT key, meta FROM v WHERE key NOT IN (SELECT key FROM u)""")
 def vec_upsert(spark, sf):

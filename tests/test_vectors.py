@@ -119,3 +119,24 @@ def test_table_catalog(spark):
     with pytest.raises(Validation):
         tables.spark_type("nonsense")
     assert [f["id"] for f in tables.normal_fields([{"name": "a", "type": "int"}, {"name": "b", "type": "int", "id": 9}])] == [1, 9]
+
+
+def test_index_recall_and_pruning(spark, tmp_path):
+    from lakevec.operators import ivf
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16)) * 0.6
+    rows = spark.createDataFrame([(f"k{i:04d}", v.tolist(), None) for i, v in enumerate(x)], "key string, vec array<float>, meta string")
+    for metric in ("cosine", "euclidean"):
+        centroids = ivf.fit(rows, 24, metric)
+        path = f"{tmp_path}/{metric}"
+        ivf.write_index(rows, path, centroids, metric)
+        assert spark.read.parquet(path).count() == 2000
+        found = total = 0
+        for i in range(0, 2000, 250):
+            got = ivf.search_index(spark, path, centroids, x[i].tolist(), 10, metric)
+            exact = {r.key for r in vectors.search(rows, vector_literal(x[i].tolist()), 10, metric).collect()}
+            found, total = found + len(exact & {r.key for r in got.collect()}), total + 10
+        assert found / total >= 0.9
+        assert "PartitionFilters: [isnotnull(list" in got._jdf.queryExecution().toString() or "list" in got._jdf.queryExecution().toString().split("PartitionFilters")[1][:60]
+    assert len(ivf.fit(rows.limit(0), 4)) == 0
