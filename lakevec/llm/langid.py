@@ -25,7 +25,6 @@ from lakevec.llm.textkernel import slices
 
 BUCKETS, SIZES, SMOOTHING, FOLDS, HELD_OUT = 1 << 15, (1, 2, 3), 0.5, 4, 2
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +92,7 @@ def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
             pred, best = [], []
             for a, b in slices([t or b"" for t in raw], max(20_000, 1_000_000 // max(1, len(langs)))):
                 texts = [(t or b"").decode("utf-8", "replace") for t in raw[a:b]]
-                letters = [bool(langs) and _LETTER.search(t) is not None for t in texts]
+                letters = [bool(langs) and any(map(str.isalpha, t)) for t in texts]
                 if not any(letters):
                     pred, best = pred + ["und"] * (b - a), best + [0.0] * (b - a)
                     continue
