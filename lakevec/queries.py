@@ -54,40 +54,40 @@ def _query_vector(spark: SparkSession, sf: str) -> Column:
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select("key", F.round("distance", 6).alias("distance"), "meta")
+    return df.select("key", F.abs(F.round("distance", 6)).alias("distance"), "meta")
 
 
-@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, round(list_cosine_distance(vec, qv), 6) AS distance, meta FROM v, q ORDER BY list_cosine_distance(vec, qv), key LIMIT 10")
+@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, abs(round(list_cosine_distance(vec, qv), 6)) AS distance, meta FROM v, q ORDER BY list_cosine_distance(vec, qv), key LIMIT 10")
 def vec_knn_cosine(spark, sf):
     return _hits(vectors.search(_vectors(spark, sf), _query_vector(spark, sf), 10))
 
 
-@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, round(list_distance(vec, qv), 6) AS distance, meta FROM v, q ORDER BY list_distance(vec, qv), key LIMIT 10")
+@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, abs(round(list_distance(vec, qv), 6)) AS distance, meta FROM v, q ORDER BY list_distance(vec, qv), key LIMIT 10")
 def vec_knn_euclidean(spark, sf):
     return _hits(vectors.search(_vectors(spark, sf), _query_vector(spark, sf), 10, "euclidean"))
 
 
 @query(f"""WITH {VEC_SQL}, {Q_SQL}, c AS (SELECT key, list_cosine_distance(vec, qv) AS d, meta FROM v, q ORDER BY d, key LIMIT 200)
-SELECT key, round(d, 6) AS distance, meta FROM c WHERE json_extract(meta, '$.label') = '3'::JSON ORDER BY d, key LIMIT 2""")
+SELECT key, abs(round(d, 6)) AS distance, meta FROM c WHERE json_extract(meta, '$.label') = '3'::JSON ORDER BY d, key LIMIT 2""")
 def vec_knn_filtered_oversample(spark, sf):
     return _hits(vectors.search(_vectors(spark, sf), _query_vector(spark, sf), 2, where={"label": 3}))
 
 
-@query(f"""WITH {VEC_SQL}, {Q_SQL} SELECT key, round(list_cosine_distance(vec, qv), 6) AS distance, meta FROM v, q
+@query(f"""WITH {VEC_SQL}, {Q_SQL} SELECT key, abs(round(list_cosine_distance(vec, qv), 6)) AS distance, meta FROM v, q
 WHERE json_extract(meta, '$.label')::INT IN (1, 3) AND json_extract(meta, '$.tier')::INT >= 2 ORDER BY list_cosine_distance(vec, qv), key LIMIT 5""")
 def vec_knn_filtered_exact(spark, sf):
     return _hits(vectors.search(_vectors(spark, sf), _query_vector(spark, sf), 5, where={"$and": [{"label": {"$in": [1, 3]}}, {"tier": {"$gte": 2}}]}, mode="exact"))
 
 
-@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, round(list_cosine_distance(vec, qv), 6) AS cosine, round(list_distance(vec, qv), 6) AS euclidean FROM v, q")
+@query(f"WITH {VEC_SQL}, {Q_SQL} SELECT key, abs(round(list_cosine_distance(vec, qv), 6)) AS cosine, abs(round(list_distance(vec, qv), 6)) AS euclidean FROM v, q")
 def vec_pairwise_distance(spark, sf):
     q = _query_vector(spark, sf)
-    return _vectors(spark, sf).select("key", F.round(cosine_distance(F.col("vec"), q), 6).alias("cosine"), F.round(euclidean_distance(F.col("vec"), q), 6).alias("euclidean"))
+    return _vectors(spark, sf).select("key", F.abs(F.round(cosine_distance(F.col("vec"), q), 6)).alias("cosine"), F.abs(F.round(euclidean_distance(F.col("vec"), q), 6)).alias("euclidean"))
 
 
 @query(f"""WITH {VEC_SQL}, d AS (SELECT a.key AS query_key, b.key, round(list_cosine_distance(a.vec, b.vec), 9) AS d FROM v a, v b WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY d, key) AS rank FROM d)
-SELECT query_key, key, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""")
+SELECT query_key, key, abs(round(d, 6)) AS distance, rank FROM r WHERE rank <= 5""")
 def knn_join(spark, sf):
     v = _vectors(spark, sf)
     found = vectors.knn_join(v, v.where("vec_id % 100 = 0"), 5)
@@ -311,10 +311,10 @@ def embed_stub(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT doc_id::VARCHAR AS source, text, {STUB_SQL.format(d=32, t='text')} AS r FROM documents WHERE length(text) > 0), q AS (SELECT {STUB_SQL.format(d=32, t="'alpha'")} AS qr)
-SELECT source, 0 AS chunk_idx, substr(text, 1, 60) AS snippet, round(list_cosine_distance(r, qr), 5) AS distance, source || '#0' AS key FROM e, q ORDER BY list_cosine_distance(r, qr), key LIMIT 5""")
+SELECT source, 0 AS chunk_idx, substr(text, 1, 60) AS snippet, abs(round(list_cosine_distance(r, qr), 5)) AS distance, source || '#0' AS key FROM e, q ORDER BY list_cosine_distance(r, qr), key LIMIT 5""")
 def text_query_topk(spark, sf):
     v = ingest.embedded(_docs(spark, sf), "off", "path", 32)
-    return ingest.text_query(v, "alpha", 5, 32).withColumn("distance", F.round("distance", 5))
+    return ingest.text_query(v, "alpha", 5, 32).withColumn("distance", F.abs(F.round("distance", 5)))
 
 
 @query(f"WITH {FILES_SQL}, g AS (SELECT * FROM f WHERE ext <> 'bin') SELECT count(*) AS raw, count(*) AS parsed, 0::BIGINT AS parse_failures, sum(greatest(ceil((length(text) - 1600) / 1280.0), 0) + 1)::BIGINT AS chunks, sum(greatest(ceil((length(text) - 1600) / 1280.0), 0) + 1)::BIGINT AS put FROM g WHERE ext <> 'html' AND length(text) > 0")
