@@ -102,6 +102,7 @@ class Codec:
         self.model = self.library.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = {b: c for b, c in enumerate(byte_characters())}
+        self.space = self.shown[ord(" ")]
         self.match, self.piece, self.spaced = _Remembered(self._match), _Remembered(self._piece), _Remembered(self._spaced)
         lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.lengths, self.at = lengths, np.cumsum(lengths) - lengths
@@ -109,7 +110,9 @@ class Codec:
 
     def _match(self, text: str) -> bytes:
         """One match of the pattern: its bytes as characters, merged by the library's model."""
-        shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return self._merged(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))
+
+    def _merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, text: str) -> bytes:
@@ -123,7 +126,7 @@ class Codec:
     def _spaced(self, text: str) -> bytes:
         """A piece that stands after one space. One line break between visible characters is a match of its own."""
         if text.isalpha():
-            return self._match(" " + text)
+            return self._merged(self.space + text) if text.isascii() else self._match(" " + text)
         if text[-1:] in (".", ",") and text[:-1].isalpha():
             return self.spaced[text[:-1]] + self.match[text[-1]]
         if not text or not _visible(text[0]) or not _visible(text[-1]):
