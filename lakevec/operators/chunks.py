@@ -6,6 +6,7 @@ Sizes are in tokens of four characters; offsets and lengths are in characters.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,8 +157,6 @@ def metadata(source: Column, idx: Column, chunk: Column, content: bool = True, s
 
 def merged_metadata(standard: Column, user: dict) -> Column:
     """``user`` put over the standard metadata, field by field."""
-    import json
-
     if not isinstance(user, dict):
         raise Validation("user metadata must be an object")
     both = F.map_concat(F.map_filter(F.from_json(standard, "map<string,string>"), lambda k, _: ~k.isin(list(user))), F.from_json(F.lit(json.dumps(user)), "map<string,string>"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
-from collections.abc import Iterator
 import random
 import time
+from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.functions.distance import vector_literal
+from lakevec.errors import Validation
 from lakevec.operators import chunks
 from lakevec.operators.vectors import search
 
@@ -76,12 +76,18 @@ def stats(parsed: DataFrame, vectors: DataFrame) -> DataFrame:
     return docs.join(vectors.agg(F.count("*").alias("chunks"), F.count("vec").alias("put")))
 
 
+def ledger(parsed: DataFrame, chunked: DataFrame) -> DataFrame:
+    """Done records of a run: (source, content_hash, chunks, status, at); documents without chunks are done at once."""
+    counts = chunked.groupBy("source").agg(F.count("*").alias("chunks"))
+    done = parsed.where("not failed").join(counts, "source", "left")
+    return done.select("source", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.lit("done").alias("status"), F.current_timestamp().alias("at"))
+
+
 def text_query(vectors: DataFrame, query: str, k: int = 5, dimension: int = 768, where: dict | None = None, embed: Column | None = None) -> DataFrame:
     """The k chunks nearest to a text: (source, chunk_idx, snippet, distance, key)."""
+    if not query.strip():
+        raise Validation("the query is empty")
     vector = embed if embed is not None else chunks.embed_stub(F.lit(query), dimension)
     hits = search(vectors, vector, k, where=where)
     get = lambda name: F.get_json_object("meta", f"$['{name}']")
     return hits.select(get(chunks.META_SOURCE).alias("source"), get(chunks.META_INDEX).cast("int").alias("chunk_idx"), F.substring(get(chunks.META_CONTENT), 1, 60).alias("snippet"), "distance", "key")
-
-
-__all__ = ["CHUNKERS", "KEYS", "EmbeddingProvider", "embed_with", "embedded", "stats", "text_query", "vector_literal", "with_retry"]

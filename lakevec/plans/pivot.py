@@ -103,6 +103,12 @@ def pivot(fact: DataFrame, model: Model, rows, measure: str, cols=None, where: s
     return spread.orderBy(*order).limit(limit)
 
 
+def inferred(columns: list[str], model: Model) -> tuple[list[str], str] | None:
+    """Row dimensions and measure of a result whose columns are dimensions and then one measure; else None."""
+    *rows, measure = [c for c in columns if not c.startswith("_g_")] or [""]
+    return (rows, measure) if rows and measure in model.measures and all(r in model.dimensions for r in rows) else None
+
+
 def render(table: DataFrame, rows: list[str]) -> list[list[str]]:
     """A pivot's rows as text: TOTAL for the grand total, blanks below a subtotal's level, (NULL) for data nulls."""
     out = []

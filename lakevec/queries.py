@@ -225,6 +225,18 @@ def doc_resume_antijoin(spark, sf):
     return files.not_done(f, ledger).select("source", "content_hash")
 
 
+@query()
+def doc_sample(spark, sf):
+    """A tenth of the documents, the same one for the same seed."""
+    return table(spark, sf, "documents").sample(0.1, seed=7).select("doc_id", "source")
+
+
+@query(f"WITH {FILES_SQL} SELECT source, content_hash, greatest(ceil((length(text) - 1600) / 1280.0), 0)::BIGINT + 1 AS chunks, 'done' AS status FROM f WHERE ext <> 'bin' AND ext <> 'html' AND length(text) > 0")
+def doc_ledger(spark, sf):
+    parsed = files.parse_files(files.eligible(_as_files(spark, sf), exclude=["html"]))
+    return ingest.ledger(parsed, chunks.chunk_fixed(parsed)).drop("at")
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", files.html_to_text(F.col("html")).alias("text"))

@@ -41,6 +41,7 @@ def test_pivot_inputs(spark, sf_dir):
     for args in (([], "n_orders"), ("nope", "n_orders"), ("status", "nope"), ("status", "n_orders", "status")):
         with pytest.raises(Validation):
             pv.pivot(orders, queries.MODEL, *args)
+    assert pv.inferred(["status", "year", "_g_status", "n_orders"], queries.MODEL) == (["status", "year"], "n_orders") and pv.inferred(["status"], queries.MODEL) is None
     text = pv.render(pv.pivot(orders, queries.MODEL, "status,priority", "n_orders"), ["status", "priority"])
     assert text[0][0] == "TOTAL" and text[1][1] == "" and sum(int(r[2].replace(",", "")) for r in text[1:] if r[1]) == orders.count()
 
