@@ -26,7 +26,6 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakevec.llm.shared import shared_dir, texts_of
 

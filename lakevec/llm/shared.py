@@ -39,10 +39,6 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long and text as string, with no other column than ``extra``, whatever else ``docs`` holds."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
