@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from lakevec.llm.shared import texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 150_000  # pieces in each table of a codec
+BLOCK = 100_000  # characters
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
 
@@ -75,7 +76,7 @@ class _Remembered(dict):
     """Ids by text; what is missing is worked out once. At ``limit`` entries the table becomes the old one, from which
     texts still in use come back, and the old one before it goes: memory stays within two tables."""
 
-    def __init__(self, find, limit: int = MAX_REMEMBERED):
+    def __init__(self, find, limit: int):
         super().__init__()
         self.find, self.limit, self.old = find, limit, {}
 
@@ -89,6 +90,10 @@ class _Remembered(dict):
         self[text] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def _visible(c: str) -> bool:
     return "!" <= c <= "~" or c.isalnum() or c == "_"
@@ -97,13 +102,13 @@ def _visible(c: str) -> bool:
 class Codec:
     """Encoder and decoder of one vocabulary. Ids travel as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = MAX_REMEMBERED):
         self.library, self.tokens = _library(vocabulary)
         self.model = self.library.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = {b: c for b, c in enumerate(byte_characters())}
         self.space = self.shown[ord(" ")]
-        self.match, self.piece, self.spaced = _Remembered(self._match), _Remembered(self._piece), _Remembered(self._spaced)
+        self.match, self.piece, self.spaced = (_Remembered(find, remembered) for find in (self._match, self._piece, self._spaced))
         lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.lengths, self.at = lengths, np.cumsum(lengths) - lengths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -137,17 +142,31 @@ class Codec:
         return self._piece(" " + text)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
+        """The ids of a text. A long one is cut into blocks at single spaces between visible characters."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            out.append(self._block(text[at:end], at > 0))
+            at = end + 1
+        return b"".join(out)
+
+    def _block(self, text: str, after_space: bool) -> bytes:
+        head, rest = b"", text.split(" ")
         try:
-            if not rest or first and _visible(first[-1]):
-                return self.piece[first] + b"".join(map(self.spaced.__getitem__, rest))
+            if after_space or len(rest) == 1 or rest[0] and _visible(rest[0][-1]):
+                head = b"" if after_space else self.piece[rest.pop(0)]
+                return head + b"".join(map(self.spaced.__getitem__, rest))
         except _Uncut:
             pass
-        first, *rest = _CUT.split(text)
-        return self.piece[first] + b"".join([self._piece(" " + p) if p and not (_visible(p[0]) and _visible(p[-1])) else self.spaced[p] for p in rest])
+        rest = _CUT.split(text)
+        head = b"" if after_space else self.piece[rest.pop(0)]
+        return head + b"".join([self._piece(" " + p) if p and not (_visible(p[0]) and _visible(p[-1])) else self.spaced[p] for p in rest])
+
+    def forget(self) -> None:
+        """Give back the memory of the tables, as a worker outlives its tasks."""
+        for table in (self.match, self.piece, self.spaced):
+            table.forget()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a run of ids; whole characters appear once their tokens stand together."""
@@ -165,9 +184,9 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(vocabulary: str) -> Codec:
+def codec(vocabulary: str, remembered: int = MAX_REMEMBERED) -> Codec:
     """One codec for each vocabulary and worker process."""
-    return Codec(vocabulary)
+    return Codec(vocabulary, remembered)
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, offsets: bool = False) -> DataFrame:
@@ -182,6 +201,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, offsets: bool = Fals
             spans = [c.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
             column = lambda k: pa.array([s[:, k].astype(np.int32) for s in spans] if offsets else [None] * len(ids), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.view(np.int32) for i in ids], pa.list_(pa.int32())), column(0), column(1)], names=["doc_id", "ids", "starts", "ends"])
+        c.forget()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -205,6 +225,7 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None, with_ids: bool =
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
             more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        c.forget()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

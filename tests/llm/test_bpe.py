@@ -109,3 +109,12 @@ def test_planes_and_crc():
     for n in (0, 1, 5, 70000):
         a, b = b"abc" * 99, rng.bytes(n)
         assert planes.crc32_combine(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+
+
+def test_long_texts_in_blocks_and_forgotten_tables(monkeypatch, plain):
+    monkeypatch.setattr(bpe, "BLOCK", 40)
+    c = bpe.Codec(public_tokenizers.path(bpe.RANKS), 20)
+    for text in ["word " * 50, "a  b\n c" * 60, " lead and trail " * 9, "été, naïve 漢字 1234. " * 30, "x" * 500, " " * 90]:
+        assert np.frombuffer(c.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+        c.forget()
+        assert not c.spaced and not c.spaced.old
