@@ -1,14 +1,17 @@
-"""Operator 1: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 1: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Texts become lower-case words without punctuation. Pass 1 counts, over all documents, in how many each SEED_WORDS-gram of
-the benchmark occurs. An item's seeds are its rare grams: those in at most RARE times as many documents as the quarter of
-its grams found least. The measure is the item's own, so a leaked item keeps its grams however often it was copied, and
-stock phrases go. Pass 2 joins documents to items on seeds and aligns an item's words with the part of the document
-around its seeds (match +1, mismatch and gap -1); the score is the best local alignment over that of the whole item.
-An item found word for word needs no alignment: its score is 1.
+Texts become lower-case words without punctuation. Every SEED_WORDS-gram of an item is a seed, however many documents hold
+it. A document and an item that share a seed are aligned (match +1, mismatch and gap -1) in the part of the document around
+their seeds, unless a bound shows that no alignment there can reach the threshold; the score is the best local alignment
+over that of the whole item. An item found word for word needs no alignment: its score is 1.
 
-Each executor holds the benchmark's grams; the benchmark is dealt into parts of at most MAX_BENCHMARK_BYTES, one pair of
-passes each, so a benchmark of any size has its broadcast bounded.
+The bound: an alignment of M matches and E edits has at most E + 1 runs of matches, so at least M - 2(E + 1) of the item's
+grams lie in it. With K places of the item whose gram is in the document and W places whose word is, M <= W and the
+score M - E is at most (K + W + 2) / 2, and at most W. By the same count, an alignment whose score is over half of the item
+and one word more always holds a seed. It spans at most twice the item's words, which is how far is aligned around seeds.
+
+Each executor holds the benchmark's grams; the benchmark is dealt into parts of at most MAX_BENCHMARK_BYTES, one pass
+each, so a benchmark of any size has its broadcast bounded.
 
 Defined results: null texts and items have no words and match nothing; items of fewer than SEED_WORDS words match nothing;
 repeated items and rows are each reported; null ids stay null; an empty table on either side gives an empty result; other
@@ -18,7 +21,6 @@ columns are ignored; documents are read whole.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from lakevec.llm.shared import texts_of
 from lakevec.llm.textkernel import RunHasher, Words, as_bytes, slices
 
-SEED_WORDS, RARE, THRESHOLD = 3, 4, 0.5
-MATCH, MISMATCH, GAP, SLACK = 1, -1, -1, 10
+SEED_WORDS, THRESHOLD = 3, 0.5
+MATCH, MISMATCH, GAP, REACH = 1, -1, -1, 2
 MAX_BENCHMARK_BYTES = 64 << 20
 _MARKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _WIDE_MARKS = re.compile(r"[^\w\x00-\x7f]+")
@@ -90,109 +92,95 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each pair, one after another."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 class Benchmark:
-    """Items as word hashes, the index of their grams, and for each gram the (item, place) pairs of its seeds."""
+    """Items as word hashes, the index of their grams and words, and for each gram the items that have it, once a place."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         hasher = RunHasher(5)
         grams = Grams([as_bytes(t) for _, t in items], hasher)
         words, w = grams.word_hashes(), grams.words
         self.ids = [i for i, _ in items]
+        self.first, self.counts = w.first, w.counts
         self.items = [words[f : f + n] for f, n in zip(w.first, w.counts)]
-        self.index = GramIndex(grams.hashes)
-        self.places = list(zip(np.searchsorted(self.index.hashes, grams.hashes).tolist(), w.text_of[grams.at].tolist(), (grams.at - w.first[w.text_of[grams.at]]).tolist()))
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.seed_index = self.index
-
-    def choose_seeds(self, counts: np.ndarray) -> None:
-        """``counts``: documents that hold each gram of the index."""
-        own = defaultdict(list)
-        for gram, item, place in self.places:
-            own[item].append((gram, place))
-        seeds = defaultdict(list)
-        for item, grams in own.items():
-            n = counts[[g for g, _ in grams]]
-            limit = RARE * max(1, np.sort(n)[(len(n) - 1) // 4])
-            for (gram, place), c in zip(grams, n):
-                if c <= limit:
-                    seeds[gram].append((item, place))
-        kept = sorted(seeds)
-        self.seed_index = GramIndex(self.index.hashes[kept])
-        self.seeds = {k: seeds[g] for k, g in enumerate(kept)}
+        self.index, self.vocabulary = GramIndex(grams.hashes), GramIndex(words)
+        self.word_ids = np.searchsorted(self.vocabulary.hashes, words)
+        self.gram_at = np.full(len(words), -1)  # by word, the gram that begins there
+        self.gram_at[grams.at] = np.searchsorted(self.index.hashes, grams.hashes)
+        order = np.argsort(self.gram_at[grams.at], kind="stable")
+        self.owners = w.text_of[grams.at][order].astype(np.int32)
+        self.owner_ends = np.cumsum(np.bincount(self.gram_at[grams.at], minlength=len(self.index.hashes)))
 
     def matches(self, texts: list[bytes], hasher: RunHasher) -> list[list[tuple[int, float, int, int]]]:
         """For each text: (item number, score, first word, words) of the items whose score reaches THRESHOLD."""
         out: list[list] = [[] for _ in texts]
         grams = Grams(texts, hasher)
-        at, seed = self.seed_index.find(grams.hashes)
+        at, gram = self.index.find(grams.hashes)
         if not len(at):
             return out
         words, w = grams.word_hashes(), grams.words
-        hits = defaultdict(list)
-        for p, s in zip(grams.at[at].tolist(), seed.tolist()):
-            text = int(w.text_of[p])
-            for item, place in self.seeds[s]:
-                hits[text, item].append((p - int(w.first[text]), place))
-        for (text, item), found in hits.items():
-            own, doc = self.items[item], words[w.first[text] : w.first[text] + w.counts[text]]
-            score, first, length = self._best(own, doc, found)
-            if score >= THRESHOLD:
-                out[text].append((item, score, first, length))
+        at = grams.at[at]
+        known, word = self.vocabulary.find(words)
+        present = np.zeros(len(self.vocabulary.hashes), bool)
+        hit_texts, starts = np.unique(w.text_of[at], return_index=True)
+        for text, a, b in zip(hit_texts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            first, n = int(w.first[text]), int(w.counts[text])
+            own = word[np.searchsorted(known, first) : np.searchsorted(known, first + n)]
+            present[own] = True
+            for item in self._possible(np.unique(gram[a:b]), present):
+                score, start, length = self._best(item, words[first : first + n], at[a:b] - first, gram[a:b])
+                if score >= THRESHOLD:
+                    out[text].append((item, score, start, length))
+            present[own] = False
         return out
 
-    @staticmethod
-    def _best(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]]) -> tuple[float, int, int]:
+    def _possible(self, gram: np.ndarray, present: np.ndarray) -> list[int]:
+        """The items with one of the grams whose bound in the whole text reaches THRESHOLD."""
+        ends = self.owner_ends[gram]
+        begins = np.where(gram > 0, self.owner_ends[gram - 1], 0)
+        items, k = np.unique(self.owners[ranges(begins, ends - begins)], return_counts=True)
+        counts = self.counts[items]
+        shared = present[self.word_ids[ranges(self.first[items], counts)]]
+        w = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
+        return items[np.minimum(w, (k + w + 2) / 2) >= THRESHOLD * counts].tolist()
+
+    def _best(self, number: int, doc: np.ndarray, at: np.ndarray, gram: np.ndarray) -> tuple[float, int, int]:
+        """``at`` and ``gram``: the words of the document where a gram of the benchmark begins, and which."""
+        item = self.items[number]
         m = len(item)
-        for start in {p - place for p, place in hits}:
-            if 0 <= start and start + m <= len(doc) and (doc[start : start + m] == item).all():
+        own = self.gram_at[self.first[number] : self.first[number] + m - SEED_WORDS + 1]
+        for start in at[gram == own[0]].tolist():
+            if start + m <= len(doc) and (doc[start : start + m] == item).all():
                 return 1.0, start, m
-        reach, regions = m + SLACK, []
-        for p in sorted({p for p, _ in hits}):
+        hit = np.isin(gram, own)
+        at, gram = at[hit], gram[hit]
+        reach, regions = REACH * m, []
+        for p in at.tolist():
             if regions and p - reach <= regions[-1][1]:
                 regions[-1][1] = p + reach
             else:
                 regions.append([max(0, p - reach), p + reach])
         best = (0.0, 0, 0)
         for a, b in regions:
+            k = int(np.isin(own, gram[np.searchsorted(at, a) : np.searchsorted(at, b)]).sum())
+            w = int(np.isin(item, doc[a:b]).sum())
+            if min(w, (k + w + 2) / 2) < max(THRESHOLD, best[0]) * m:
+                continue
             score, end = smith_waterman(item, doc[a:b])
             if score / (MATCH * m) > best[0]:
                 best = (score / (MATCH * m), max(a, a + end - m), min(m, end))
         return best
 
 
-def gram_counts(docs: DataFrame, index: GramIndex) -> np.ndarray:
-    """In how many documents each gram of the index occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def count(batches):
-        hasher, sums = RunHasher(5), np.zeros(len(shared.value.hashes), np.int64)
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            for a, b in slices(texts):
-                grams = Grams(texts[a:b], hasher)
-                at, gram = shared.value.find(grams.hashes)
-                own = np.unique(grams.words.text_of[grams.at[at]] * len(sums) + gram)
-                sums += np.bincount(own % len(sums), minlength=len(sums)) if len(sums) else 0
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found], pa.int64())], names=["gram", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # grams of one part of the benchmark
-    out = np.zeros(len(index.hashes), np.int64)
-    for r in rows:
-        out[r.gram] = r.n
-    return out
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame) -> list[Benchmark]:
-    """The parts of the benchmark, each with seeds chosen by all of ``docs``."""
+def prepared(benchmark: DataFrame) -> list[Benchmark]:
+    """The parts of the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MAX_BENCHMARK_BYTES)
-    out = []
-    for part in range(parts):
-        b = Benchmark([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()])
-        b.choose_seeds(gram_counts(docs, b.index))
-        out.append(b)
-    return out
+    return [Benchmark([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()]) for part in range(parts)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -201,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, first_word int, n_words int"
     docs = texts_of(docs)
     out = spark.createDataFrame([], schema)
-    for part in prepared(docs, benchmark):
+    for part in prepared(benchmark):
         shared = spark.sparkContext.broadcast(part)
 
         def align(batches, shared=shared):
@@ -221,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that match no item."""
-    for part in prepared(docs, benchmark):
+    for part in prepared(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(part)
         at = docs.columns.index("text")
 

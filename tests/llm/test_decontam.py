@@ -55,6 +55,30 @@ def test_finds_copies_and_edited_copies(planted):
     assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("copies", [1, 5, 1000])
+@pytest.mark.parametrize("edit", ["substituted", "tail", "every fourth"])
+def test_edited_copies_are_found_however_often(spark, copies, edit):
+    item = [f"i{k}" for k in range(40)]
+    gone = {"substituted": (5, 14, 23, 32), "tail": range(30, 40), "every fourth": range(3, 40, 4)}[edit]
+    copy = [f"x{k}" if k in gone else w for k, w in enumerate(item)]
+    rows = [(n, " ".join([f"a{n}", "b", *copy, f"c{n}"])) for n in range(copies)]
+    docs = spark.createDataFrame([*rows, (-1, "i0 i1 i2 only")], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies)) and {r.score for r in got} == {plain_score(item, copy) / 40}
+
+
+def test_the_bound_loses_nothing():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(n)) for n in [*range(3, 40), *range(3, 40), 200, 400]]
+    items = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    found = decontam.Benchmark(list(enumerate(items))).matches([t.encode() for t in texts], decontam.RunHasher(5))
+    for text, got in zip(texts, found):
+        doc = text.split()
+        grams = {tuple(doc[k : k + 3]) for k in range(len(doc) - 2)}
+        scores = {i: plain_score(x.split(), doc) / len(x.split()) for i, x in enumerate(items) if any(tuple(x.split()[k : k + 3]) in grams for k in range(len(x.split()) - 2))}
+        assert {i: s for i, s, *_ in got} == {i: s for i, s in scores.items() if s >= decontam.THRESHOLD}
+
+
 def test_parts_of_the_benchmark_change_nothing(planted, monkeypatch):
     docs, benchmark, want = planted
     monkeypatch.setattr(decontam, "MAX_BENCHMARK_BYTES", 500)
