@@ -6,7 +6,7 @@ is on and a sum of hashes of page and count, so partial sums merge and no host i
 class is frequent if it is on at least SUPPORT of the host's pages; a frequent class is valid if the token above each of
 its tokens is in a valid class too, which nests the classes into the host's template. What the template leaves open are
 its slots: the text below its containers. Slots below menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are boilerplate; of the rest, the host's content slot is an article, else a main container, else the one
+reader comments are boilerplate, but never html, body, or the containers around the only article or main; of the rest, the host's content slot is an article, else a main container, else the one
 with most text. Pages that do not fit their host's template are judged by the same order on their own.
 
 Hosts and content slots are broadcast up to MAX_BROADCAST rows and joined by shuffle beyond.
@@ -37,7 +37,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 _CONTAINERS = frozenset("html body article main section div nav header footer aside form table ul ol dl figure details dialog fieldset".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 _DROPPED_TAGS = frozenset("nav footer aside form dialog fieldset".split())
-#: Fixed words: a container whose class, id or role holds one of these is boilerplate.
+#: Fixed words: a container with a class, id or role made of these alone (``cookie-notice``, not ``has-sidebar``) is boilerplate.
 _DROPPED_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 
@@ -47,14 +47,16 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, bool, str]] = []
         self.tokens: Counter[str] = Counter()
-        stack: list[tuple[str, str, bool]] = []  # tag, path, boilerplate
-        path, dropped, text, at = "", False, [], 0
+        nodes = [("", 0, False, False)]  # path, number of the node above, listed as boilerplate, article or main
+        found: list[tuple[int, str]] = []  # node, text
+        stack: list[tuple[str, int]] = []  # tag, node
+        node, path, text, at = 0, "", [], 0
         html = _HIDDEN.sub(" ", html)
 
         def close():
             words = " ".join(unescape("".join(text)).split())
             if words:
-                self.blocks.append((path, dropped, words))
+                found.append((node, words))
             text.clear()
 
         for m in _MARK.finditer(html):
@@ -69,18 +71,38 @@ class Page:
                     self.tokens[f"{path}/{tag}"] += 1
                 continue
             if not m[1]:
-                names = sorted({x for n in _NAMES.findall(m[3]) for x in re.split(r"[^a-z0-9]+", n.lower()) if x and not x.isdigit()})
-                path = f"{path}/{'.'.join([tag, *names])}"
+                whole = {x for n in _NAMES.findall(m[3]) for x in n.lower().strip("\"'").split()}
+                split = [[x for x in re.split(r"[^a-z0-9]+", n) if x and not x.isdigit()] for n in whole]
+                path = f"{path}/{'.'.join([tag, *sorted({x for n in split for x in n})])}"
                 inside = "/article" in path or "/main" in path
-                dropped = dropped or tag in _DROPPED_TAGS or tag == "header" and not inside or not _DROPPED_NAMES.isdisjoint(names) and not (inside and tag in ("article", "main", "body", "html"))
-                stack.append((tag, path, dropped))
+                listed = tag in _DROPPED_TAGS or tag == "header" and not inside or any(n and _DROPPED_NAMES.issuperset(n) for n in split)
+                body = tag in ("article", "main") or "main" in whole
+                nodes.append((path, node, listed and not body and tag not in ("body", "html"), body))
+                node = len(nodes) - 1
+                stack.append((tag, node))
                 self.tokens[path] += 1
-            elif any(t == tag for t, _, _ in stack):
+            elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-                _, path, dropped = stack[-1] if stack else ("", "", False)
+                node = stack[-1][1] if stack else 0
+                path = nodes[node][0]
         text.append(html[at:])
         close()
+        self._judge(nodes, found)
+
+    def _judge(self, nodes: list[tuple[str, int, bool, bool]], found: list[tuple[int, str]]) -> None:
+        """Blocks below a listed container are boilerplate; but if no article or main has text outside of these, the
+        containers around one are not."""
+        dropped, inside, holds = [], [], [False] * len(nodes)
+        for n, (_, up, listed, body) in enumerate(nodes):
+            dropped.append(listed or n > 0 and dropped[up])
+            inside.append(body or n > 0 and inside[up])
+        if not any(inside[n] and not dropped[n] for n, _ in found):
+            for n in range(len(nodes) - 1, 0, -1):
+                holds[nodes[n][1]] |= holds[n] or nodes[n][3]
+            for n, (_, up, listed, _) in enumerate(nodes):
+                dropped[n] = listed and not holds[n] or n > 0 and dropped[up]
+        self.blocks = [(nodes[n][0], dropped[n], words) for n, words in found]
 
     def chars(self) -> Counter[str]:
         """Characters of text that is not boilerplate, below each container."""

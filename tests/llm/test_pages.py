@@ -37,6 +37,15 @@ def test_pages_without_an_article(spark):
     assert got == {n: f"Page {n} text more {n}" for n in range(6)} | {6: "odd one out"}
 
 
+def test_wrappers_with_listed_words_keep_the_article(spark):
+    article = "<article><p>kept</p><section id='related-work'><p>work</p></section><div class='social-history'>history</div><div class='social'>no</div></article>"
+    around = ["<body class='has-sidebar'>{}</body>", "<body class='nav-open'>{}</body>", "<body class='sidebar'>{}</body>", "<div class='page with-sidebar'>{}</div>", "<div class='page widget'>{}</div>", "<form>{}</form>", "<body><main><div class=sidebar>{}</div></main></body>"]
+    got = extract(spark, *((n, f"http://h{n}/", f"<nav>menu</nav>{a.format(article)}<div class='sidebar'>side</div>") for n, a in enumerate(around)))
+    assert got == {n: "kept work history" for n in range(len(around))}
+    teasers = "<body><main><p>text</p><section class='comments'><article>reader</article></section></main><aside><article>teaser</article></aside></body>"
+    assert extract(spark, (1, "http://h/", teasers)) == {1: "text"}
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", "plain text only"), (4, "nonsense", "<p>a</p><script>never closed <p>x"), (5, "http://h/", long), (5, "http://h/", long), (None, "http://h/", "<article>x</article>"), (7, "http://H:80/", "<nav>only menu</nav>"), (8, "http://h/", "a < b and <3 <p title='>'>c</p>"), (9, "u", "&am &a &amp &quo &quot;")]
