@@ -12,7 +12,9 @@ with most text. Pages that do not fit their host's template are judged by the sa
 Hosts and content slots are broadcast up to MAX_BROADCAST rows and joined by shuffle beyond.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0 characters; a null url is a host
-of its own; scripts, styles, markup comments and what stands in head are never text; an unclosed one ends with the page;
+of its own; scripts, styles, titles and markup comments are never text; an unclosed script, style, textarea or comment ends with the
+page, an unclosed title at the next tag, and of other unclosed hidden elements only the tag goes; as in browsers, other text
+in head is text of the page;
 white space as Python's str.split sees it becomes one space; repeated pages are kept; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -20,6 +22,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from html import unescape
 
@@ -31,7 +34,11 @@ from lakevec.llm.shared import stored
 from lakevec.llm.textkernel import as_bytes
 
 SUPPORT, MAX_BROADCAST = 0.5, 200_000
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|head|textarea|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Raw text up to its end tag, or else to the end of the page; an unclosed title ends at the next tag.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|html|article|main)\b).)*+</title\s*>|[^<]*)", re.S | re.I)
+#: Hidden up to the next end tag of their own; without one, or closed in itself, only the tag goes.
+_HIDDEN = frozenset("noscript template iframe svg select button".split())
+_HIDDEN_END = re.compile(rf"</({'|'.join(sorted(_HIDDEN))})\s*>", re.I)
 _MARK = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _CONTAINERS = frozenset("html body article main section div nav header footer aside form table ul ol dl figure details dialog fieldset".split())
@@ -51,7 +58,10 @@ class Page:
         found: list[tuple[int, str]] = []  # node, text
         stack: list[tuple[str, int]] = []  # tag, node
         node, path, text, at = 0, "", [], 0
-        html = _HIDDEN.sub(" ", html)
+        html = _RAW.sub(" ", html)
+        ends: dict[str, list[int]] = {t: [] for t in _HIDDEN}
+        for m in _HIDDEN_END.finditer(html):
+            ends[m[1].lower()].append(m.end())
 
         def close():
             words = " ".join(unescape("".join(text)).split())
@@ -60,9 +70,17 @@ class Page:
             text.clear()
 
         for m in _MARK.finditer(html):
+            if m.start() < at:
+                continue
             text.append(html[at : m.start()])
             at = m.end()
             tag = (m[2] or "").lower()
+            if tag in _HIDDEN:
+                text.append(" ")
+                k = bisect(ends[tag], at)
+                if not m[1] and k < len(ends[tag]) and not (tag == "svg" and m[3].endswith("/")):
+                    at = ends[tag][k]
+                continue
             if not tag or tag in _INLINE:
                 continue
             close()

@@ -46,6 +46,13 @@ def test_wrappers_with_listed_words_keep_the_article(spark):
     assert extract(spark, (1, "http://h/", teasers)) == {1: "text"}
 
 
+def test_unclosed_and_self_closed_elements_lose_no_text(spark):
+    htmls = ["<html><head><title>t</title><body><article>kept</article>", "<head><meta charset=x><title>a < b<body><article>kept</article>", "<title>t<article>kept</article>",
+             "<article><svg class='i' />kept</article>", "<article>kept<svg><text>no</text></svg></article><svg>", "<article><button>kept</article>", "<article>kept<select><option>no</select><iframe>no</iframe></article>",
+             "<article><svg/>kept<p><svg viewBox='0 0 1 1'/></p><svg><title>no</title>no</svg></article>", "<head><style>p{}</style></head><article>kept<style>never closed"]
+    assert extract(spark, *((n, f"http://h{n}/", x) for n, x in enumerate(htmls))) == dict.fromkeys(range(len(htmls)), "kept")
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", "plain text only"), (4, "nonsense", "<p>a</p><script>never closed <p>x"), (5, "http://h/", long), (5, "http://h/", long), (None, "http://h/", "<article>x</article>"), (7, "http://H:80/", "<nav>only menu</nav>"), (8, "http://h/", "a < b and <3 <p title='>'>c</p>"), (9, "u", "&am &a &amp &quo &quot;")]
