@@ -1,15 +1,20 @@
-"""Operator 8: main text of web pages by equivalence-class template deduction.
+"""Operator 8: main text of web pages by the tag and text templates of their hosts.
 
 A token is a start tag with its place: the path of container tags above it, with their classes. Over the pages of one
 host each token has an occurrence vector, its count on every page. Tokens with the same vector (compared by the pages it
-is on and a sum of hashes of page and count, so partial sums merge and no host is gathered) are an equivalence class. A
-class is frequent if it is on at least SUPPORT of the host's pages; a frequent class is valid if the token above each of
-its tokens is in a valid class too, which nests the classes into the host's template. What the template leaves open are
-its slots: the text below its containers. Slots below menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are boilerplate, but never html, body, or the containers around the only article or main; of the rest, the host's content slot is an article, else a main container, else the one
-with most text. Pages that do not fit their host's template are judged by the same order on their own.
+is on and a sum of hashes of page and count, so partial sums merge and no host is gathered) are an equivalence class. The
+template of a host is the tokens on at least SUPPORT of its pages; a container is as frequent as what it holds, so they nest.
+What the template leaves open are its slots: the text below its containers. Slots below menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments are boilerplate, but never html, body, or the containers around the only
+article or main; of the rest, the host's content slot is an article, else a main container, else the one with most text.
+Pages that do not fit their host's template are judged by the same order on their own.
 
-Hosts and content slots are broadcast up to MAX_BROADCAST rows and joined by shuffle beyond.
+A block of text with its place is a token too. Outside of articles and main containers, whose text the markup declares, a
+text that stands at one place on at least SUPPORT of a host's different pages, and on MIN_PAGES, is template: it does not
+count when slots are compared and is left out of the result, unless nothing else is left of a page. Exact copies of a page
+count once. Equal vectors alone do not decide this: a notice on most pages has no class with the page's frame.
+
+Content slots and template texts of hosts are broadcast up to MAX_BROADCAST of both and joined by shuffle beyond.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0 characters; a null url is a host
 of its own; scripts, styles, titles and markup comments are never text; an unclosed script, style, textarea or comment ends with the
@@ -24,16 +29,18 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakevec.llm.shared import stored
 from lakevec.llm.textkernel import as_bytes
 
-SUPPORT, MAX_BROADCAST = 0.5, 200_000
+SUPPORT, MIN_PAGES, MAX_BROADCAST = 0.5, 3, 200_000
 #: Raw text up to its end tag, or else to the end of the page; an unclosed title ends at the next tag.
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|html|article|main)\b).)*+</title\s*>|[^<]*)", re.S | re.I)
 #: Hidden up to the next end tag of their own; without one, or closed in itself, only the tag goes.
@@ -122,24 +129,53 @@ class Page:
                 dropped[n] = listed and not holds[n] or n > 0 and dropped[up]
         self.blocks = [(nodes[n][0], dropped[n], words) for n, words in found]
 
-    def chars(self) -> Counter[str]:
-        """Characters of text that is not boilerplate, below each container."""
+    def chars(self, template: frozenset[int] = frozenset()) -> Counter[str]:
+        """Characters of text that is not boilerplate or ``template``, below each container."""
         out: Counter[str] = Counter()
         for path, dropped, text in self.blocks:
-            while path and not dropped:
+            if dropped or template and not _declared(path) and text_token(path, text) in template:
+                continue
+            while path:
                 out[path] += len(text)
                 path = path.rpartition("/")[0]
         return out
 
-    def text(self, content: str | None) -> str:
-        """Blocks in page order below ``content``; where the page has none there, below its own best container."""
-        below = [t for p, d, t in self.blocks if not d and content is not None and (p == content or p.startswith(content + "/"))]
-        if not below and (own := self.chars()):
-            content = max(own, key=lambda p: (rank(p), own[p], -len(p)))
-            below = [t for p, d, t in self.blocks if not d and (p == content or p.startswith(content + "/"))]
+    def texts(self) -> dict[int, tuple[str, int]]:
+        """Path and characters of each text token that may be template."""
+        out: dict[int, tuple[str, int]] = {}
+        for path, dropped, text in self.blocks:
+            if not dropped and not _declared(path):
+                token = text_token(path, text)
+                out[token] = path, len(text) + (out[token][1] if token in out else 0)
+        return out
+
+    def text(self, content: str | None, template: frozenset[int] = frozenset()) -> str:
+        """Blocks in page order below ``content``, without those of the host's template; where the page has none there,
+        below its own best container."""
+        below = self._below(content) if content is not None else []
+        if not below and (own := self.chars(template) or self.chars()):
+            below = self._below(max(own, key=lambda p: (rank(p), own[p], -len(p))))
         if not below and not any(p for p, _, _ in self.blocks):
-            below = [t for _, d, t in self.blocks if not d]
-        return " ".join(below)
+            below = [(p, t) for p, d, t in self.blocks if not d]
+        own_text = [t for p, t in below if not template or _declared(p) or text_token(p, t) not in template]
+        return " ".join(own_text or [t for _, t in below])
+
+    def _below(self, content: str) -> list[tuple[str, str]]:
+        return [(p, t) for p, d, t in self.blocks if not d and (p == content or p.startswith(content + "/"))]
+
+
+def text_token(path: str, text: str) -> int:
+    return int.from_bytes(blake2b(as_bytes(f"{path}\0{text}"), digest_size=8).digest(), "big", signed=True)
+
+
+@lru_cache(4096)
+def _declared(path: str) -> bool:
+    """Whether the text is below an article or a main container."""
+    while path:
+        if rank(path) > 1:
+            return True
+        path = path.rpartition("/")[0]
+    return False
 
 
 def rank(path: str) -> int:
@@ -179,41 +215,62 @@ def tokens(pages: DataFrame) -> DataFrame:
 def template(pages: DataFrame) -> DataFrame:
     """(host, token, n_pages, n_tokens, vector, class_tokens, rank, chars): the tokens of each host's template.
 
-    class_tokens: the tokens of the host with the same vector. A token stays if it is frequent and every container
-    above it is in the template too.
+    class_tokens: the tokens of the host with the same vector.
     """
     found = stored(tokens(pages), "page-tokens")
     hosts = found.groupBy("host").agg(F.max("n_pages").alias("host_pages"))
     frequent = found.join(hosts, "host").where(F.col("n_pages") >= SUPPORT * F.col("host_pages")).drop("host_pages")
     classes = frequent.groupBy("host", "vector", "n_pages").agg(F.count("*").alias("class_tokens"))
-    frequent = stored(frequent.join(classes, ["host", "vector", "n_pages"]), "page-classes")
-    parts = F.filter(F.split("token", "/"), lambda p: p != "")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))
-    needed = frequent.where(F.size(parts) > 1).select("host", "token", F.explode(above).alias("up"))
-    broken = needed.join(frequent.select("host", F.col("token").alias("up")), ["host", "up"], "left_anti").select("host", "token").distinct()
-    return frequent.join(broken, ["host", "token"], "left_anti")
+    return frequent.join(classes, ["host", "vector", "n_pages"])
+
+
+def _above(path: Column) -> Column:
+    """The container and those above it."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
 
 
-def content_slots(pages: DataFrame) -> DataFrame:
+def template_texts(pages: DataFrame) -> DataFrame:
+    """(host, token, path, chars): the text tokens of each host's template; chars over all its pages."""
+
+    def find(batches):
+        for batch in batches:
+            out = []
+            for h, x, i in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content_id"))):
+                out += [(x, i, token, path, chars) for token, (path, chars) in Page(h or "").texts().items()]
+            columns = list(zip(*out)) or [[]] * 5
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "content_id", "token", "path", "chars"])
+    contents = _with_host(pages).withColumn("content_id", F.xxhash64("html"))
+    found = contents.mapInArrow(find, "host string, content_id long, token long, path string, chars long")
+    once = found.groupBy("host", "token", "path", "content_id").agg(F.sum("chars").alias("chars"))
+    counted = once.groupBy("host", "token", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    hosts = contents.select("host", "content_id").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    return counted.where(F.col("n") >= MIN_PAGES).join(hosts, "host").where(F.col("n") >= SUPPORT * F.col("host_pages")).select("host", "token", "path", "chars")
+
+def content_slots(pages: DataFrame, texts: DataFrame) -> DataFrame:
     """(host, content): the container of each host's template whose slot holds the main text."""
-    slots = template(pages).where("chars > 0")
+    known = texts.select("host", F.explode(_above(F.col("path"))).alias("token"), "chars").groupBy("host", "token").agg(F.sum("chars").alias("known"))
+    slots = template(pages).join(known, ["host", "token"], "left").withColumn("chars", F.col("chars") - F.coalesce("known", F.lit(0))).where("chars > 0")
     best = F.max_by("token", F.struct("rank", "chars", (-F.length("token")).alias("short"), "token"))
     return slots.groupBy("host").agg(best.alias("content"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page."""
-    slots = stored(content_slots(pages), "content-slots")
-    slots = slots.select(F.col("host").alias("slot_host"), "content")
-    small = slots.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    texts = stored(template_texts(pages), "template-texts")
+    known = texts.groupBy("host").agg(F.collect_set("token").alias("known"))
+    slots = stored(content_slots(pages, texts).join(known, "host", "full"), "content-slots")
+    slots = slots.select(F.col("host").alias("slot_host"), "content", "known")
+    small = (slots.agg(F.sum(1 + F.greatest(F.size("known"), F.lit(0)))).first()[0] or 0) <= MAX_BROADCAST
     joined = _with_host(pages).join(F.broadcast(slots) if small else slots, F.col("host") == F.col("slot_host"), "left")
 
     def extract(batches):
         for batch in batches:
-            texts = [Page(h or "").text(c) for h, c in zip(batch.column("html").to_pylist(), batch.column("content").to_pylist())]
+            texts = [Page(h or "").text(c, frozenset(k or ())) for h, c, k in zip(*(batch.column(n).to_pylist() for n in ("html", "content", "known")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([as_bytes(t) for t in texts], pa.binary()).cast(pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "content").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "content", "known").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

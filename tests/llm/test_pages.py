@@ -53,6 +53,16 @@ def test_unclosed_and_self_closed_elements_lose_no_text(spark):
     assert extract(spark, *((n, f"http://h{n}/", x) for n, x in enumerate(htmls))) == dict.fromkeys(range(len(htmls)), "kept")
 
 
+def test_text_that_a_host_repeats_is_template(spark):
+    page = lambda n: f"<body><div class='box'><ul><li>Home</li><li>About</li></ul></div><div class='x'>{'Offer!' if n % 3 else ''}</div><div class='text'><p>Page {n}</p><p>Home</p></div></body>"
+    rows = [(n, f"http://h/{n}", page(n)) for n in range(6)]
+    copies = [(10 + n, "http://copies/", page(1)) for n in range(6)]  # one page's copies make no template
+    articles = [(20 + n, f"http://art/{n}", f"<div>menu</div><article>same<p>own {n}</p></article>") for n in range(4)]
+    only = [(30 + n, f"http://h/{n}", "<body><div class='box'><ul><li>Home</li><li>About</li></ul></div></body>") for n in range(2)]
+    got = extract(spark, *rows, *copies, *articles, *only)
+    assert got == {n: f"Page {n}" for n in range(6)} | {10 + n: "Home About Offer! Page 1 Home" for n in range(6)} | {20 + n: f"same own {n}" for n in range(4)} | {30 + n: "Home About" for n in range(2)}
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", "plain text only"), (4, "nonsense", "<p>a</p><script>never closed <p>x"), (5, "http://h/", long), (5, "http://h/", long), (None, "http://h/", "<article>x</article>"), (7, "http://H:80/", "<nav>only menu</nav>"), (8, "http://h/", "a < b and <3 <p title='>'>c</p>"), (9, "u", "&am &a &amp &quo &quot;")]
