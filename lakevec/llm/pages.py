@@ -1,23 +1,28 @@
-"""Operator 8: main text of web pages by the tag and text templates of their hosts.
-
-A token is a start tag with its place: the path of container tags above it, with their classes. Over the pages of one
-host each token has an occurrence vector, its count on every page. Tokens with the same vector (compared by the pages it
-is on and a sum of hashes of page and count, so partial sums merge and no host is gathered) are an equivalence class. The
-template of a host is the tokens on at least SUPPORT of its pages; a container is as frequent as what it holds, so they nest.
-What the template leaves open are its slots: the text below its containers. Slots below menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments are boilerplate, but never html, body, or the containers around the only
-article or main; of the rest, the host's content slot is an article, else a main container, else the one with most text.
-Pages that do not fit their host's template are judged by the same order on their own.
-
-A block of text with its place is a token too. Outside of articles and main containers, whose text the markup declares, a
-text that stands at one place on at least SUPPORT of a host's different pages, and on MIN_PAGES, is template: it does not
-count when slots are compared and is left out of the result, unless nothing else is left of a page. Exact copies of a page
-count once. Equal vectors alone do not decide this: a notice on most pages has no class with the page's frame.
-
-Content slots and template texts of hosts are broadcast up to MAX_BROADCAST of both and joined by shuffle beyond.
-
-Defined results: null or empty html, and pages without content, give an empty text and 0 characters; a null url is a host
-of its own; scripts, styles, titles and markup comments are never text; an unclosed script, style, textarea or comment ends with the
+"""Operator 8: main text of web pages by equivalence classes of tokens over the pages of a host.
+
+Tokens are start tags and blocks of text, each with its place: the path of container tags above it, with their classes.
+Over the pages of a host a token has an occurrence vector, its count on every page; exact copies of a page are one page.
+Vectors are compared by a sum of hashes of page and count, so partial sums merge and no host is gathered. Tokens with
+equal vectors are an equivalence class. Classes on at least SUPPORT of a host's pages, and on MIN_PAGES, are frequent;
+the one on most pages (then the one with most tokens) is the frame.
+
+A token is valid in its class if it is ordered, standing at the same rank among the tokens of its class on every page,
+and nested, standing in the same gap between two tokens of the frame on every page. The template of a host is what is
+valid: its containers open the slots, and its texts are template text. The rest of the text falls into the slots. From
+the whole page down, the main slot is the one below that holds MAIN_SHARE of the remaining text outside of links; what stands in it and is
+no template text is the main text, with text that stands directly in the slots above it; the other slots passed on the way are left out. Tag names only
+break ties: of slots with at least half of the heaviest one's text, one that is or leads to an article, then to a main container,
+goes first, and such a container is not gone below, nor does text above it count. Hosts of too few pages have no template, and pages
+without text in the main slot of their host do not fit it: both are judged by the same descent over their own containers.
+
+What markup declares to be a menu, header, footer, sidebar, notice, advert, form or reader comment is never main text: by
+tag, or by a class, id or role made of listed words alone; but never html, body, or the containers around the only article or main.
+
+A host's template has at most twice as many tokens as its mean page, as each stands on half of the pages. Templates are
+broadcast up to MAX_BROADCAST tokens in all, and beyond joined by host and salt, so that a host of any size is spread.
+
+Defined results: null or empty html, and pages of template text alone, give an empty text and 0 characters; a null url is a
+host of its own; scripts, styles, titles and markup comments are never text; an unclosed script, style, textarea or comment ends with the
 page, an unclosed title at the next tag, and of other unclosed hidden elements only the tag goes; as in browsers, other text
 in head is text of the page;
 white space as Python's str.split sees it becomes one space; repeated pages are kept; an empty table gives an empty
@@ -34,13 +39,13 @@ from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakevec.llm.shared import stored
 from lakevec.llm.textkernel import as_bytes
 
-SUPPORT, MIN_PAGES, MAX_BROADCAST = 0.5, 3, 200_000
+SUPPORT, MIN_PAGES, MAIN_SHARE, MAX_BROADCAST, SALTS = 0.5, 3, 0.75, 200_000, 32
 #: Raw text up to its end tag, or else to the end of the page; an unclosed title ends at the next tag.
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|html|article|main)\b).)*+</title\s*>|[^<]*)", re.S | re.I)
 #: Hidden up to the next end tag of their own; without one, or closed in itself, only the tag goes.
@@ -56,30 +61,37 @@ _DROPPED_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadc
 
 
 class Page:
-    """The blocks of one page: (container path, boilerplate or not, text), and how often each token occurs."""
+    """blocks: (container path, declared boilerplate or not, text, characters outside of links), in page order; tokens:
+    (token, path, is a text, block number or -1) in page order, without texts of declared boilerplate."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.tokens: Counter[str] = Counter()
+        self.blocks: list[tuple[str, bool, str, int]] = []
+        self.tokens: list[tuple[int, str, bool, int]] = []
         nodes = [("", 0, False, False)]  # path, number of the node above, listed as boilerplate, article or main
-        found: list[tuple[int, str]] = []  # node, text
+        found: list[tuple[int, str, int]] = []  # node, text, characters outside of links
+        seen: list[str | int] = []  # path of a tag, or number of a block
         stack: list[tuple[str, int]] = []  # tag, node
-        node, path, text, at = 0, "", [], 0
+        node, path, text, at, link, linked = 0, "", [], 0, False, 0
         html = _RAW.sub(" ", html)
         ends: dict[str, list[int]] = {t: [] for t in _HIDDEN}
         for m in _HIDDEN_END.finditer(html):
             ends[m[1].lower()].append(m.end())
 
         def close():
+            nonlocal link, linked
             words = " ".join(unescape("".join(text)).split())
             if words:
-                found.append((node, words))
+                seen.append(len(found))
+                found.append((node, words, max(0, len(words) - linked)))
             text.clear()
+            link, linked = False, 0
 
         for m in _MARK.finditer(html):
             if m.start() < at:
                 continue
             text.append(html[at : m.start()])
+            if link:
+                linked += m.start() - at
             at = m.end()
             tag = (m[2] or "").lower()
             if tag in _HIDDEN:
@@ -88,12 +100,14 @@ class Page:
                 if not m[1] and k < len(ends[tag]) and not (tag == "svg" and m[3].endswith("/")):
                     at = ends[tag][k]
                 continue
+            if tag == "a":
+                link = not m[1]
             if not tag or tag in _INLINE:
                 continue
             close()
             if tag not in _CONTAINERS:
                 if not m[1]:
-                    self.tokens[f"{path}/{tag}"] += 1
+                    seen.append(f"{path}/{tag}")
                 continue
             if not m[1]:
                 whole = {x for n in _NAMES.findall(m[3]) for x in n.lower().strip("\"'").split()}
@@ -105,7 +119,7 @@ class Page:
                 nodes.append((path, node, listed and not body and tag not in ("body", "html"), body))
                 node = len(nodes) - 1
                 stack.append((tag, node))
-                self.tokens[path] += 1
+                seen.append(path)
             elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -114,68 +128,56 @@ class Page:
         text.append(html[at:])
         close()
         self._judge(nodes, found)
+        for x in seen:
+            if isinstance(x, str):
+                self.tokens.append((tag_token(x), x, False, -1))
+            elif not self.blocks[x][1]:
+                self.tokens.append((text_token(self.blocks[x][0], self.blocks[x][2]), self.blocks[x][0], True, x))
 
-    def _judge(self, nodes: list[tuple[str, int, bool, bool]], found: list[tuple[int, str]]) -> None:
+    def _judge(self, nodes: list[tuple[str, int, bool, bool]], found: list[tuple[int, str, int]]) -> None:
         """Blocks below a listed container are boilerplate; but if no article or main has text outside of these, the
         containers around one are not."""
         dropped, inside, holds = [], [], [False] * len(nodes)
         for n, (_, up, listed, body) in enumerate(nodes):
             dropped.append(listed or n > 0 and dropped[up])
             inside.append(body or n > 0 and inside[up])
-        if not any(inside[n] and not dropped[n] for n, _ in found):
+        if not any(inside[n] and not dropped[n] for n, _, _ in found):
             for n in range(len(nodes) - 1, 0, -1):
                 holds[nodes[n][1]] |= holds[n] or nodes[n][3]
             for n, (_, up, listed, _) in enumerate(nodes):
                 dropped[n] = listed and not holds[n] or n > 0 and dropped[up]
-        self.blocks = [(nodes[n][0], dropped[n], words) for n, words in found]
+        self.blocks = [(nodes[n][0], dropped[n], words, chars) for n, words, chars in found]
+
+    def rest(self, template: frozenset[int] | set[int]) -> list[tuple[str, str, int]]:
+        """(path, text, characters outside of links) of each block that is neither declared boilerplate nor template text."""
+        return [(p, self.blocks[n][2], self.blocks[n][3]) for token, p, is_text, n in self.tokens if is_text and token not in template]
+
+    def text(self, template: frozenset[int] | set[int] = frozenset(), main: str | None = None) -> str:
+        """The remaining blocks of the main slot, in page order; of the page's own one if there are none."""
+        rest = self.rest(template)
+        if main is None or not any(_below(p, main) for p, _, _ in rest):
+            weights: Counter[str] = Counter()
+            for p, _, chars in rest:
+                weights[p] += chars
+            main = main_slot(weights)
+        return " ".join(t for p, t, _ in rest if _below(p, main) or rank(main) == 1 and _below(main, p))
 
-    def chars(self, template: frozenset[int] = frozenset()) -> Counter[str]:
-        """Characters of text that is not boilerplate or ``template``, below each container."""
-        out: Counter[str] = Counter()
-        for path, dropped, text in self.blocks:
-            if dropped or template and not _declared(path) and text_token(path, text) in template:
-                continue
-            while path:
-                out[path] += len(text)
-                path = path.rpartition("/")[0]
-        return out
-
-    def texts(self) -> dict[int, tuple[str, int]]:
-        """Path and characters of each text token that may be template."""
-        out: dict[int, tuple[str, int]] = {}
-        for path, dropped, text in self.blocks:
-            if not dropped and not _declared(path):
-                token = text_token(path, text)
-                out[token] = path, len(text) + (out[token][1] if token in out else 0)
-        return out
-
-    def text(self, content: str | None, template: frozenset[int] = frozenset()) -> str:
-        """Blocks in page order below ``content``, without those of the host's template; where the page has none there,
-        below its own best container."""
-        below = self._below(content) if content is not None else []
-        if not below and (own := self.chars(template) or self.chars()):
-            below = self._below(max(own, key=lambda p: (rank(p), own[p], -len(p))))
-        if not below and not any(p for p, _, _ in self.blocks):
-            below = [(p, t) for p, d, t in self.blocks if not d]
-        own_text = [t for p, t in below if not template or _declared(p) or text_token(p, t) not in template]
-        return " ".join(own_text or [t for _, t in below])
-
-    def _below(self, content: str) -> list[tuple[str, str]]:
-        return [(p, t) for p, d, t in self.blocks if not d and (p == content or p.startswith(content + "/"))]
+
+@lru_cache(16384)
+def tag_token(path: str) -> int:
+    return int.from_bytes(blake2b(as_bytes(path), digest_size=8).digest(), "big", signed=True)
 
 
 def text_token(path: str, text: str) -> int:
     return int.from_bytes(blake2b(as_bytes(f"{path}\0{text}"), digest_size=8).digest(), "big", signed=True)
 
 
-@lru_cache(4096)
-def _declared(path: str) -> bool:
-    """Whether the text is below an article or a main container."""
-    while path:
-        if rank(path) > 1:
-            return True
-        path = path.rpartition("/")[0]
-    return False
+def _below(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
+def _up(path: str) -> str:
+    return path.rpartition("/")[0]
 
 
 def rank(path: str) -> int:
@@ -186,91 +188,160 @@ def rank(path: str) -> int:
     return 2 if tags[-1] == "main" or "main" in path.rpartition("/")[2].split(".")[1:] else 1
 
 
+def main_slot(weights: dict[str, int]) -> str:
+    """The main slot; ``weights``: characters of text directly in each slot, by path."""
+    total: Counter[str] = Counter()
+    for path, n in weights.items():
+        total[path] += n
+        while path:
+            path = _up(path)
+            total[path] += n
+    at = ""
+    while rank(at) < 3:
+        below = [p for p in total if p and _up(p) == at]
+        most = max((total[p] for p in below), default=0)
+        leads = {p: max(rank(q) for q in total if _below(q, p) and 2 * total[q] >= total[p]) for p in below if 2 * total[p] >= most}
+        best = max(leads, key=lambda p: (leads[p], total[p], p), default=None)
+        if best is None or leads[best] <= rank(at) and (rank(at) > 1 or total[best] < MAIN_SHARE * total[at] or not total[best] and len(below) > 1):
+            break
+        at = best
+    return at
+
+
 def _with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, n_tokens, vector, rank, chars) over all pages of each host."""
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(host, token, path, is_text, n_pages, vector) over all different pages of each host."""
+    names = {"host": pa.string(), "content": pa.int64(), "token": pa.int64(), "path": pa.string(), "is_text": pa.bool_(), "n": pa.int32()}
 
-    def count(batches):
+    def find(batches):
         for batch in batches:
-            html, host = batch.column("html").to_pylist(), batch.column("host").to_pylist()
-            page_id = batch.column("page_id").to_pylist()
             out = []
-            for h, x, i in zip(html, host, page_id):
+            for h, x, i in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content"))):
                 page = Page(h or "")
-                chars = page.chars()
-                out += [(x, t, i, n, rank(t), chars[t]) for t, n in page.tokens.items()]
-            columns = list(zip(*out)) or [[]] * 6
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "token", "page_id", "n", "rank", "chars"])
-
-    found = _with_host(pages).select("page_id", "html", "host").mapInArrow(count, "host string, token string, page_id long, n long, rank int, chars long")
-    vector = F.sum(F.xxhash64("page_id", "n").cast("decimal(38,0)"))
-    return found.groupBy("host", "token").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_tokens"), vector.alias("vector"), F.max("rank").alias("rank"), F.sum("chars").alias("chars"))
+                counts = Counter(t for t, _, _, _ in page.tokens)
+                first = {t: (p, is_text) for t, p, is_text, _ in page.tokens}
+                out += [(x, i, t, *first[t], n) for t, n in counts.items()]
+            yield _batch(out, names)
+
+    contents = _with_host(pages).select("host", "html", F.xxhash64("html").alias("content"))
+    found = contents.mapInArrow(find, "host string, content long, token long, path string, is_text boolean, n int")
+    once = found.groupBy("host", "token", "content").agg(F.max("path").alias("path"), F.bool_or("is_text").alias("is_text"), F.max("n").alias("n"))
+    vector = F.sum(F.xxhash64("content", "n").cast("decimal(38,0)"))
+    return once.groupBy("host", "token").agg(F.max("path").alias("path"), F.bool_or("is_text").alias("is_text"), F.count("*").alias("n_pages"), vector.alias("vector"))
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, token, path, is_text, n_pages, class, class_tokens, frame): the tokens of each host's frequent classes; frame
+    is the host's first class."""
+    found = stored(occurrences(pages).where(F.col("n_pages") >= MIN_PAGES), "page-tokens")
+    hosts = _with_host(pages).groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("host_pages"))
+    frequent = found.join(hosts, "host").where(F.col("n_pages") >= SUPPORT * F.col("host_pages")).withColumn("class", F.xxhash64("vector", "n_pages")).drop("host_pages", "vector")
+    sizes = frequent.groupBy("host", "class").agg(F.count("*").alias("class_tokens"), F.max("n_pages").alias("n"))
+    frames = sizes.groupBy("host").agg(F.max_by("class", F.struct("n", "class_tokens", "class")).alias("frame"))
+    return frequent.join(sizes.drop("n"), ["host", "class"]).join(frames, "host")
+
+
+def _joined(pages: DataFrame, hosts: DataFrame, tokens: str) -> DataFrame:
+    """``pages`` with the columns of ``hosts`` (one row a host, ``tokens`` an array among them): broadcast if small."""
+    small = (hosts.agg(F.sum(1 + F.size(tokens))).first()[0] or 0) <= MAX_BROADCAST
+    known = hosts.withColumnRenamed("host", "known_host")
+    rows = _with_host(pages)
+    if small:
+        return rows.join(F.broadcast(known), F.col("host") == F.col("known_host"), "left")
+    salted = known.withColumn("known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, (F.col("host") == F.col("known_host")) & (F.col("salt") == F.col("known_salt")), "left")
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, n_tokens, vector, class_tokens, rank, chars): the tokens of each host's template.
-
-    class_tokens: the tokens of the host with the same vector.
-    """
-    found = stored(tokens(pages), "page-tokens")
-    hosts = found.groupBy("host").agg(F.max("n_pages").alias("host_pages"))
-    frequent = found.join(hosts, "host").where(F.col("n_pages") >= SUPPORT * F.col("host_pages")).drop("host_pages")
-    classes = frequent.groupBy("host", "vector", "n_pages").agg(F.count("*").alias("class_tokens"))
-    return frequent.join(classes, ["host", "vector", "n_pages"])
-
-
-def _above(path: Column) -> Column:
-    """The container and those above it."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
-
-
-def template_texts(pages: DataFrame) -> DataFrame:
-    """(host, token, path, chars): the text tokens of each host's template; chars over all its pages."""
-
-    def find(batches):
+    """(host, token, path, is_text, class, frame, valid, weight): the tokens of each host's frequent classes; valid: ordered
+    and nested; weight: characters outside of links, of the text itself or of text of no class directly in the slot. The
+    row of token 0 is the whole page."""
+    found = stored(classes(pages), "page-classes")
+    hosts = found.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("known"), F.first("frame").alias("frame"))
+    names = {"host": pa.string(), "token": pa.int64(), "path": pa.string(), "is_text": pa.bool_(), "rank": pa.int32(), "gap": pa.int32(), "weight": pa.int64()}
+
+    def check(batches):
+        for batch in batches:
+            host, html, frame, out, cache = (batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("frame").to_pylist(), [], {})
+            for i, x in enumerate(host):
+                if x not in cache:
+                    cache[x] = {t["token"]: t["class"] for t in batch.column("known")[i].as_py()}
+                out += [(x, *row) for row in places(Page(html[i] or ""), cache[x], frame[i])]
+            yield _batch(out, names)
+
+    checked = _joined(pages, hosts, "known").where("frame is not null").select("html", "host", "known", "frame").mapInArrow(check, "host string, token long, path string, is_text boolean, rank int, gap int, weight long")
+    same = lambda c: F.min(c) == F.max(c)
+    rows = checked.groupBy("host", "token").agg(F.max("path").alias("path"), F.bool_or("is_text").alias("is_text"), (same("rank") & same("gap")).alias("valid"), F.sum("weight").alias("weight"))
+    known = found.select(F.col("host").alias("h"), F.col("token").alias("t"), "class", "frame")
+    return rows.join(known, (F.col("host") == F.col("h")) & (F.col("token") == F.col("t")), "left").drop("h", "t")
+
+
+def places(page: Page, known: dict[int, int], frame: int) -> list[tuple[int, str, bool, int, int, int]]:
+    """(token, path, is a text, rank in its class, gap of the frame, weight) of each token of ``known`` (token: class) on the
+    page, by its first occurrence, and of the whole page as token 0."""
+    ranks: Counter[int] = Counter()
+    out: dict[int, list] = {0: [0, "", False, 0, 0, 0]}
+    for token, path, is_text, n in page.tokens:
+        own = known.get(token)
+        if own is not None and token not in out:
+            out[token] = [token, path, is_text, ranks[own], ranks[frame], 0]
+            ranks[own] += 1
+        if is_text:
+            slot = token
+            if own is None:
+                while path and tag_token(path) not in out:
+                    path = _up(path)
+                slot = tag_token(path) if path else 0
+            out[slot][-1] += page.blocks[n][3]
+    return [tuple(x) for x in out.values()]
+
+
+def slots(found: DataFrame) -> DataFrame:
+    """(host, texts array<long>, main): the template texts and the main slot of each host. ``found``: ``template`` of its pages."""
+
+    def choose(batches):
         for batch in batches:
             out = []
-            for h, x, i in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content_id"))):
-                out += [(x, i, token, path, chars) for token, (path, chars) in Page(h or "").texts().items()]
-            columns = list(zip(*out)) or [[]] * 5
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "content_id", "token", "path", "chars"])
-    contents = _with_host(pages).withColumn("content_id", F.xxhash64("html"))
-    found = contents.mapInArrow(find, "host string, content_id long, token long, path string, chars long")
-    once = found.groupBy("host", "token", "path", "content_id").agg(F.sum("chars").alias("chars"))
-    counted = once.groupBy("host", "token", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    hosts = contents.select("host", "content_id").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    return counted.where(F.col("n") >= MIN_PAGES).join(hosts, "host").where(F.col("n") >= SUPPORT * F.col("host_pages")).select("host", "token", "path", "chars")
-
-def content_slots(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(host, content): the container of each host's template whose slot holds the main text."""
-    known = texts.select("host", F.explode(_above(F.col("path"))).alias("token"), "chars").groupBy("host", "token").agg(F.sum("chars").alias("known"))
-    slots = template(pages).join(known, ["host", "token"], "left").withColumn("chars", F.col("chars") - F.coalesce("known", F.lit(0))).where("chars > 0")
-    best = F.max_by("token", F.struct("rank", "chars", (-F.length("token")).alias("short"), "token"))
-    return slots.groupBy("host").agg(best.alias("content"))
+            for host, rows in zip(batch.column("host").to_pylist(), batch.column("rows").to_pylist()):
+                valid = {r["path"] for r in rows if r["valid"] and not r["is_text"]}
+                weights: Counter[str] = Counter()
+                for r in rows:
+                    if not (r["valid"] and r["is_text"]):
+                        path = r["path"]
+                        while path and path not in valid:
+                            path = _up(path)
+                        weights[path] += r["weight"]
+                out.append((host, [r["token"] for r in rows if r["valid"] and r["is_text"]], main_slot(weights)))
+            yield _batch(out, {"host": pa.string(), "texts": pa.list_(pa.int64()), "main": pa.string()})
+
+    hosts = found.groupBy("host").agg(F.collect_list(F.struct("token", "path", "is_text", "valid", "weight")).alias("rows"))  # at most twice a mean page's tokens
+    return hosts.mapInArrow(choose, "host string, texts array<long>, main string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page."""
-    texts = stored(template_texts(pages), "template-texts")
-    known = texts.groupBy("host").agg(F.collect_set("token").alias("known"))
-    slots = stored(content_slots(pages, texts).join(known, "host", "full"), "content-slots")
-    slots = slots.select(F.col("host").alias("slot_host"), "content", "known")
-    small = (slots.agg(F.sum(1 + F.greatest(F.size("known"), F.lit(0)))).first()[0] or 0) <= MAX_BROADCAST
-    joined = _with_host(pages).join(F.broadcast(slots) if small else slots, F.col("host") == F.col("slot_host"), "left")
+    joined = _joined(pages, stored(slots(template(pages)), "page-slots"), "texts")
 
     def extract(batches):
         for batch in batches:
-            texts = [Page(h or "").text(c, frozenset(k or ())) for h, c, k in zip(*(batch.column(n).to_pylist() for n in ("html", "content", "known")))]
+            html, host, main, cache, texts = batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("main").to_pylist(), {}, []
+            for i, x in enumerate(host):
+                if x not in cache:
+                    cache[x] = frozenset(batch.column("texts")[i].as_py() or ())
+                texts.append(Page(html[i] or "").text(cache[x], main[i]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([as_bytes(t) for t in texts], pa.binary()).cast(pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "content", "known").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "texts", "main").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

@@ -36,11 +36,11 @@ words AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d),
 kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
-#: The article's blocks by regular expressions, for pages whose only markup there is h1, p, b and br and whose only
-#: references are &amp; and &quot;, as in the test tables.
+#: What is left of the body without its menu, advert, footer and comments, by regular expressions, for pages whose other
+#: markup is h1, p, b, br and one container, and whose only references are &amp; and &quot;, as in the test tables.
 OP8_SQL = r"""
-WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS x FROM pages),
-b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(x, '</?b>', '', 'g'), '</?(?:p|h1|br)>'),
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<body>(.*)', 1, 's'), '<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*|<!--.*?-->', '', 'gs') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>'),
   lambda t: trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda t: t <> ''), ' ') AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,22 +15,37 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none (tests)."""
-    named = spark.sparkContext.getConf().get(_CONF) or spark.conf.get("lakevec.shared.dir", None)
+    """The folder that driver and executors share. Only a local session that names none (tests) gets one of its own."""
+    named = spark.sparkContext.getConf().get(_CONF) or spark.conf.get(_CONF, None) or spark.conf.get("lakevec.shared.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_CONF} must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lakevec-')}"
         spark.conf.set("lakevec.shared.dir", named)
     return named.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors. The table
+    goes when the driver ends, or earlier by ``drop_stored``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakevec/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/lakevec/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have Spark's file system delete what is stored at ``path`` when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a ``stored`` table that nothing will read again."""
     jvm = df.sparkSession._jvm

@@ -1,5 +1,6 @@
 import html as entities
 import re
+from collections import Counter, defaultdict
 
 from lakevec.llm import pages
 
@@ -53,14 +54,72 @@ def test_unclosed_and_self_closed_elements_lose_no_text(spark):
     assert extract(spark, *((n, f"http://h{n}/", x) for n, x in enumerate(htmls))) == dict.fromkeys(range(len(htmls)), "kept")
 
 
+def plain_pages(n, order=("Home", "About"), more=""):
+    """Pages of one host without an article, a main container or a telling name."""
+    frame = "<body><div class='q1'><ul><li>{}</li><li>{}</li></ul></div><div class='q2'><h1>Title {n}</h1><div class='q3'><p>Text {n} of some length</p><p>more {n}</p></div></div>{more}<div class='q4'>All rights kept</div></body>"
+    return [(i, f"http://plain/{i}", frame.format(*(order if i % 2 else order[::-1]), n=i, more=more)) for i in range(n)]
+
+
+def test_classes_decide_without_telling_markup(spark, monkeypatch):
+    want = {n: f"Title {n} Text {n} of some length more {n}" for n in range(6)}
+    assert extract(spark, *plain_pages(6, ("Home", "Home"))) == want
+    monkeypatch.setattr(pages, "MIN_PAGES", 100)  # without classes nothing is template
+    got = extract(spark, *plain_pages(6, ("Home", "Home")))
+    assert got != want and got[1] == "Home Home Title 1 Text 1 of some length more 1 All rights kept"
+
+
+def test_tokens_out_of_order_or_gap_are_no_template(spark):
+    rows = plain_pages(6, ("Home", "About"))  # the two menu items change places from page to page
+    found = pages.template(spark.createDataFrame(rows, SCHEMA)).where("is_text").collect()
+    valid = {r.path: r.valid for r in found}
+    assert valid == {"/html/body/div.q1/ul": False, "/html/body/div.q4": True} or valid == {"/body/div.q1/ul": False, "/body/div.q4": True}
+    notice = lambda n: f"<body>{'<div class=a>Notice</div>' if n % 2 else ''}<h2>T</h2><p>Page {n}</p><h3>U</h3>{'<div class=a>Notice</div>' if n % 4 == 2 else ''}</body>"
+    moved = pages.template(spark.createDataFrame([(n, "http://h/", notice(n)) for n in range(8)], SCHEMA)).collect()
+    assert {r.path: r.valid for r in moved if r.path.endswith(("div.a", "h3", "h2")) and not r.is_text} == {"/body/div.a": False, "/body/h2": True, "/body/h3": True}
+
+
+def test_template_equals_a_plain_version(spark, sf_dir):
+    """Vectors, classes, ranks and gaps of whole hosts by dictionaries."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + [(1000 + i, u, h) for i, u, h in plain_pages(7, more="<div>x</div>")] + [(2000, "http://plain/0", plain_pages(1)[0][2])] * 3
+    hosts = defaultdict(dict)
+    for _, url, html in rows:
+        hosts[re.match(r"https?://([^/:?#]*)", url)[1].lower()][html] = pages.Page(html)
+    want = set()
+    for host, found in hosts.items():
+        tokens = defaultdict(dict)
+        for k, page in enumerate(found.values()):
+            for t, n in Counter(t for t, *_ in page.tokens).items():
+                tokens[t][k] = n
+        frequent = {t: tuple(sorted(v.items())) for t, v in tokens.items() if len(v) >= pages.MIN_PAGES and len(v) >= pages.SUPPORT * len(found)}
+        members = defaultdict(list)
+        for t, v in frequent.items():
+            members[v].append(t)
+        if not members:
+            continue
+        best = max((len(v), len(m)) for v, m in members.items())
+        frames = [v for v, m in members.items() if (len(v), len(m)) == best]
+        if len(frames) > 1:
+            continue  # a tie, which hashes settle
+        for t, v in frequent.items():
+            seen = set()
+            for page in found.values():
+                first = list(dict.fromkeys(x for x, *_ in page.tokens))
+                if t in first:
+                    before = first[: first.index(t)]
+                    seen.add((sum(x in members[v] for x in before), sum(x in members[frames[0]] for x in before)))
+            want.add((host, t, len(seen) == 1))
+    got = {(r.host, r.token, r.valid) for r in pages.template(spark.createDataFrame(rows, SCHEMA)).collect() if r.token}
+    assert len(want) > 20 and want <= got and {h for h, _, _ in want} >= {"plain"}
+
+
 def test_text_that_a_host_repeats_is_template(spark):
     page = lambda n: f"<body><div class='box'><ul><li>Home</li><li>About</li></ul></div><div class='x'>{'Offer!' if n % 3 else ''}</div><div class='text'><p>Page {n}</p><p>Home</p></div></body>"
     rows = [(n, f"http://h/{n}", page(n)) for n in range(6)]
     copies = [(10 + n, "http://copies/", page(1)) for n in range(6)]  # one page's copies make no template
-    articles = [(20 + n, f"http://art/{n}", f"<div>menu</div><article>same<p>own {n}</p></article>") for n in range(4)]
+    articles = [(20 + n, f"http://art/{n}", f"<div>menu</div><article>Share this<p>own {n}</p></article>") for n in range(4)]
     only = [(30 + n, f"http://h/{n}", "<body><div class='box'><ul><li>Home</li><li>About</li></ul></div></body>") for n in range(2)]
     got = extract(spark, *rows, *copies, *articles, *only)
-    assert got == {n: f"Page {n}" for n in range(6)} | {10 + n: "Home About Offer! Page 1 Home" for n in range(6)} | {20 + n: f"same own {n}" for n in range(4)} | {30 + n: "Home About" for n in range(2)}
+    assert got == {n: f"Page {n}" for n in range(6)} | {10 + n: "Home About Offer! Page 1 Home" for n in range(6)} | {20 + n: f"own {n}" for n in range(4)} | {30 + n: "" for n in range(2)}
 
 
 def test_edge_rows(spark):
@@ -75,11 +134,21 @@ def test_edge_rows(spark):
 
 
 def test_classes_of_a_template(spark):
-    rows = [(n, "http://h/x", f"<html><body><ul>{'<li>x</li>' * n}</ul><article><p>a</p></article>{'<div class=rare>y</div>' * (n == 1)}</body></html>") for n in range(1, 7)]
-    got = {r.token: r for r in pages.template(spark.createDataFrame(rows, SCHEMA)).collect()}
+    rows = [(n, "http://h/x", f"<html><body><ul>{'<li>x</li>' * n}</ul><article><p>a{n}</p></article>{'<div class=rare>y</div>' * (n == 1)}</body></html>") for n in range(1, 7)]
+    got = {r.path: r for r in pages.classes(spark.createDataFrame(rows, SCHEMA)).where("not is_text").collect()}
     once = got["/html"]
-    assert all(got[t].vector == once.vector and got[t].class_tokens == once.class_tokens == 5 for t in ("/html/body", "/html/body/article", "/html/body/article/p", "/html/body/ul"))
-    assert got["/html/body/ul/li"].vector != once.vector and not any("rare" in t for t in got)
+    assert all(got[t]["class"] == once["class"] == once.frame and got[t].class_tokens == once.class_tokens == 5 for t in ("/html/body", "/html/body/article", "/html/body/article/p", "/html/body/ul"))
+    assert got["/html/body/ul/li"]["class"] != once["class"] and not any("rare" in t for t in got)
+
+
+def test_main_slot():
+    assert pages.main_slot({"/body/div.a": 80, "/body/div.b": 20}) == "/body/div.a"
+    assert pages.main_slot({"/body/div.a": 60, "/body/div.b": 40}) == "/body"
+    assert pages.main_slot({"/body/div.a": 60, "/body/div.w/article": 40}) == "/body/div.w/article"
+    assert pages.main_slot({"/body/div.a": 90, "/body/article": 10}) == "/body/div.a"
+    assert pages.main_slot({"/body/article": 10, "/body/article/div": 90}) == "/body/article"
+    assert pages.main_slot({"/body/main": 10, "/body/main/div": 90}) == "/body/main" and pages.main_slot({}) == "" == pages.main_slot({"": 5})
+    assert pages.main_slot({"/body": 0, "/body/div": 0}) == "/body/div"
 
 
 def test_hosts_are_apart(spark, monkeypatch):
