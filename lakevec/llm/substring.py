@@ -3,10 +3,11 @@
 A window is WINDOW consecutive words of one document. Equal windows hold equal words, hence the same least hash among
 their runs of ANCHOR words: their anchor. Two windows that start apart have anchors that start apart, so a window is
 never counted more often than its anchor. Pass 1 builds a count-min sketch of anchor starts in every partition and
-merges them; an estimate is never below the count, so a window whose anchor is estimated at 1 is unique. Pass 2 hashes
-(96 bits) and exactly groups only the windows estimated repeated; the grouping is pre-aggregated before its shuffle,
-and what it hands on are the windows that turn out to be single, with their place. Pass 3 removes the words covered by
-the windows estimated repeated that are not single.
+merges them; an estimate is never below the count, so a window whose anchor is estimated at 1 is unique. Pass 2 groups
+only the windows estimated repeated, by a cryptographic digest of all their bytes (BLAKE2b, 128 bits), as no texts that collide are known
+or can be made; the grouping is pre-aggregated before its shuffle, and what it hands on are the windows that turn out to be
+single, with their place. Pass 3 removes the words covered by the windows estimated repeated that are not single. The
+hashes of anchors may collide at will: that only raises estimates.
 
 The sketch has ROWS rows whose width follows the volume of text (about four cells for each anchor) up to MAX_CELLS. Only
 one bit for each cell, "counted twice or more", is broadcast: at most ROWS * MAX_CELLS / 8 bytes (128 MiB). Beyond that
@@ -19,7 +20,7 @@ an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ WINDOW, ANCHOR = 35, 12
 ROWS, BLOCK, MIN_CELLS, MAX_CELLS = 2, 1 << 16, 1 << 18, 1 << 29
 #: Bytes of text for each anchor, as found in prose; it sets the width of the sketch only.
 BYTES_PER_ANCHOR = 64
+DIGESTS = 100_000
 
 
 class Windows:
@@ -58,6 +60,11 @@ class Windows:
         least[self.at + width - 1] = self.anchors
         self.starts = hashes[~sliding_min(~least, width) == hashes]
 
+    def digests(self, at: np.ndarray, window: int) -> bytes:
+        """The windows that begin at the words ``at``: 16 bytes each."""
+        whole = memoryview(self.words.buf)
+        return b"".join([blake2b(whole[s:e], digest_size=16).digest() for s, e in zip(self.words.starts[at].tolist(), self.words.ends[at + window - 1].tolist())])
+
 
 def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -134,47 +141,41 @@ def _estimated_repeated(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def single_windows(docs: DataFrame, bits, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, tag, pos): the windows estimated repeated that occur once in all documents. ``bits``: a broadcast.
-
-    tag is the text's CRC-32: it tells apart rows that share a doc_id but not a text.
-    """
+    """(doc_id, tag, pos): the windows estimated repeated that occur once in all documents. ``bits``: a broadcast; ``docs``:
+    (doc_id, text, tag), tag telling apart rows that share a doc_id but not a text."""
 
     def candidates(batches):
-        first, second = RunHasher(1), RunHasher(2)
+        hasher = RunHasher(1)
         for batch in batches:
-            ids = np.array(batch.column(0).fill_null(0))
+            ids, tags = (np.array(batch.column(c).fill_null(0)) for c in (0, 2))
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in slices(texts):
-                w = Windows(texts[a:b], first, window, anchor)
+                w = Windows(texts[a:b], hasher, window, anchor)
                 at = w.at[_estimated_repeated(w.anchors, bits.value)]
-                if not len(at):
-                    continue
-                s, e = w.words.starts[at], w.words.ends[at + window - 1]
-                text = w.words.text_of[at]
-                tags = np.fromiter(map(zlib.crc32, texts[a:b]), np.int64, b - a)
-                place = tags[text] << 32 | (at - w.words.first[text])
-                h, h2 = first.runs(w.prefix, s, e), second.runs(second.prefix(w.words.buf), s, e)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a:b][text]), pa.array(place)], names=["h", "h2", "doc_id", "place"])
+                for k in range(0, len(at), DIGESTS):  # digests are Python objects: few at a time
+                    part = at[k : k + DIGESTS]
+                    text, pos = w.words.text_of[part], part - w.words.first[w.words.text_of[part]]
+                    digests = np.frombuffer(w.digests(part, window), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(ids[a:b][text]), pa.array(tags[a:b][text]), pa.array(pos.astype(np.int32))], names=["h", "h2", "doc_id", "tag", "pos"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(candidates, "h long, h2 int, doc_id long, place long")
-    alone = rows.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place")).where("n = 1")
-    return alone.select("doc_id", F.shiftrightunsigned("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    rows = docs.select("doc_id", "text", "tag").mapInArrow(candidates, "h long, h2 long, doc_id long, tag long, pos int")
+    alone = rows.groupBy("h", "h2").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("doc_id", "tag", "pos"))).where("n = 1")  # least of one
+    return alone.select("doc_id", "tag", "pos")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, rest: str | None = None) -> DataFrame:
     """(doc_id, kept string, n_words long, n_removed long) of each row; kept is null where the text is null.
 
-    ``rest``: a struct column of ``docs`` that is carried along under that name.
+    ``rest``: a column of ``docs`` that is carried along as ``carried``.
     """
     spark = docs.sparkSession
     carried = [] if rest is None else [rest]
     docs = texts_of(docs, *carried)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = spark.sparkContext.broadcast(repeated_cells(docs, sketch_cells(n_bytes), window, anchor))
-    alone = single_windows(docs, bits, window, anchor).groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("alone"))  # of one document
-
-    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "tag": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    joined = keyed.join(alone.select(F.col("doc_id").alias("id"), "tag", "alone"), ["id", "tag"], "left").select("doc_id", "text", "alone", *carried)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"), F.coalesce("doc_id", F.lit(0)).alias("id"), *(F.col(c).alias("carried") for c in carried))
+    alone = single_windows(keyed, bits, window, anchor).groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_list("pos").alias("alone"))  # of one document
+    joined = keyed.join(alone, ["id", "tag"], "left").select("doc_id", "text", "alone", *["carried"] * len(carried))
 
     def removed(batches):
         hasher = RunHasher(1)
@@ -204,20 +205,21 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     kept.append(None if raw[i] is None else b" ".join(runs))
                     n_words.append(n)
                     n_removed.append(n - int(stays.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *batch.columns[3:]], names=["doc_id", "kept", "n_words", "n_removed", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *batch.columns[3:]], names=["doc_id", "kept", "n_words", "n_removed", *["carried"] * len(carried)])
 
     fields = StructType().add("doc_id", "long").add("kept", "string").add("n_words", "long").add("n_removed", "long")
     for c in carried:
-        fields.add(c, docs.schema[c].dataType)
+        fields.add("carried", docs.schema[c].dataType)
     return joined.mapInArrow(removed, fields)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept words as text and their length as n_chars; all other columns as they are."""
+    """``docs`` with the kept words as text and their length as n_chars; all other columns as they are, whatever their names."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = repeated_words(docs.select("*", F.struct(*rest).alias("_rest")), rest="_rest")
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(c).alias(f"c{n}") for n, c in enumerate(rest))).alias("rest"))
+    found = repeated_words(packed, rest="rest")
     fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select(*(fresh[c].alias(c) if c in fresh else F.col("_rest")[c].alias(c) for c in docs.columns))
+    return found.select(*(fresh[c].alias(c) if c in fresh else F.col("carried")[f"c{rest.index(c)}"].alias(c) for c in docs.columns))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

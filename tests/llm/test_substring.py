@@ -52,6 +52,31 @@ def test_small_windows_with_many_ties(spark, window, anchor):
     assert result(substring.repeated_words(docs, window, anchor)) == brute_force(rows, window)
 
 
+def test_words_that_polynomial_hashes_confuse_stay(spark):
+    """Thue-Morse words and their complements collide in every polynomial hash modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{n}" for n in range(34))
+    rows = [(1, f"{word} {rest}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {rest}"), (3, f"{word} {rest}")]
+    assert result(substring.repeated_words(spark.createDataFrame(rows[:2], "doc_id long, text string"))) == brute_force(rows[:2], 35)
+    got = substring.repeated_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(1, 35), (2, 0), (3, 35)]
+
+
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    words = " ".join(f"w{n}" for n in range(80))
+    rows = [(1, words, "a"), (1, words[:200], "b"), (1, "other " + words[50:], "c"), (None, words[100:], "d"), (1, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rest string")
+    docs = docs.selectExpr("*", *(f"_rest as {c}" for c in ("rest", "carried", "alone", "tag", "id", "kept", "n_words", "c0", "n_chars")))
+    want = brute_force([r[:2] for r in rows], 35)
+    assert result(substring.repeated_words(docs)) == want
+    cut = substring.without_repeats(docs)
+    got = cut.collect()
+    assert cut.columns == docs.columns and sorted(r._rest for r in got) == list("abcde")
+    assert all(r.rest == r.carried == r.tag == r.kept == r._rest for r in got) and {r._rest: r.text for r in got}["e"] is None
+
+
 def test_no_estimate_is_below_the_count():
     random.seed(3)
     texts = [" ".join(random.choices("abcd", k=200)).encode() for _ in range(20)]
