@@ -5,10 +5,11 @@ one class; punctuation as itself) and the count of words that repeat the word be
 sample. The labelled vectors (at most MAX_LABELLED rows of DIMENSIONS numbers) are broadcast; every document's cosine
 with every one of them is computed in blocks, and its NEIGHBOURS nearest vote, weighted by similarity.
 
-The sample is bounded: the MAX_LABELLED labelled rows with the least hash of doc_id (a documented parameter); the score
-runs over all of every text.
+The sample is bounded: the MAX_LABELLED labelled documents with the least hash of doc_id (a documented parameter), one row
+each; the score runs over all of every text.
 
-Defined results: an empty or null text has no direction and scores the sample's share of label 1; without labelled rows
+Defined results: a document with several labels has the greatest; of rows that share a labelled doc_id the one with the least
+hash of its text is learned from; an empty or null text has no direction and scores the sample's share of label 1; without labelled rows
 every score is 0.5; neighbour ties go to the row first in the sample; repeated rows score alike and are kept; null
 doc_ids are scored and never held out; an empty table gives an empty result; other columns are ignored.
 """
@@ -84,16 +85,22 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def sampled_labels(labels: DataFrame, column: str, limit: int) -> list[tuple[int, int]]:
-    """Up to ``limit`` (doc_id, label), by the least hash of doc_id; repeated labels of a document count once, as the greatest."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("y"))
+def resolved_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y): one label for each document, the greatest of those it has."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("y"))
+
+
+def sampled_labels(known: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """Up to ``limit`` rows of ``resolved_labels``, those with the least hash of doc_id."""
     return [tuple(r) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
 
 
 def labelled_texts(docs: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
-    """(doc_id, text, y) of the sampled rows, which are at most as many as the sampling bound."""
+    """(doc_id, text, y) of the sampled labels, one row for each document: of repeated rows the one with the least hash of its text."""
     known = docs.sparkSession.createDataFrame(rows, "known_id long, y int")
-    return texts_of(docs).join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("doc_id", "text", "y")
+    found = texts_of(docs).join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: int = MAX_LABELLED) -> Model:
@@ -103,12 +110,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: in
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in slices(texts):
-                rows = np.minimum(counts(texts[a:b]), 65535).astype(np.uint16)
+                rows = counts(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(2)[a:b]], names=["doc_id", "x", "y"])
 
-    got = labelled_texts(docs, sampled_labels(labels, column, limit)).mapInArrow(features, "doc_id long, x binary, y int").collect()
+    got = labelled_texts(docs, sampled_labels(resolved_labels(labels, column), limit)).mapInArrow(features, "doc_id long, x binary, y int").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.stack([np.frombuffer(r.x, np.uint16) for r in got]).astype(np.float32) if got else np.zeros((0, WIDTH), np.float32)
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
     return Model(x, np.array([r.y for r in got]))
 
 

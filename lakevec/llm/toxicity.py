@@ -1,17 +1,26 @@
 """Operator 10: toxicity by a classifier chain of linear models.
 
-Features are whole words and their first 3, 4, 5 and 6 bytes (lower case, letters only), hashed to 64 bits; the FEATURES
-most telling of the labelled sample (log-likelihood ratio, more frequent in toxic rows) are kept. The chain predicts
-CATEGORIES in order: ``insult`` (a toxic row with a word that no clean row of the sample holds), ``severe`` (a toxic row
-with at least SEVERE_WORDS of those), ``toxic`` (the label). Each is a logistic model over the features and the
-probabilities of the categories before it; for training those probabilities are out-of-fold predictions, so a later
-model never sees what an earlier one has learned by heart.
-
-The sample is bounded: at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows, those with the least hash of doc_id
-(documented parameters); every word of every document is scored.
-
-Defined results: null, empty or wordless texts have no features and get the models' base rates; without labelled rows of
-both kinds every probability is 0; repeated rows score alike and are kept; null doc_ids are scored and never held out; an
+The chain predicts CATEGORIES in order, each by a logistic model:
+
+``insult``: a toxic row with a telling word that no clean row holds. Its model sees FEATURES telling words and word beginnings.
+``severe``: a toxic row whose share of such words is at or above the middle of those of all insults. Its model sees the form of the text
+(length, length of words, marks, lines) and the log-odds of ``insult``.
+``toxic``: the label. Its model sees the form and the log-odds of ``insult`` and ``severe``; no word reaches it but through these.
+
+For training, the labelled rows are dealt into INNER_FOLDS by a hash of their text, copies together. Telling words are chosen, and the
+first two categories' targets and probabilities worked out, for each fold from the other folds alone: nothing that a row adds to the
+choice of words comes back in its own target or in the probability that a later model learns from. Scoring uses words and
+models of all rows.
+
+Features are whole words of at most WORD_BYTES bytes and the first 3, 4, 5 and 6 bytes of words (lower case, letters only),
+hashed to 64 bits; the FEATURES most telling (log-likelihood ratio, more frequent in toxic rows) are kept.
+
+The sample is bounded: at most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents, those with the least hash of doc_id
+(documented parameters), one row each; every word of every document is scored.
+
+Defined results: a document labelled both ways is toxic; of rows that share a labelled doc_id the one with the least hash of its
+text is learned from; null, empty or wordless texts have no words and get what the models say of none; without labelled rows
+of both kinds every probability is 0; repeated rows score alike and are kept; null doc_ids are scored and never held out; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,30 +34,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakevec.llm.langid import fold
-from lakevec.llm.quality import labelled_texts, sampled_labels
-from lakevec.llm.shared import texts_of
+from lakevec.llm.quality import labelled_texts, resolved_labels, sampled_labels
+from lakevec.llm.shared import drop_stored, stored, texts_of
 from lakevec.llm.textkernel import RunHasher, Words, slices
 
 CATEGORIES = ("insult", "severe", "toxic")
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_ROWS = 4000, 8000, 256, 3
-SEVERE_WORDS, INNER_FOLDS, RIDGE, STEPS = 3, 5, 1.0, 12
+MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_ROWS, WORD_BYTES = 4000, 8000, 256, 3, 64
+INNER_FOLDS, RIDGE, STEPS, MOST_LOG_ODDS = 5, 1.0, 25, 12.0
 PREFIXES = (3, 4, 5, 6)
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def hashed_words(texts: list[bytes], hasher: RunHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hash and text number, for every word and each of its proper prefixes."""
+def hashed_words(texts: list[bytes], hasher: RunHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hash and text number, for every word and each of its proper prefixes; words of each text."""
     w = Words([_NO_LETTERS.sub(" ", t.decode("utf-8", "replace").lower()).encode() for t in texts])
     prefix = hasher.prefix(w.buf)
     length = w.ends - w.starts
-    hashes, owners = [hasher.runs(prefix, w.starts, w.ends)], [w.text_of]
+    short = length <= WORD_BYTES
+    hashes, owners = [hasher.runs(prefix, w.starts[short], w.ends[short])], [w.text_of[short]]
     for n in PREFIXES:
         longer = length > n
         with np.errstate(over="ignore"):
             hashes.append(hasher.runs(prefix, w.starts[longer], w.starts[longer] + n) + np.uint64(n))
         owners.append(w.text_of[longer])
-    return np.concatenate(hashes), np.concatenate(owners)
+    return np.concatenate(hashes), np.concatenate(owners), w.counts
+
+
+def forms(texts: list[bytes], n_words: np.ndarray) -> np.ndarray:
+    """(texts, 4): logarithm of words, bytes a word, marks of emphasis a word, lines a word."""
+    marks = np.array([t.count(b"!") + t.count(b"?") + t.count(b"*") for t in texts], np.float64)
+    lines, size = (np.fromiter((f(t) for t in texts), np.float64, len(texts)) for f in (lambda t: t.count(b"\n"), len))
+    many = np.maximum(n_words, 1)
+    return np.stack([np.log1p(n_words), np.minimum(size / many, 20) / 10, np.minimum(marks / many, 1), np.minimum(lines / many, 1)], axis=1)
 
 
 class Lookup:
@@ -67,41 +85,52 @@ class Lookup:
         return at[hit], i[hit]
 
 
-def presence(texts: list[bytes], hasher: RunHasher, lookup: Lookup) -> np.ndarray:
-    """(texts, features) 0/1."""
-    hashes, owner = hashed_words(texts, hasher)
+def seen(texts: list[bytes], hasher: RunHasher, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, features) occurrences, and (texts, 4) forms with the plain count of words before them."""
+    hashes, owner, n_words = hashed_words(texts, hasher)
     at, i = lookup(hashes)
-    out = np.zeros((len(texts), len(lookup.kept)))
-    out[owner[at], i] = 1
-    return out
+    width = max(len(lookup.kept), 1)
+    out = np.bincount(owner[at] * width + i, minlength=len(texts) * width).reshape(len(texts), width)[:, : len(lookup.kept)]
+    return out, np.hstack([n_words[:, None], forms(texts, n_words)])
 
 
-def telling_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list:
-    """(h, toxic rows, clean rows) of the FEATURES most telling hashes. ``sample``: (doc_id, text, y)."""
+def telling_features(sample: DataFrame, labels: list[tuple[int, int]]) -> list[list]:
+    """For each inner fold left out, and last for none: (h, rows of toxic, rows of clean) of the FEATURES most telling hashes.
+
+    ``sample``: (doc_id, text, y, part); ``labels``: (y, part) of its rows.
+    """
 
     def tally(batches):
         hasher = RunHasher(3)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            y = np.array(batch.column(2).to_pylist())
+            group = np.array(batch.column(3).to_pylist()) * 2 + np.array(batch.column(2).to_pylist())
             for a, b in slices(texts):
-                h, owner = hashed_words(texts[a:b], hasher)
+                h, owner, _ = hashed_words(texts[a:b], hasher)
                 order = np.lexsort((owner, h))
                 h, owner = h[order], owner[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                h, owner = h[new], owner[new]
+                h, own = h[new], group[a:b][owner[new]]
                 edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-                toxic = np.add.reduceat(y[a:b][owner], edges) if len(h) else edges
-                rows = np.diff(np.r_[edges, len(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[edges].view(np.int64)), pa.array(toxic.astype(np.int64)), pa.array((rows - toxic).astype(np.int64))], names=["h", "t", "c"])
-
-    sums = sample.mapInArrow(tally, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    t, c = F.col("t"), F.col("c")
-    part = lambda n, of, total: F.when(n > 0, n * F.log(n * (n_toxic + n_clean) / (of * total))).otherwise(0.0)
-    ratio = part(t, t + c, n_toxic) + part(c, t + c, n_clean) + part(n_toxic - t, n_toxic + n_clean - t - c, n_toxic) + part(n_clean - c, n_toxic + n_clean - t - c, n_clean)
-    kept = sums.where((t >= LEAST_ROWS) & (t * n_clean > 3 * c * n_toxic))
-    return kept.orderBy(ratio.desc(), "h").limit(FEATURES).collect()
+                counts = [np.add.reduceat((own == g).astype(np.int64), edges) if len(h) else edges for g in range(2 * INNER_FOLDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[edges].view(np.int64)), *map(pa.array, counts)], names=["h", *names])
+
+    names = [f"n{g}" for g in range(2 * INNER_FOLDS)]
+    sums = sample.mapInArrow(tally, "h long, " + ", ".join(f"{n} long" for n in names)).groupBy("h").agg(*(F.sum(n).alias(n) for n in names))
+    sums = stored(sums.where(sum((F.col(n) for n in names[3::2]), F.col(names[1])) >= LEAST_ROWS), "telling-words")
+    part = lambda n, of, total, all_rows: F.when(n > 0, n * F.log(n * all_rows / (of * total))).otherwise(0.0)
+    out = []
+    for without in [*range(INNER_FOLDS), None]:
+        n_toxic, n_clean = (sum(y == v and p != without for y, p in labels) for v in (1, 0))
+        t, c = (sum(F.col(names[2 * g + v]) for g in range(INNER_FOLDS) if g != without) for v in (1, 0))
+        rows, rest = t + c, n_toxic + n_clean - t - c
+        every = F.lit(n_toxic + n_clean)
+        ratio = part(t, rows, F.lit(n_toxic), every) + part(c, rows, F.lit(n_clean), every) + part(n_toxic - t, rest, F.lit(n_toxic), every) + part(n_clean - c, rest, F.lit(n_clean), every)
+        kept = sums.where((t >= LEAST_ROWS) & (t * n_clean > 3 * c * n_toxic))
+        out.append(kept.orderBy(F.round(ratio, 9).desc(), "h").limit(FEATURES).select("h", t.alias("t"), c.alias("c")).collect())
+    drop_stored(sums)
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -114,7 +143,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
@@ -123,52 +152,104 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def log_odds(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.clip(np.log(p) - np.log1p(-p), -MOST_LOG_ODDS, MOST_LOG_ODDS)
+
+
+def predicted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return sigmoid(x @ w[:-1] + w[-1])
+
+
+def apart(x: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Out-of-fold probabilities: those of the rows of fold f by a model of the other rows over the features x[f]."""
+    out = np.zeros(len(y))
+    for f in range(INNER_FOLDS):
+        if (part == f).any():
+            out[part == f] = predicted(x[f][part == f], logistic(x[f][part != f], y[part != f]))
+    return out
+
+
 class Chain:
-    def __init__(self, x: np.ndarray, targets: np.ndarray):
-        """``targets``: one column for each category, in order."""
-        self.weights, inner = [], np.arange(len(x)) % INNER_FOLDS
-        for k in range(targets.shape[1]):
-            y = targets[:, k]
-            self.weights.append(logistic(x, y))
-            apart = np.zeros(len(x))
-            for f in range(INNER_FOLDS if k < targets.shape[1] - 1 else 0):
-                w = logistic(x[inner != f], y[inner != f])
-                apart[inner == f] = sigmoid(x[inner == f] @ w[:-1] + w[-1])
-            x = np.hstack([x, apart[:, None]])
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        for w in self.weights:
-            x = np.hstack([x, sigmoid(x @ w[:-1] + w[-1])[:, None]])
-        return x[:, -len(self.weights) :]
+    """The three models. ``words``: for each fold left out, and last for none, (rows, features) presence and which of the features
+    no clean row holds; ``form``: number of words, then the form."""
+
+    def __init__(self, words: list[tuple[np.ndarray, np.ndarray]], hits: list[np.ndarray], form: np.ndarray, toxic: np.ndarray, part: np.ndarray):
+        own = np.zeros(len(toxic))  # share of words that are insults, by the words of the other folds
+        for f in range(INNER_FOLDS):
+            own[part == f] = hits[f][part == f] / np.maximum(form[part == f, 0], 1)
+        insult = toxic * (own > 0)
+        middle = np.median(own[insult > 0]) if insult.any() else 0.0
+        severe = insult * (own >= middle)
+        self.targets, form = np.stack([insult, severe, toxic], axis=1), form[:, 1:]
+        p = apart([x for x, _ in words[:-1]], insult, part)
+        second = np.hstack([form, log_odds(p)[:, None]])
+        q = apart([second] * INNER_FOLDS, severe, part)
+        third = np.hstack([second, log_odds(q)[:, None]])
+        self.weights = [logistic(words[-1][0], insult), logistic(second, severe), logistic(third, toxic)]
+
+    def __call__(self, x: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """(rows, 3) probabilities in the order of CATEGORIES."""
+        known, out = form[:, 1:], [predicted(x, self.weights[0])]
+        for w in self.weights[1:]:
+            known = np.hstack([known, log_odds(out[-1])[:, None]])
+            out.append(predicted(known, w))
+        return np.stack(out, axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Lookup, Chain | None]:
     """Fit on a bounded sample of ``labels`` (doc_id, toxic); the caller leaves out what is held out."""
-    known = labels.withColumn("toxic", F.col("toxic").cast("int"))
-    rows = sampled_labels(known.where("toxic = 1"), "toxic", MAX_TOXIC) + sampled_labels(known.where("toxic = 0"), "toxic", MAX_CLEAN)
-    n_toxic = sum(y for _, y in rows)
-    if not n_toxic or n_toxic == len(rows):
-        return Lookup(np.zeros(0, np.uint64)), None
-    sample = labelled_texts(docs, rows)
-    telling = telling_features(sample, n_toxic, len(rows) - n_toxic)
-    lookup = Lookup(np.array([r.h for r in telling], np.int64).view(np.uint64))
-    clean_free = np.isin(lookup.kept, np.array([r.h for r in telling if not r.c], np.int64).view(np.uint64))
+    known = resolved_labels(labels, "toxic")
+    rows = sampled_labels(known.where("y = 1"), MAX_TOXIC) + sampled_labels(known.where("y = 0"), MAX_CLEAN)
+    nothing = Lookup(np.zeros(0, np.uint64)), None
+    if len({y for _, y in rows}) < 2:
+        return nothing
+    part = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(INNER_FOLDS)).cast("int")
+    sample = stored(labelled_texts(docs, rows).withColumn("part", part), "labelled-texts")
+    labelled = [tuple(r) for r in sample.select("y", "part").collect()]  # one a sampled document at most
+    if len({y for y, _ in labelled}) < 2:
+        return nothing
+    telling = telling_features(sample, labelled)
+    hashes = [np.array([r.h for r in t], np.int64).view(np.uint64) for t in telling]
+    lookup = Lookup(np.unique(np.concatenate(hashes)))
 
     def features(batches):
         hasher = RunHasher(3)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in slices(texts):
-                found = presence(texts[a:b], hasher, lookup).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([r.tobytes() for r in found], pa.binary()), batch.column(2)[a:b]], names=["doc_id", "x", "y"])
-
-    got = sorted(sample.mapInArrow(features, "doc_id long, x binary, y int").collect())
-    if not got:
-        return lookup, None
-    x = np.stack([np.frombuffer(r.x, np.uint8) for r in got]).astype(np.float64)
-    y = np.array([r.y for r in got], np.float64)
-    hits = x[:, clean_free].sum(axis=1)
-    return lookup, Chain(x, np.stack([y * (hits > 0), y * (hits >= SEVERE_WORDS), y], axis=1))
+                found, form = seen(texts[a:b], hasher, lookup)
+                sparse = [(np.flatnonzero(r).astype("<i4").tobytes(), r[r > 0].astype("<i4").tobytes()) for r in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array([s[k] for s in sparse], pa.binary()) for k in (0, 1)), pa.array([f.tobytes() for f in form], pa.binary()), batch.column(2)[a:b], batch.column(3)[a:b]], names=["doc_id", "at", "n", "form", "y", "part"])
+
+    got = sorted(sample.mapInArrow(features, "doc_id long, at binary, n binary, form binary, y int, part int").collect())
+    drop_stored(sample)
+    counts = np.zeros((len(got), len(lookup.kept)))
+    for i, r in enumerate(got):
+        counts[i, np.frombuffer(r.at, "<i4")] = np.frombuffer(r.n, "<i4")
+    words, hits = [], []
+    for t, h in zip(telling, hashes):
+        at = np.searchsorted(lookup.kept, h)
+        free = at[[r.c == 0 for r in t]] if len(t) else at
+        words.append(((counts[:, at] > 0).astype(np.float64), free))
+        hits.append(counts[:, free].sum(axis=1))
+    chain = Chain(words, hits, np.stack([np.frombuffer(r.form, np.float64) for r in got]), np.array([r.y for r in got], np.float64), np.array([r.part for r in got]))
+    order = np.argsort(hashes[-1])  # as the final look-up has them
+    chain.weights[0] = np.r_[chain.weights[0][:-1][order], chain.weights[0][-1]]
+    return Lookup(hashes[-1]), chain
+
+
+def probabilities(texts: list[bytes], hasher: RunHasher, model: tuple[Lookup, Chain | None]) -> np.ndarray:
+    """(texts, categories)."""
+    lookup, chain = model
+    out = [np.zeros((0, len(CATEGORIES)))]
+    for a, b in slices(texts):
+        if chain is None:
+            out.append(np.zeros((b - a, len(CATEGORIES))))
+        else:
+            found, form = seen(texts[a:b], hasher, lookup)
+            out.append(chain((found > 0).astype(np.float64), form))
+    return np.concatenate(out)
 
 
 def scored(docs: DataFrame, model: tuple[Lookup, Chain | None]) -> DataFrame:
@@ -178,11 +259,8 @@ def scored(docs: DataFrame, model: tuple[Lookup, Chain | None]) -> DataFrame:
 
     def score(batches):
         hasher = RunHasher(3)
-        lookup, chain = shared.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            p = [chain(presence(texts[a:b], hasher, lookup)) if chain else np.zeros((b - a, len(CATEGORIES))) for a, b in slices(texts)]
-            p = np.concatenate(p) if p else np.zeros((0, len(CATEGORIES)))
+            p = probabilities([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], hasher, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=names)
 
     return texts_of(docs).mapInArrow(score, "doc_id long, p_insult double, p_severe double, p_toxic double")
@@ -194,11 +272,9 @@ def without_toxic(docs: DataFrame, model: tuple[Lookup, Chain | None]) -> DataFr
 
     def keep(batches):
         hasher = RunHasher(3)
-        lookup, chain = shared.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            parts = [chain(presence(texts[a:b], hasher, lookup))[:, -1] < THRESHOLD if chain else np.ones(b - a, bool) for a, b in slices(texts)]
-            yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
+            p = probabilities([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], hasher, shared.value)
+            yield batch.filter(pa.array(p[:, -1] < THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -80,17 +80,97 @@ def test_quality_and_toxicity_edge_rows(spark, edge_docs, no_docs, small_docs, s
         assert len(got) == 10 and all(0 <= r[column] <= 1 for r in got)
         assert len({r[column] for r in got if r.doc_id in (1, 2)}) == 1 and score(no_docs, model).count() == 0
     assert {r.score for r in quality.scored(edge_docs, quality.train(no_docs, labels.limit(0))).collect()} == {0.5}
+    assert {r.p_toxic for r in toxicity.scored(edge_docs, toxicity.train(no_docs, labels)).collect()} == {0.0}
     assert {r.p_toxic for r in toxicity.scored(edge_docs, toxicity.train(small_docs, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
-def test_chain_feeds_earlier_probabilities_on():
-    rng = np.random.default_rng(2)
-    x = (rng.random((400, 6)) < 0.3).astype(float)
-    first = x[:, 0] * (rng.random(400) < 0.9)
-    second = first * (x[:, 1] > 0)
-    chain = toxicity.Chain(x, np.stack([first, second], axis=1))
-    assert [len(w) for w in chain.weights] == [7, 8] and chain(x).shape == (400, 2)
-    p = toxicity.sigmoid(x @ chain.weights[0][:-1] + chain.weights[0][-1])
-    q = toxicity.sigmoid(np.hstack([x, p[:, None]]) @ chain.weights[1][:-1] + chain.weights[1][-1])
-    assert np.allclose(chain(x), np.stack([p, q], axis=1))
-    assert ((chain(x)[:, 1] > 0.5) == (second > 0.5)).mean() > 0.9
+def test_a_repeated_or_doubly_labelled_document_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, "a b"), (2, "e"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    known = quality.resolved_labels(labels, "toxic")
+    assert sorted(map(tuple, known.collect())) == [(1, 1), (2, 0), (3, 1), (4, 1)]
+    got = [tuple(r) for r in quality.labelled_texts(docs, quality.sampled_labels(known, 10)).collect()]
+    assert sorted(i for i, _, _ in got) == [1, 2, 3] and {t for _, t, _ in got} in ({"a b", "e", None}, {"c d", "e", None})
+    again = quality.labelled_texts(docs.orderBy("text"), quality.sampled_labels(known, 10)).collect()
+    assert {tuple(r) for r in again} == set(got)
+
+
+def gradient_fit(x, y):
+    """The same penalised likelihood by another optimiser: damped fixed-Hessian steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.r_[np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-6]
+    bound, w = np.linalg.inv(x.T @ x / 4 + np.diag(ridge)), np.zeros(x.shape[1])
+    for _ in range(30_000):
+        step = bound @ (x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -35, 35))) - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def test_toxicity_equals_a_plain_fit(spark, sf_dir):
+    """Choice of words, folds, targets, out-of-fold probabilities and all three models, by dictionaries."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted(y)
+    toxic, part = np.array([y[i] for i in rows], float), np.array([zlib.crc32(texts[i]) % 5 for i in rows])
+    words = {i: [w.encode() for w in re.sub(r"[\W\d_]+", " ", t.decode().lower()).split()] for i, t in texts.items()}
+    count = lambda i: Counter(f for w in words[i] for f in [("w", w)] * (len(w) <= 64) + [(n, w[:n]) for n in (3, 4, 5, 6) if len(w) > n])
+    features = {i: count(i) for i in texts}
+    hasher = toxicity.RunHasher(3)
+
+    def number(f):  # the order of ties
+        h, _, _ = toxicity.hashed_words([f[1] + b"x" * (f[0] != "w") if f[0] != "w" else f[1]], hasher)
+        return int(h.view(np.int64)[0 if f[0] == "w" else 1 + [n for n in (3, 4, 5, 6) if len(f[1]) + 1 > n].index(f[0])])
+
+    def telling(use):
+        t, c = Counter(), Counter()
+        for i in use:
+            (t if y[i] else c).update(features[i].keys())
+        n_t, n_c = sum(y[i] for i in use), sum(not y[i] for i in use)
+        term = lambda n, of, total: n * math.log(n * len(use) / (of * total)) if n else 0.0
+        ratio = lambda a, b: term(a, a + b, n_t) + term(b, a + b, n_c) + term(n_t - a, len(use) - a - b, n_t) + term(n_c - b, len(use) - a - b, n_c)
+        kept = [(-round(ratio(t[f], c[f]), 9), number(f), f) for f in t if t[f] >= toxicity.LEAST_ROWS and t[f] * n_c > 3 * c[f] * n_t]
+        kept = [f for _, _, f in sorted(kept)[: toxicity.FEATURES]]
+        return kept, [f for f in kept if not c[f]]
+
+    def form(i):
+        n, t = max(len(words[i]), 1), texts[i]
+        return [math.log1p(len(words[i])), min(len(t) / n, 20) / 10, min(sum(t.count(m) for m in (b"!", b"?", b"*")) / n, 1), min(t.count(b"\n") / n, 1)]
+
+    x = lambda use, kept: np.array([[float(features[i][f] > 0) for f in kept] for i in use]).reshape(len(use), len(kept))
+    p = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    odds = lambda v: np.clip(np.log(v / (1 - v)), -12, 12)[:, None]
+    own, first = np.zeros(len(rows)), np.zeros(len(rows))
+    sets = {f: telling([i for i, g in zip(rows, part) if g != f]) for f in [*range(5), None]}
+    for k, i in enumerate(rows):
+        own[k] = sum(features[i][f] for f in sets[part[k]][1]) / max(len(words[i]), 1)
+    insult = toxic * (own > 0)
+    severe = insult * (own >= np.median(own[insult > 0]))
+    for f in range(5):
+        there, here = [i for i, g in zip(rows, part) if g != f], [i for i, g in zip(rows, part) if g == f]
+        first[part == f] = p(x(here, sets[f][0]), gradient_fit(x(there, sets[f][0]), insult[part != f]))
+    shape = np.array([form(i) for i in rows])
+    second, q = np.hstack([shape, odds(first)]), np.zeros(len(rows))
+    for f in range(5):
+        q[part == f] = p(second[part == f], gradient_fit(second[part != f], severe[part != f]))
+    third = np.hstack([second, odds(q)])
+    models = gradient_fit(x(rows, sets[None][0]), insult), gradient_fit(second, severe), gradient_fit(third, toxic)
+    everyone = sorted(texts)
+    a = p(x(everyone, sets[None][0]), models[0])
+    b_in = np.hstack([np.array([form(i) for i in everyone]), odds(a)])
+    b = p(b_in, models[1])
+    want = np.stack([a, b, p(np.hstack([b_in, odds(b)]), models[2])], axis=1)
+    got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, sf_dir).collect()}
+    assert sets[None][0] and np.abs(np.array([[got[i].p_insult, got[i].p_severe, got[i].score] for i in everyone]) - want).max() < 1e-4
+
+
+def test_later_models_need_the_earlier_probabilities(spark, sf_dir):
+    """Ablation: without what the chain feeds on, the last model decides otherwise."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lookup, chain = toxicity.train(docs, labels)
+    got = {r.doc_id: r.p_toxic >= 0.5 for r in toxicity.scored(docs, (lookup, chain)).collect()}
+    chain.weights[2] = np.r_[chain.weights[2][:4], 0, 0, chain.weights[2][-1]]
+    cut = {r.doc_id: r.p_toxic >= 0.5 for r in toxicity.scored(docs, (lookup, chain)).collect()}
+    assert sum(got[i] != cut[i] for i in got) > 0.5 * sum(got.values()) > 10
