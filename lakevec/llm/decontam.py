@@ -2,37 +2,42 @@
 
 Texts become lower-case words without punctuation. Every SEED_WORDS-gram of an item is a seed, however many documents hold
 it. A document and an item that share a seed are aligned (match +1, mismatch and gap -1) in the part of the document around
-their seeds, unless a bound shows that no alignment there can reach the threshold; the score is the best local alignment
-over that of the whole item. An item found word for word needs no alignment: its score is 1.
-
-The bound: an alignment of M matches and E edits has at most E + 1 runs of matches, so at least M - 2(E + 1) of the item's
-grams lie in it. With K places of the item whose gram is in the document and W places whose word is, M <= W and the
-score M - E is at most (K + W + 2) / 2, and at most W. By the same count, an alignment whose score is over half of the item
-and one word more always holds a seed. It spans at most twice the item's words, which is how far is aligned around seeds.
-
-Each executor holds the benchmark's grams; the benchmark is dealt into parts of at most MAX_BENCHMARK_BYTES, one pass
-each, so a benchmark of any size has its broadcast bounded.
-
-Defined results: null texts and items have no words and match nothing; items of fewer than SEED_WORDS words match nothing;
-repeated items and rows are each reported; null ids stay null; an empty table on either side gives an empty result; other
-columns are ignored; documents are read whole.
+their seeds, unless a bound shows that no alignment there can reach what is needed: THRESHOLD of the item's words, or
+LONG_SCORE whatever the item's length. The score is the best local alignment over that of the whole item. An item found word
+for word needs no alignment: its score is 1. Words are compared as bytes, by their number in the items' vocabulary; no hash decides.
+
+Seeds are not only the rare ones: at half of an item's score a copy may keep any of its grams and lose all others, so that each
+choice among them loses copies (a test has such). The bound does the work of rarity: an alignment of M matches and E edits has at
+most E + 1 runs of matches, so at least M - 2(E + 1) of the item's grams lie in it. With K places of the item whose gram is in the
+document and W places whose word is, M <= W and the score M - E is at most (K + W + 2) / 2, and at most W. An alignment that holds
+no seed at all has an edit for every two matches; such is not looked for. An alignment spans at most twice the item's words,
+which is how far is aligned around seeds.
+
+The benchmark is dealt into parts of at most about MAX_BENCHMARK_BYTES of text, one pass over the documents each. The driver makes
+and broadcasts one part at a time (some ten times its text), and a task loads the one part it works with.
+
+Defined results: null texts and items have no words and match nothing; items of fewer than SEED_WORDS words match where they
+stand word for word; repeated items and rows are each reported; null ids stay null; an empty table on either side gives an
+empty result; other columns are ignored; documents are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.llm.shared import texts_of
-from lakevec.llm.textkernel import RunHasher, Words, as_bytes, slices
+from lakevec.llm.shared import drop_stored, stored, texts_of
+from lakevec.llm.textkernel import as_bytes, mix64, slices
 
-SEED_WORDS, THRESHOLD = 3, 0.5
+SEED_WORDS, THRESHOLD, LONG_SCORE = 3, 0.5, 25
 MATCH, MISMATCH, GAP, REACH = 1, -1, -1, 2
-MAX_BENCHMARK_BYTES = 64 << 20
+MAX_BENCHMARK_BYTES = 8 << 20
 _MARKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _WIDE_MARKS = re.compile(r"[^\w\x00-\x7f]+")
 
@@ -44,35 +49,61 @@ def normal(text: bytes) -> bytes:
     return text.lower().translate(_MARKS)
 
 
-class Grams:
-    """Words of a slice of texts as hashes, with the hash of the gram that begins at each word (none at a text's end)."""
+def needed(words):
+    """The least score that counts, by the words of an item."""
+    return np.minimum(THRESHOLD * words, LONG_SCORE)
+
 
-    def __init__(self, texts: list[bytes], hasher: RunHasher):
-        self.words = w = Words([normal(t) for t in texts])
-        prefix = hasher.prefix(w.buf)
-        self.at = w.runs(SEED_WORDS)
-        self.hashes = hasher.runs(prefix, w.starts[self.at], w.ends[self.at + SEED_WORDS - 1])
-        self.word_hashes = lambda: hasher.runs(prefix, w.starts, w.ends)
+class Numbered:
+    """Words of a slice of texts as numbers of a vocabulary, -1 for others and after each text: ``ids``, first word and words
+    of each text, and where all words of a gram are known."""
+
+    def __init__(self, texts: list[bytes], number):
+        split = [normal(t).split() for t in texts]
+        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.first = np.cumsum(self.counts + 1) - self.counts - 1
+        self.ids = np.full(int(self.counts.sum()) + len(split), -1, np.int64)
+        inside = np.ones(len(self.ids), bool)
+        inside[self.first + self.counts] = False
+        self.ids[inside] = np.fromiter(number(chain.from_iterable(split)), np.int64, int(self.counts.sum()))
+        known = self.ids >= 0
+        n = max(len(known) - SEED_WORDS + 1, 0)
+        self.at = np.flatnonzero(np.logical_and.reduce([known[k : k + n] for k in range(SEED_WORDS)]))
 
 
 class GramIndex:
-    """Sorted gram hashes with a bit table in front, so that most words cost one look-up."""
+    """Sorted numbers of grams with a bit table in front, so that most words cost one look-up. The number of a gram is that of
+    its first words among those of the benchmark, and of its last word; it is mixed by a bijection."""
 
     BITS = 22
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
+    def __init__(self, ids: np.ndarray, at: np.ndarray, n_words: int):
+        self.n_words = max(n_words, 1)
+        self.pairs = None if self.n_words < 1 << 21 else np.unique(ids[at] * self.n_words + ids[at + 1])
+        keys, _ = self.keys(ids, at)
+        self.sorted = np.unique(keys)
         self.bits = np.zeros(1 << self.BITS, bool)
-        self.bits[(self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions found, and the index of each one's hash."""
-        at = np.flatnonzero(self.bits[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if not len(at) or not len(self.hashes):
+        self.bits[(self.sorted >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def keys(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The grams at words ``at`` as numbers, and the words of those that can be grams of the benchmark."""
+        pair = ids[at] * self.n_words + ids[at + 1]
+        if self.pairs is not None and len(at):
+            place = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+            hit = self.pairs[place] == pair if len(self.pairs) else np.zeros(len(at), bool)
+            pair, at = place[hit], at[hit]
+        with np.errstate(over="ignore"):
+            return mix64((pair * self.n_words + ids[at + 2]).astype(np.uint64)), at
+
+    def find(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words where a gram of the benchmark begins, and the number of its place in ``sorted``."""
+        keys, at = self.keys(ids, at)
+        hit = np.flatnonzero(self.bits[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        if not len(hit) or not len(self.sorted):
             return at[:0], at[:0]
-        i = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-        hit = self.hashes[i] == hashes[at]
-        return at[hit], i[hit]
+        i = np.minimum(np.searchsorted(self.sorted, keys[hit]), len(self.sorted) - 1)
+        same = self.sorted[i] == keys[hit]
+        return at[hit][same], i[same]
 
 
 def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
@@ -98,59 +129,73 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Items as word hashes, the index of their grams and words, and for each gram the items that have it, once a place."""
+    """Items as numbers of words, the index of their grams, and for each gram the items that have it, once a place."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        hasher = RunHasher(5)
-        grams = Grams([as_bytes(t) for _, t in items], hasher)
-        words, w = grams.word_hashes(), grams.words
+        self.vocabulary: dict[bytes, int] = {}
+        texts = Numbered([as_bytes(t) for _, t in items], lambda words: (self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words))
         self.ids = [i for i, _ in items]
-        self.first, self.counts = w.first, w.counts
-        self.items = [words[f : f + n] for f, n in zip(w.first, w.counts)]
-        self.index, self.vocabulary = GramIndex(grams.hashes), GramIndex(words)
-        self.word_ids = np.searchsorted(self.vocabulary.hashes, words)
-        self.gram_at = np.full(len(words), -1)  # by word, the gram that begins there
-        self.gram_at[grams.at] = np.searchsorted(self.index.hashes, grams.hashes)
-        order = np.argsort(self.gram_at[grams.at], kind="stable")
-        self.owners = w.text_of[grams.at][order].astype(np.int32)
-        self.owner_ends = np.cumsum(np.bincount(self.gram_at[grams.at], minlength=len(self.index.hashes)))
-
-    def matches(self, texts: list[bytes], hasher: RunHasher) -> list[list[tuple[int, float, int, int]]]:
-        """For each text: (item number, score, first word, words) of the items whose score reaches THRESHOLD."""
+        self.words, self.first, self.counts = texts.ids.astype(np.int32), texts.first, texts.counts
+        self.index = GramIndex(texts.ids, texts.at, len(self.vocabulary))
+        at, gram = self.index.find(texts.ids, texts.at)
+        self.gram_at = np.full(len(texts.ids), -1, np.int32)  # by word, the gram that begins there
+        self.gram_at[at] = gram
+        order = np.argsort(gram, kind="stable")
+        self.owners = (np.searchsorted(self.first, at, "right") - 1)[order].astype(np.int32)
+        self.owner_ends = np.cumsum(np.bincount(gram, minlength=len(self.index.sorted)))
+        self.short = defaultdict(list)  # items too short for a seed, by their words
+        for i in np.flatnonzero((self.counts > 0) & (self.counts < SEED_WORDS)).tolist():
+            self.short[tuple(self._item(i).tolist())].append(i)
+
+    def _item(self, number: int) -> np.ndarray:
+        return self.words[self.first[number] : self.first[number] + self.counts[number]]
+
+    def matches(self, texts: list[bytes]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text: (item number, score, first word, words) of the items whose score is enough."""
         out: list[list] = [[] for _ in texts]
-        grams = Grams(texts, hasher)
-        at, gram = self.index.find(grams.hashes)
+        w = Numbered(texts, lambda words: map(self.vocabulary.get, words, repeat(-1)))
+        if self.short:
+            for text, (first, n) in enumerate(zip(w.first.tolist(), w.counts.tolist())):
+                out[text] += self._short(w.ids[first : first + n].tolist())
+        at, gram = self.index.find(w.ids, w.at)
         if not len(at):
             return out
-        words, w = grams.word_hashes(), grams.words
-        at = grams.at[at]
-        known, word = self.vocabulary.find(words)
-        present = np.zeros(len(self.vocabulary.hashes), bool)
-        hit_texts, starts = np.unique(w.text_of[at], return_index=True)
+        present = np.zeros(len(self.vocabulary), bool)
+        hit_texts, starts = np.unique(np.searchsorted(w.first, at, "right") - 1, return_index=True)
         for text, a, b in zip(hit_texts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
             first, n = int(w.first[text]), int(w.counts[text])
-            own = word[np.searchsorted(known, first) : np.searchsorted(known, first + n)]
+            words = w.ids[first : first + n]
+            own = words[words >= 0]
             present[own] = True
             for item in self._possible(np.unique(gram[a:b]), present):
-                score, start, length = self._best(item, words[first : first + n], at[a:b] - first, gram[a:b])
-                if score >= THRESHOLD:
+                score, start, length = self._best(item, words, at[a:b] - first, gram[a:b])
+                if score * self.counts[item] >= needed(self.counts[item]):
                     out[text].append((item, score, start, length))
             present[own] = False
         return out
 
+    def _short(self, words: list[int]) -> list[tuple[int, float, int, int]]:
+        first: dict[tuple, int] = {}
+        for n in range(1, SEED_WORDS):
+            for p in range(len(words) - n + 1):
+                run = tuple(words[p : p + n])
+                if run in self.short:
+                    first.setdefault(run, p)
+        return [(item, 1.0, p, len(run)) for run, p in first.items() for item in self.short[run]]
+
     def _possible(self, gram: np.ndarray, present: np.ndarray) -> list[int]:
-        """The items with one of the grams whose bound in the whole text reaches THRESHOLD."""
+        """The items with one of the grams whose bound in the whole text is enough."""
         ends = self.owner_ends[gram]
         begins = np.where(gram > 0, self.owner_ends[gram - 1], 0)
         items, k = np.unique(self.owners[ranges(begins, ends - begins)], return_counts=True)
         counts = self.counts[items]
-        shared = present[self.word_ids[ranges(self.first[items], counts)]]
+        shared = present[self.words[ranges(self.first[items], counts)]]
         w = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
-        return items[np.minimum(w, (k + w + 2) / 2) >= THRESHOLD * counts].tolist()
+        return items[np.minimum(w, (k + w + 2) / 2) >= needed(counts)].tolist()
 
     def _best(self, number: int, doc: np.ndarray, at: np.ndarray, gram: np.ndarray) -> tuple[float, int, int]:
         """``at`` and ``gram``: the words of the document where a gram of the benchmark begins, and which."""
-        item = self.items[number]
+        item = self._item(number)
         m = len(item)
         own = self.gram_at[self.first[number] : self.first[number] + m - SEED_WORDS + 1]
         for start in at[gram == own[0]].tolist():
@@ -164,11 +209,11 @@ class Benchmark:
                 regions[-1][1] = p + reach
             else:
                 regions.append([max(0, p - reach), p + reach])
-        best = (0.0, 0, 0)
+        best, least = (0.0, 0, 0), needed(m)
         for a, b in regions:
             k = int(np.isin(own, gram[np.searchsorted(at, a) : np.searchsorted(at, b)]).sum())
             w = int(np.isin(item, doc[a:b]).sum())
-            if min(w, (k + w + 2) / 2) < max(THRESHOLD, best[0]) * m:
+            if min(w, (k + w + 2) / 2) < max(least, best[0] * m):
                 continue
             score, end = smith_waterman(item, doc[a:b])
             if score / (MATCH * m) > best[0]:
@@ -176,29 +221,28 @@ class Benchmark:
         return best
 
 
-def prepared(benchmark: DataFrame) -> list[Benchmark]:
-    """The parts of the benchmark."""
+def parts_of(benchmark: DataFrame):
+    """(number of the part, parts, broadcast part), made one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     parts = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MAX_BENCHMARK_BYTES)
-    return [Benchmark([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()]) for part in range(parts)]
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()  # about MAX_BENCHMARK_BYTES of text
+        yield part, parts, benchmark.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in rows]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, n_words): every document and item whose alignment reaches THRESHOLD."""
-    spark = docs.sparkSession
+    """(doc_id, item_id, score, first_word, n_words): every document and item whose alignment is enough."""
     schema = "doc_id long, item_id long, score double, first_word int, n_words int"
+    out = docs.sparkSession.createDataFrame([], schema)
     docs = texts_of(docs)
-    out = spark.createDataFrame([], schema)
-    for part in prepared(benchmark):
-        shared = spark.sparkContext.broadcast(part)
+    for _, _, shared in parts_of(benchmark):
 
         def align(batches, shared=shared):
-            hasher = RunHasher(5)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
                 rows = []
                 for a, b in slices(texts):
-                    for i, found in enumerate(shared.value.matches(texts[a:b], hasher), a):
+                    for i, found in enumerate(shared.value.matches(texts[a:b]), a):
                         rows += [(ids[i], shared.value.ids[item], *rest) for item, *rest in found]
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=["doc_id", "item_id", "score", "first_word", "n_words"])
@@ -208,19 +252,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that match no item."""
-    for part in prepared(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-        at = docs.columns.index("text")
+    """The rows of ``docs``, all columns as they are, that match no item. With several parts, what a pass keeps is stored for
+    the next, so that no task holds two parts."""
+    at, before = docs.columns.index("text"), None
+    for part, parts, shared in parts_of(benchmark):
 
-        def keep(batches, shared=shared, at=at):
-            hasher = RunHasher(5)
+        def keep(batches, shared=shared):
             for batch in batches:
                 texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-                clean = [not found for a, b in slices(texts) for found in shared.value.matches(texts[a:b], hasher)]
+                clean = [not found for a, b in slices(texts) for found in shared.value.matches(texts[a:b])]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if part < parts - 1:
+            docs, last = stored(docs, "clean-so-far"), before
+            before = docs
+            if last is not None:
+                drop_stored(last)
     return docs
 
 

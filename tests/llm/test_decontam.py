@@ -1,5 +1,8 @@
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -43,7 +46,7 @@ def planted(spark):
         want |= {(100 + i, i), (200 + i, i)}
     rows += [(300 + n, " ".join(prose(200))) for n in range(40)] + [(400 + n, rows[0][1]) for n in range(20)] + [(500, None), (501, "")]
     want |= {(400 + n, 0) for n in range(20)}
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (9, None), (10, "of the")], "item_id long, text string"), want
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (9, None), (11, "zz")], "item_id long, text string"), want
 
 
 def test_finds_copies_and_edited_copies(planted):
@@ -71,18 +74,77 @@ def test_the_bound_loses_nothing():
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(n)) for n in [*range(3, 40), *range(3, 40), 200, 400]]
     items = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(3, 30))) for _ in range(60)]
-    found = decontam.Benchmark(list(enumerate(items))).matches([t.encode() for t in texts], decontam.RunHasher(5))
+    found = decontam.Benchmark(list(enumerate(items))).matches([t.encode() for t in texts])
     for text, got in zip(texts, found):
         doc = text.split()
         grams = {tuple(doc[k : k + 3]) for k in range(len(doc) - 2)}
         scores = {i: plain_score(x.split(), doc) / len(x.split()) for i, x in enumerate(items) if any(tuple(x.split()[k : k + 3]) in grams for k in range(len(x.split()) - 2))}
-        assert {i: s for i, s, *_ in got} == {i: s for i, s in scores.items() if s >= decontam.THRESHOLD}
+        assert {i: s for i, s, *_ in got} == {i: s for i, s in scores.items() if s * len(items[i].split()) >= min(decontam.THRESHOLD * len(items[i].split()), decontam.LONG_SCORE)}
 
 
 def test_parts_of_the_benchmark_change_nothing(planted, monkeypatch):
     docs, benchmark, want = planted
     monkeypatch.setattr(decontam, "MAX_BENCHMARK_BYTES", 500)
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()} == want
+    left = {r.doc_id for r in decontam.without_leaks(docs, benchmark).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
+def test_long_excerpts_short_items_and_confusable_words(spark):
+    item = [f"i{k}" for k in range(80)]
+    word = "a"
+    while len(word) < 2048:  # these two collide in polynomial hashes modulo a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    items = [(1, " ".join(item)), (2, "yes indeed"), (3, "no"), (4, f"{word} {word} x y"), (5, "of the"), (5, "of the")]
+    docs = [(1, "a b " + " ".join(item[20:45])), (2, " ".join(item[20:44])), (3, "No, yes; INDEED!"), (4, f"{other} {other} z"), (5, "yes no indeed"), (6, "the of the")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.score * 80), r.first_word, r.n_words) for r in got if r.item_id == 1) == [(1, 1, 25, 0, 27)]
+    assert sorted((r.doc_id, r.item_id) for r in got if r.item_id > 1) == [(3, 2), (3, 3), (5, 3), (6, 5), (6, 5)]
+
+
+def test_many_words_need_pairs():
+    ids = np.array([5, 3_000_000, 7, 5, 3_000_000, 9, -1, 7, 5, 3_000_000])
+    at = np.array([0, 1, 2, 3, 7])
+    small, large = decontam.GramIndex(ids[:7], at[:4], 1 << 20), decontam.GramIndex(ids[:7], at[:4], 1 << 22)
+    assert large.pairs is not None and small.pairs is None and [x.tolist() for x in large.find(ids, at)][0] == [0, 1, 2, 3, 7]
+
+
+def test_recall_of_edited_copies_against_all_alignments(spark):
+    """Copies with a share of words replaced, dropped or moved; every pair is aligned in full, with or without a seed."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    items, docs = [[word() for _ in range(rng.randint(12, 60))] for _ in range(30)], []
+    for n in range(240):
+        copy = [w for w in items[n % 30] if rng.random() > n % 8 * 0.03]
+        copy = [word() if rng.random() < n % 10 * 0.04 else w for w in copy]
+        docs.append([word() for _ in range(20)] + copy + [word() for _ in range(9)])
+    reach = lambda item, doc: plain_score(item, doc) >= min(decontam.THRESHOLD * len(item), decontam.LONG_SCORE)
+    want = {(d, i) for d, doc in enumerate(docs) for i in {d % 30, (d + 7) % 30} if reach(items[i], doc)}
+    found = decontam.contaminated(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(want) > 120 and len(got & want) >= 0.99 * len(want) and all(reach(items[i], docs[d]) for d, i in got)
+
+
+def test_a_large_benchmark_is_bounded_in_memory():
+    """20 MB of items: three parts, each made within 600 MB of the driver's Python and pickled to less than its budget."""
+    script = """
+import pickle, random, resource, sys
+sys.path.insert(0, sys.argv[1])
+from lakevec.llm import decontam
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(200_000)]
+before, sizes = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, []
+for part in range(3):
+    items, size = [], 0
+    while size < 20e6 / 3:
+        items.append((len(items), " ".join(rng.choices(words, k=60)))); size += len(items[-1][1])
+    sizes.append(len(pickle.dumps(decontam.Benchmark(items))))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, max(sizes) >> 20)
+"""
+    out = subprocess.run([sys.executable, "-c", script, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, timeout=300)
+    grown, pickled = map(int, out.stdout.split()[-2:])
+    assert grown < 600 and pickled < 100 and decontam.MAX_BENCHMARK_BYTES >= 20e6 / 3
 
 
 def test_equals_brute_force(spark, small_docs, sf_dir):
@@ -94,7 +156,7 @@ def test_equals_brute_force(spark, small_docs, sf_dir):
         doc = words(r.text)
         grams = {tuple(doc[k : k + 3]) for k in range(len(doc) - 2)}
         for i, item in items:
-            if any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and plain_score(item, doc) / len(item) >= decontam.THRESHOLD:
+            if any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and plain_score(item, doc) >= min(decontam.THRESHOLD * len(item), decontam.LONG_SCORE):
                 want.add((r.doc_id, i))
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(small_docs.limit(60), benchmark).collect()} == want
 
