@@ -8,8 +8,14 @@ the rank file, which has no merge list). The vocabulary's byte table
 (each byte stands as one printable character) is reversed for decoding: tokens become bytes again and are joined before
 UTF-8 is read, so characters split over several tokens come out whole.
 
-Defined results: a null text counts as empty: no ids, no bytes. Ids of text that looks like a special token are those of
-ordinary text. Repeated rows are encoded alike and kept; an empty table gives an empty result; other columns are
+This equals the library's own ``encode``: its byte-level pre-tokenizer cuts by the same pattern, and its model merges each match
+apart from the others. Added tokens of a tokenizer.json are taken out of the text first, as the library does; the rank
+file has none.
+
+Offsets are ranges of characters of the text, by the bytes of the tokens: tokens that share a split character share its range.
+
+Defined results: a null text counts as empty: no ids, no bytes. With the rank file, ids of text that looks like a special
+token are those of ordinary text; with a tokenizer.json an added token has its id. Repeated rows are encoded alike and kept; an empty table gives an empty result; other columns are
 ignored; text is never cut short.
 """
 
@@ -19,6 +25,7 @@ import base64
 import hashlib
 import os
 import re
+import zlib
 from array import array
 from functools import lru_cache
 
@@ -44,18 +51,19 @@ def byte_characters() -> list[str]:
 
 
 def _library(vocabulary: str):
-    """A tokenizers.Tokenizer and its tokens' bytes, from a tokenizer.json or a file of ranks."""
+    """A tokenizers.Tokenizer, its tokens' bytes, and its added tokens by text, from a tokenizer.json or a file of ranks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, models
 
     chars = byte_characters()
     if vocabulary.endswith(".json"):
         library = Tokenizer.from_file(vocabulary)
-        library.encode_special_tokens = True
+        added = library.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized]:
+            raise ValueError(f"added tokens that take in white space, whole words or normalized text: {odd}")
         back = {c: b for b, c in enumerate(chars)}
-        known = {i: t for t, i in library.get_vocab(with_added_tokens=False).items()}
-        tokens = [bytes(back[c] for c in known[i]) if i in known else b"" for i in range(max(known) + 1)]
-        return library, tokens
+        known = {i: bytes(back[c] for c in t) for t, i in library.get_vocab(with_added_tokens=False).items()} | {i: t.content.encode() for i, t in added.items()}
+        return library, [known.get(i, b"") for i in range(max(known) + 1)], {t.content: i for i, t in added.items()}
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     shown = {t: "".join(chars[b] for b in t) for t in ranks}
@@ -65,7 +73,7 @@ def _library(vocabulary: str):
     tokens = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         tokens[r] = t
-    return library, tokens
+    return library, tokens, {}
 
 
 class _Uncut(Exception):
@@ -103,7 +111,8 @@ class Codec:
     """Encoder and decoder of one vocabulary. Ids travel as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: str, remembered: int = MAX_REMEMBERED):
-        self.library, self.tokens = _library(vocabulary)
+        self.library, self.tokens, self.added = _library(vocabulary)
+        self.cut_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.model = self.library.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.shown = {b: c for b, c in enumerate(byte_characters())}
@@ -142,7 +151,17 @@ class Codec:
         return self._piece(" " + text)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text. A long one is cut into blocks at single spaces between visible characters."""
+        """The ids of a text."""
+        if not self.added or not any(a in text for a in self.added):
+            return self._ordinary(text)
+        out, at = [], 0
+        for m in self.cut_added.finditer(text):
+            out += [self._ordinary(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
+            at = m.end()
+        return b"".join([*out, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> bytes:
+        """The ids of a text without added tokens. A long one is cut into blocks at single spaces between visible characters."""
         out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + BLOCK)
@@ -174,13 +193,18 @@ class Codec:
         first = np.cumsum(n) - n
         return self.bytes[np.repeat(self.at[ids] - first, n) + np.arange(int(n.sum()))].tobytes()
 
-    def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """(len(ids), 2) character ranges in ``text``; tokens that share a split character share its range."""
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        starts_character = (raw & 0xC0) != 0x80
-        character = np.cumsum(starts_character) - 1
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, int]:
+        """(len(ids), 2) character ranges in ``text``, and how many tokens begin or end inside a character."""
+        if not len(ids):
+            return np.zeros((0, 2), np.int64), 0
         end = np.cumsum(self.lengths[ids])
-        return np.stack([character[end - self.lengths[ids]], character[end - 1] + 1], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
+        start = end - self.lengths[ids]
+        if text.isascii():
+            return np.stack([start, end], axis=1), 0
+        begins = (np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(begins) - 1
+        whole = begins[start] & np.r_[begins, True][end]
+        return np.stack([character[start], character[end - 1] + 1], axis=1), int((~whole).sum())
 
 
 @lru_cache(maxsize=4)
@@ -198,7 +222,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, offsets: bool = Fals
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [np.frombuffer(c.encode(t), "<u4") for t in texts]
-            spans = [c.offsets(t, i) for t, i in zip(texts, ids)] if offsets else []
+            spans = [c.offsets(t, i)[0] for t, i in zip(texts, ids)] if offsets else []
             column = lambda k: pa.array([s[:, k].astype(np.int32) for s in spans] if offsets else [None] * len(ids), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.view(np.int32) for i in ids], pa.list_(pa.int32())), column(0), column(1)], names=["doc_id", "ids", "starts", "ends"])
         c.forget()
@@ -206,8 +230,9 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, offsets: bool = Fals
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
-def round_trips(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Encode, decode the ids, and digest both: (doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
+def round_trips(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False, with_offsets: bool = False) -> DataFrame:
+    """Encode, decode the ids, and digest both: (doc_id, n_tokens, ids_sha256, decoded_sha256); if asked for the ids, and of the
+    offsets their CRC-32 (pairs of little-endian 32-bit integers) and the number of tokens that cut through a character."""
     vocabulary = vocabulary or public_tokenizers.path(RANKS)
 
     def run(batches):
@@ -215,20 +240,24 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None, with_ids: bool =
         decimal = [str(i).encode() for i in range(len(c.tokens))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids_sha, decoded_sha, kept = [], [], [], []
+            n, ids_sha, decoded_sha, kept, crc, split = [], [], [], [], [], []
             for t in texts:
                 ids = np.frombuffer(c.encode(t), "<u4")
                 n.append(len(ids))
                 if with_ids:
                     kept.append(ids.view(np.int32))
+                if with_offsets:
+                    spans, cuts = c.offsets(t, ids)
+                    crc.append(zlib.crc32(spans.astype("<i4").tobytes()))
+                    split.append(cuts)
                 ids_sha.append(hashlib.sha256(b",".join([decimal[i] for i in ids.tolist()])).hexdigest())
                 decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            more = [pa.array(kept, pa.list_(pa.int32()))] * with_ids + [pa.array(x, pa.int64()) for x in (crc, split) if with_offsets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["offsets_crc32", "split_tokens"] * with_offsets])
         c.forget()
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", offsets_crc32 long, split_tokens long" * with_offsets)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
-    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_offsets=True)

@@ -1,6 +1,6 @@
 """Operator 5: token ids in a binary file format of compressed planes, with a chunk index.
 
-Documents are range-partitioned and sorted by doc_id; each partition is one shard. A shard's ids, every document followed
+Documents are range-partitioned and sorted by doc_id and text; each partition is one shard. A shard's ids, every document followed
 by the end id, are cut into chunks of CHUNK_IDS. A chunk is transposed into planes (bit planes: bit k of every id; byte
 planes: byte k of every id), and each plane is compressed with zstandard apart. One row of the stored table is one chunk:
 its planes, where each ends, and the index of the documents in it (doc_id, start in the shard, ids before this chunk,
@@ -15,7 +15,6 @@ doc_id are ordered by text; an empty table gives no chunk and an empty result; o
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -27,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevec.llm.bpe import codec
-from lakevec.llm.shared import shared_dir, texts_of
+from lakevec.llm.shared import drop_at_exit, scratch_path, texts_of
 
 VOCABULARY, END_ID, CHUNK_IDS, LEVEL = "byte_bpe_50k.json", 2, 1 << 16, 3
 #: Pieces that a codec remembers in each table: more than operator 4, for fewer CPU seconds.
 REMEMBERED = 400_000
+#: Rows that share a doc_id are dealt out by so much of their text, which keeps the order by text.
+ORDERED_CHARS = 32
 CHUNKS = "shard int, chunk int, n_ids int, plane_bits int, planes binary, plane_ends array<int>, doc_id array<long>, doc_start array<long>, before array<long>, here array<int>"
 _ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int32()), ("plane_bits", pa.int32()), ("planes", pa.binary()), ("plane_ends", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("doc_start", pa.list_(pa.int64())), ("before", pa.list_(pa.int64())), ("here", pa.list_(pa.int32()))])
 
@@ -130,7 +131,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
             yield got
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, ORDERED_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(shards, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -195,6 +196,7 @@ def documents_in(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_planes(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/lakevec/ids-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ids")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    drop_at_exit(spark, path)
     return documents_in(spark, path)

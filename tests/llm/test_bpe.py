@@ -21,9 +21,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path(planes.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(planes.VOCABULARY))
 
 
 def key(i):
@@ -73,6 +71,41 @@ def test_offsets(edge_docs):
         assert r.starts[0] == 0 and r.ends[-1] == len(text) and r.starts == sorted(r.starts)
 
 
+def test_offsets_equal_a_plain_count(spark, edge_docs, plain):
+    rows = [(1, "漢字 é🙂 <|endoftext|> ̈x"), (2, "plain words"), (3, ""), (4, None), (5, "🧬🧬 \u200b\U000e0001"), *((r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect())]
+    want = []
+    for doc_id, text in rows:
+        place = [k for k, c in enumerate(text or "") for _ in c.encode()]
+        ends = {len(text[: k + 1].encode()) for k in range(len(text or ""))} | {0}
+        spans, at, split = [], 0, 0
+        for i in plain.encode_ordinary(text or ""):
+            n = len(plain.decode_single_token_bytes(i))
+            spans.append((place[at], place[at + n - 1] + 1))
+            split += at not in ends or at + n not in ends
+            at += n
+        want.append((key(doc_id), zlib.crc32(np.array(spans, "<i4").tobytes()), split))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((key(r.doc_id), r.offsets_crc32, r.split_tokens) for r in bpe.round_trips(docs, with_offsets=True).collect())
+    assert got == sorted(want) and any(n for _, _, n in got)
+
+
+def test_added_tokens_are_those_of_the_library(spark, library, tmp_path):
+    rows = [(n, t) for n, t in enumerate(["<|endoftext|>", " a <|endoftext|>  <|endoftext|>b", "x" * 500 + " <|endoftext|> " + "y z " * 300, "<|endoftext", "<|endoftext|><|endoftext|>", "  <|endoftext|>\n\n"])]
+    path = f"{tmp_path}/ids"
+    planes.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in planes.documents_in(spark, path).collect()) == layout(rows, library)
+    c = bpe.codec(public_tokenizers.path(planes.VOCABULARY))
+    assert all(c.decode(np.frombuffer(c.encode(t), "<u4")).decode() == t for _, t in rows)
+
+
+def test_rows_of_one_id_fill_several_shards(spark, library, tmp_path):
+    rows = [(None, f"{n % 900} some text") for n in range(2000)]
+    path = f"{tmp_path}/ids"
+    planes.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), path, chunk_ids=256)
+    got = sorted((-1, r.start, r.n_tokens, r.ids_crc32) for r in planes.documents_in(spark, path).collect())
+    assert got == layout(rows, library) and spark.read.parquet(path).select("shard").distinct().count() > 3
+
+
 def layout(rows, library):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (key(r[0]), r[1] is not None, r[1] or "")):
