@@ -1,9 +1,11 @@
 """Operator 7: language identification by multinomial naive Bayes over hashed character n-grams.
 
 Each text is lower-cased, runs of non-letters become one space, and its character 1-, 2- and 3-grams are hashed into
-BUCKETS. Training counts grams by language over every training row: partitions pre-aggregate, the sums (languages times
-BUCKETS numbers) make the log-probability matrix, which is broadcast. Scoring gathers the matrix rows of a batch's grams
-and adds them up by document in numpy.
+BUCKETS. Training counts rows and grams by language over every training row: partitions pre-aggregate, the sums
+(languages times BUCKETS numbers) make the priors and the log-probability matrix, which is broadcast. Scoring gathers the matrix
+rows of a batch's grams and adds them up by document in numpy.
+
+The matrix is bounded as languages are: more than MAX_LANGUAGES different values of lang are refused, as they are none.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when there is nothing to
 learn from; ties go to the language first in order; the score is the posterior probability of the predicted language.
@@ -23,27 +25,28 @@ from pyspark.sql import functions as F
 from lakevec.llm.shared import texts_of
 from lakevec.llm.textkernel import slices
 
-BUCKETS, SIZES, SMOOTHING, FOLDS, HELD_OUT = 1 << 15, (1, 2, 3), 0.5, 4, 2
+BUCKET_BITS, SIZES, SMOOTHING, FOLDS, HELD_OUT, MAX_LANGUAGES = 15, (1, 2, 3), 0.5, 4, 2, 1000
+BUCKETS = 1 << BUCKET_BITS
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text number of every gram of some texts; grams never cross texts."""
+def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each of SIZES the bucket of the gram that begins at every character of the texts, BUCKETS where it would end in the
+    next text; and where each text begins."""
     clean = [f" {_NO_LETTERS.sub(' ', t.lower()).strip()} " for t in texts]
-    points = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    text_of = np.repeat(np.arange(len(clean)), [len(c) for c in clean])
-    buckets, owners = [], []
+    points = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([len(c) for c in clean])
+    out, code = [], np.zeros(len(points), np.uint32)
     with np.errstate(over="ignore"):
-        for n in SIZES:
-            if len(points) < n:
-                continue
-            code = np.full(len(points) - n + 1, n, np.uint64)
-            for k in range(n):
-                code = code * np.uint64(0x100000001B3) + points[k : len(points) - n + 1 + k]
-            inside = text_of[: len(code)] == text_of[n - 1 :]
-            buckets.append(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int64)[inside])
-            owners.append(text_of[: len(code)][inside])
-    return np.concatenate(buckets or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+        for n in SIZES:  # each size begins where the one before ends
+            ahead = np.zeros(len(points), np.uint32)
+            ahead[: len(points) - n + 1] = points[n - 1 :]
+            code = code * np.uint32(0x01000193) + ahead
+            bucket = ((code + np.uint32(n)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+            for k in range(1, n):
+                bucket[np.maximum(ends - k, 0)] = BUCKETS  # every text has two characters at least
+            out.append(bucket)
+    return out, np.r_[0, ends[:-1]]
 
 
 def fold(doc_id, folds: int):
@@ -51,35 +54,47 @@ def fold(doc_id, folds: int):
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, bucket, n) over all rows of ``docs`` (text, lang)."""
+    """(lang, bucket, n) over all rows of ``docs`` (text, lang); the count of rows stands under bucket -1."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
+        sums = np.zeros((0, BUCKETS + 1), np.int64)
+        rows = np.zeros(0, np.int64)
         for batch in batches:
-            raw = batch.column(0).cast(pa.binary()).to_pylist()
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for a, b in slices([t or b"" for t in raw]):
-                bucket, owner = grams([(t or b"").decode("utf-8", "replace") for t in raw[a:b]])
-                own = langs[a:b][owner]
-                for lang in set(langs[a:b]):
-                    if lang not in sums:
-                        sums[lang] = np.zeros(BUCKETS, np.int64)
-                    sums[lang] += np.bincount(bucket[own == lang], minlength=BUCKETS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()], np.int64)
+            if len(known) > len(rows):
+                if len(known) > MAX_LANGUAGES:
+                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                grown = len(known) - len(rows)
+                sums, rows = np.vstack([sums, np.zeros((grown, BUCKETS + 1), np.int64)]), np.r_[rows, np.zeros(grown, np.int64)]
+            rows += np.bincount(lang, minlength=len(rows))
+            for a, b in slices(texts):
+                buckets, starts = grams(texts[a:b])
+                own = np.repeat(lang[a:b], np.diff(np.r_[starts, len(buckets[0])]))
+                for k in np.unique(lang[a:b]).tolist():
+                    of = own == k if len(np.unique(lang[a:b])) > 1 else slice(None)
+                    for bucket in buckets:
+                        sums[k] += np.bincount(bucket[of], minlength=BUCKETS + 1)
+        for lang, k in known.items():
+            at = np.flatnonzero(sums[k, :BUCKETS])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows[k], sums[k, at]])], names=["lang", "bucket", "n"])
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the matrix (BUCKETS, languages) of log-probabilities. ``docs``: rows to learn from."""
+    """Languages in order and the matrix (BUCKETS + 1, languages) of log-probabilities, the last row that of the priors.
+    ``docs``: rows to learn from."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = gram_counts(docs).toPandas()  # languages * BUCKETS rows at most
+    found = gram_counts(docs).toPandas()  # MAX_LANGUAGES * (BUCKETS + 1) rows at most
     langs = sorted(found["lang"].unique())
-    counts = np.full((BUCKETS, len(langs)), SMOOTHING)
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = np.zeros((BUCKETS + 1, len(langs)))
     np.add.at(counts, (found["bucket"].to_numpy(np.int64), np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else np.zeros(0, np.int64)), found["n"].to_numpy(np.float64))
-    return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    prior, counts = counts[-1], counts[:-1] + SMOOTHING
+    return langs, np.vstack([np.log(counts / counts.sum(axis=0)), np.log(prior / prior.sum()) if langs else prior])
 
 
 def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
@@ -87,6 +102,8 @@ def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def score(batches):
+        prior = shared.value[-1]
+        weights = np.vstack([shared.value[:-1], np.zeros(len(prior))])
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             pred, best = [], []
@@ -96,8 +113,8 @@ def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
                 if not any(letters):
                     pred, best = pred + ["und"] * (b - a), best + [0.0] * (b - a)
                     continue
-                bucket, owner = grams(texts)
-                log = np.stack([np.bincount(owner, weights=shared.value[bucket, k], minlength=b - a) for k in range(len(langs))], axis=1)
+                buckets, starts = grams(texts)
+                log = prior + sum(np.add.reduceat(weights[bucket], starts, axis=0) for bucket in buckets)
                 log -= log.max(axis=1, keepdims=True)
                 p = np.exp(log)
                 p /= p.sum(axis=1, keepdims=True)

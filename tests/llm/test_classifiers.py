@@ -19,10 +19,10 @@ def test_language_equals_plain_naive_bayes(spark, small_docs):
         out = []
         for n in langid.SIZES:
             for k in range(len(clean) - n + 1):
-                code = n
+                code = 0
                 for c in clean[k : k + n]:
-                    code = (code * 0x100000001B3 + ord(c)) % 2**64
-                out.append((code * 0x9E3779B97F4A7C15) % 2**64 >> 49)
+                    code = (code * 0x01000193 + ord(c)) % 2**32
+                out.append((code + n) * 0x9E3779B1 % 2**32 >> 17)
         return out
 
     rows = small_docs.limit(40).collect()
@@ -30,11 +30,12 @@ def test_language_equals_plain_naive_bayes(spark, small_docs):
     for r in rows[:25]:
         counts[r.lang].update(buckets(r.text))
     langs = sorted(counts)
+    prior = Counter(r.lang for r in rows[:25])
     total = {x: sum(counts[x].values()) + langid.SMOOTHING * langid.BUCKETS for x in langs}
     learn = spark.createDataFrame([(r.text, r.lang) for r in rows[:25]] + [(None, "xx"), ("text", None)], "text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(small_docs.limit(40), *langid.train(learn)).collect()}
     for r in rows:
-        log = {x: sum(n * math.log((counts[x][b] + langid.SMOOTHING) / total[x]) for b, n in Counter(buckets(r.text)).items()) for x in langs}
+        log = {x: math.log(prior[x] / 25) + sum(n * math.log((counts[x][b] + langid.SMOOTHING) / total[x]) for b, n in Counter(buckets(r.text)).items()) for x in langs}
         best = max(langs, key=log.get)
         assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - 1 / sum(math.exp(v - log[best]) for v in log.values())) < 1e-3
 
