@@ -83,10 +83,16 @@ def _operator(op: str, operand: Any, meta: Column, path: str) -> Column:
 
 
 def _equal(meta: Column, path: str, value: Any) -> Column:
+    """Numbers are compared as numbers, in double precision where both are exact in it; all else as JSON text."""
     if isinstance(value, dict):
         raise Validation("cannot compare with an object")
-    text = json.dumps(_plain(value), separators=(",", ":"), ensure_ascii=False)
-    return F.to_json(F.try_variant_get(meta, path, "variant")) == F.lit(text)
+    found = F.try_variant_get(meta, path, "variant")
+    text = F.to_json(found) == F.lit(json.dumps(_plain(value), separators=(",", ":"), ensure_ascii=False))
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or isinstance(value, int) and abs(value) >= 2**53:
+        return text
+    number = F.schema_of_variant(found).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)")
+    same = F.try_variant_get(meta, path, "double") == F.lit(float(value))
+    return F.when(found.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(number & same, F.lit(False)))
 
 
 def _plain(value: Any) -> Any:

@@ -38,6 +38,15 @@ def metric(name: str) -> str:
     return name
 
 
+def index_spec(name: str, dimension: int, distance_metric: str, dtype: str = "float32") -> dict:
+    """A new index: its name, dimension, metric and data type, checked."""
+    if dtype != "float32":
+        raise Validation(f"data type must be float32, not {dtype}")
+    if not 1 <= dimension <= MAX_DIMENSION:
+        raise Validation(f"dimension must be 1 to {MAX_DIMENSION}")
+    return {"name": sized(name, "index name", NAME_CHARS), "dimension": dimension, "metric": metric(distance_metric), "dtype": dtype}
+
+
 def vector_arn(bucket: str, index: str | None = None) -> str:
     return f"arn:aws:s3vectors:{REGION}:{ACCOUNT}:bucket/{bucket}" + (f"/index/{index}" if index else "")
 
@@ -53,6 +62,18 @@ def table_arn(bucket: str, table_id: str | None = None) -> str:
     return f"arn:aws:s3tables:{REGION}:{ACCOUNT}:bucket/{bucket}" + (f"/table/{table_id}" if table_id else "")
 
 
+def parse_table_arn(arn: str) -> tuple[str, str | None]:
+    m = re.fullmatch(r"arn:[^:]*:s3tables:[^:]*:[^:]*:bucket/([^/]+)(?:/table/([^/]+))?", arn)
+    if not m:
+        raise Validation(f"not a table resource: {arn}")
+    return m[1], m[2]
+
+
+def iso_time(at: Column) -> Column:
+    """A timestamp in the form of ISO 8601 with nine digits of a second and Z; the session's time zone is UTC."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+
+
 def target(index_arn: str | None = None, bucket: str | None = None, index: str | None = None) -> tuple[str, str]:
     """(bucket, index) from an index ARN alone, or from both names alone."""
     if index_arn and not bucket and not index:

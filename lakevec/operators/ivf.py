@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakevec import names
 from lakevec.functions.distance import vector_literal
-from lakevec.operators.vectors import distances, search
+from lakevec.operators.vectors import distances, knn_join, search
 
 SAMPLE, ROUNDS, PROBES = 20_000, 15, 8
 
@@ -61,3 +61,12 @@ def search_index(spark: SparkSession, path: str, centroids: np.ndarray, query: l
     """The k nearest rows among the lists nearest to the query: (key, distance, meta)."""
     near = np.argsort(distances(_ready(np.array([query], dtype=np.float64), metric), centroids, "euclidean")[0], kind="stable")[:probes]
     return search(spark.read.parquet(path).where(F.col("list").isin([int(c) for c in near])), vector_literal(query), k, metric, **options)
+
+
+def knn_index(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, k: int, metric: str = "cosine", probes: int = PROBES) -> DataFrame:
+    """``knn_join`` through the index: each query (key, vec) meets the rows of its ``probes`` nearest lists only."""
+
+    def lists(q: np.ndarray) -> np.ndarray:
+        return np.argsort(distances(_ready(q, metric), centroids, "euclidean"), axis=1, kind="stable")[:, :probes]
+
+    return knn_join(spark.read.parquet(path), queries, k, metric, lists=lists)

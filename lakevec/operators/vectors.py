@@ -6,8 +6,11 @@ caller writes its result. Orders always end with the key, so pages and results a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,10 @@ from lakevec import names
 from lakevec.errors import Validation
 from lakevec.functions.distance import distance
 from lakevec.functions.json_filter import compile_filter
+from lakevec.sources.scratch import stored
 
-OVERSAMPLE, MAX_QUERIES = 100, 20_000
+OVERSAMPLE, MAX_STATE = 100, 200_000
+NEAREST = "query_key string, key string, distance double"
 
 
 def invalid(vectors: DataFrame, dimension: int) -> DataFrame:
@@ -77,44 +82,69 @@ def page(rows: DataFrame, by: str, limit: int | None = None, after: str | None =
 
 
 def search(vectors: DataFrame, query: Column, k: int, metric: str = "cosine", where: dict | str | None = None, mode: str = "oversample") -> DataFrame:
-    """The k nearest rows: (key, distance, meta).
+    """The k nearest rows: (key, distance, meta); NaN distances (zero vectors under cosine) come last, and rows without a
+    vector are left out.
 
     With a filter, ``oversample`` takes the nearest k * OVERSAMPLE rows and filters those (it may return fewer than k);
     ``exact`` filters first. Each partition keeps its own top rows; only those are merged.
     """
     names.top_k(k)
+    order = F.asc_nulls_last("distance"), F.col("key")
     found = vectors.select("key", distance(metric, F.col("vec"), query).alias("distance"), "meta")
     if where:
         predicate = compile_filter(where, F.col("meta"))
         if mode == "exact":
             found = found.where(predicate)
         elif mode == "oversample":
-            found = found.orderBy("distance", "key").limit(k * OVERSAMPLE).where(predicate)
+            found = found.orderBy(*order).limit(k * OVERSAMPLE).where(predicate)
         else:
             raise Validation(f"unknown mode {mode}")
-    return found.orderBy("distance", "key").limit(k)
+    return found.orderBy(*order).limit(k).where("distance is not null")
+
 
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512, lists: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(query_key, key, distance, rank): the k nearest rows of each query (key, vec; keys are unique), by distance to 9 digits and key;
+    NaN distances come last. Rows and queries without a vector are left out; one of another size is an error.
 
-def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
-    """(query_key, key, distance, rank): the k nearest rows of each query (key, vec), by distance and key.
+    The queries are dealt by hash into parts of about MAX_STATE / k, one pass over ``vectors`` each. A part is broadcast, and
+    every task keeps the best k rows of each of its queries while Arrow batches go by, as matrix products of ``block`` queries;
+    at its end it hands those on, and a grouped top-k merges the tasks'. With several parts the results of one are stored and
+    its broadcast destroyed before the next is made.
 
-    Queries are dealt by hash into parts of about MAX_QUERIES; a part is broadcast and meets every Arrow batch of
-    ``vectors`` as a matrix product, ``block`` queries at a time. A batch hands on k rows for each query (and ties at the
-    edge), and a grouped top-k merges them. Each part is one pass over ``vectors``.
+    ``lists``: for a matrix of queries the numbers of the lists that each one probes; ``vectors`` then has a column list, and a row
+    meets only the queries that probe its list.
     """
     names.top_k(k)
     names.metric(metric)
-    spark, parts = vectors.sparkSession, -(-queries.count() // MAX_QUERIES)
-    found = spark.createDataFrame([], "query_key string, key string, distance double")
+    spark, known = vectors.sparkSession, queries.where("vec is not null").select("key", "vec")
+    n, least, most = known.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least != most:
+        raise Validation(f"queries have {least} to {most} numbers")
+    rows = vectors.where("vec is not null").select("key", "vec", *["list"] * (lists is not None))
+    parts = -(-n // max(1, MAX_STATE // k))
+    found = spark.createDataFrame([], NEAREST)
     for part in range(parts):
-        known = queries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).select("key", "vec").collect()
-        if known:
-            shared = spark.sparkContext.broadcast(([r.key for r in known], np.array([r.vec for r in known], dtype=np.float64)))
-            found = found.unionByName(vectors.select("key", "vec").mapInPandas(_nearest(shared, k, metric, block), found.schema))
+        own = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()  # about MAX_STATE / k rows
+        if not own.num_rows:
+            continue
+        q = matrix(own.column("vec").combine_chunks(), most)
+        shared = spark.sparkContext.broadcast((own.column("key").to_pylist(), q, None if lists is None else lists(q)))
+        near = (rows if lists is None else rows.where(F.col("list").isin(np.unique(shared.value[2]).tolist()))).mapInArrow(_nearest(shared, k, metric, block), NEAREST)
+        if parts > 1:
+            near = stored(near, "nearest")
+            shared.destroy()
+        found = found.unionByName(near)
     ordered = Window.partitionBy("query_key").orderBy(F.round("distance", 9), "key")
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
 
+def matrix(vecs: pa.Array, dimension: int) -> np.ndarray:
+    """Vectors of ``dimension`` numbers each, nulls among them as NaN."""
+    if len(vecs) and (pc.min_max(pc.list_value_length(vecs)).as_py() != {"min": dimension, "max": dimension}):
+        raise Validation(f"vector must have length {dimension}")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), dimension)
+
+
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """(queries, rows) distances in double precision; a zero vector's cosine distance is NaN."""
     products = queries @ rows.T
@@ -124,16 +154,59 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         return np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * products, 0))
 
 
+class Best:
+    """The k best rows of each query so far, in order of rounded distance (NaN last) and key."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.held = k, np.zeros(n, np.int64)
+        self.rounded, self.exact, self.keys = np.full((n, k), np.inf), np.full((n, k), np.nan), np.full((n, k), None, object)
+
+    def add(self, queries: np.ndarray, found: np.ndarray, keys: np.ndarray) -> None:
+        """``found``: (queries, rows) distances; ``keys``: of the rows."""
+        rounded = np.where(np.isnan(found), np.inf, np.round(found, 9))
+        last = min(self.k, found.shape[1]) - 1
+        edge = np.where(self.held[queries] == self.k, self.rounded[queries, -1], np.inf)
+        edge = np.minimum(edge, np.partition(rounded, last, axis=1)[:, last] if last + 1 == self.k else np.inf)
+        row, col = np.nonzero(rounded <= edge[:, None])
+        if not len(row):
+            return
+        touched = np.unique(row)
+        before = np.arange(self.k) < self.held[queries[touched]][:, None]
+        old_row, old = np.repeat(touched, self.held[queries[touched]]), queries[touched]
+        row = np.r_[row, old_row]
+        near = np.r_[rounded[row[: len(col)], col], self.rounded[old][before]]
+        exact = np.r_[found[row[: len(col)], col], self.exact[old][before]]
+        named = np.r_[keys[col], self.keys[old][before]]
+        place = {name: n for n, name in enumerate(sorted(set(named.tolist())))}
+        order = np.lexsort((np.fromiter(map(place.__getitem__, named), np.int64, len(named)), near, row))
+        row = row[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        within = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        row, within, order = row[within < self.k], within[within < self.k], order[within < self.k]
+        at = queries[row], within
+        self.rounded[at], self.exact[at], self.keys[at] = near[order], exact[order], named[order]
+        self.held[queries[touched]] = np.bincount(row, minlength=len(queries))[touched]
+
+
 def _nearest(shared, k: int, metric: str, block: int):
     def run(batches):
-        keys, q = shared.value
+        names_of, q, probed = shared.value
+        best, everyone = Best(len(names_of), k), np.arange(len(names_of))
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x, own, n = np.array(batch["vec"].to_list(), dtype=np.float64), batch["key"].to_numpy(), min(k, len(batch)) - 1
-            for at in range(0, len(keys), block):
-                d = distances(q[at : at + block], x, metric)
-                row, col = np.nonzero(d <= np.partition(d, n, axis=1)[:, [n]] + 1e-9)  # ties at the edge stay, for the key to decide
-                yield pd.DataFrame({"query_key": [keys[at + r] for r in row], "key": own[col], "distance": d[row, col]})
+            x, keys = matrix(batch.column("vec"), q.shape[1]), batch.column("key").to_numpy(zero_copy_only=False)
+            meetings = [(everyone, slice(None))]
+            if probed is not None:
+                lists = batch.column("list").to_numpy()
+                meetings = [(np.flatnonzero((probed == c).any(axis=1)), lists == c) for c in np.unique(lists)]
+            for queries, rows in meetings:
+                for at in range(0, len(queries), block):
+                    part = queries[at : at + block]
+                    best.add(part, distances(q[part], x[rows], metric), keys[rows])
+        for at in range(0, len(names_of), block):
+            there = np.arange(k) < best.held[at : at + block][:, None]
+            row, _ = np.nonzero(there)
+            yield pa.RecordBatch.from_arrays([pa.array([names_of[at + r] for r in row], pa.string()), pa.array(best.keys[at : at + block][there].tolist(), pa.string()), pa.array(best.exact[at : at + block][there], pa.float64(), from_pandas=False)], names=["query_key", "key", "distance"])
 
     return run

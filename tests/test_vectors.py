@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakevec import names
-from lakevec.errors import Conflict, NotFound, Validation
+from lakevec.errors import Conflict, NotFound, Unsupported, Validation
 from lakevec.functions.distance import vector_literal
 from lakevec.operators import vectors
 from lakevec.sources import snapshot, tables
@@ -47,6 +47,30 @@ def test_knn_join_equals_brute_force(spark):
         assert [got[f"k{i:03d}", n] for n in range(1, 13)] == [f"k{j:03d}" for j in want]
 
 
+def test_knn_join_equals_search_on_odd_vectors(spark, monkeypatch):
+    """Zero and missing vectors, fewer numbers than k in a batch, several parts, an empty side, wrong sizes."""
+    rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0, 0.0]), ("d", [0.0, 0.0]), ("e", [1.0, 1.0]), ("f", [None, 1.0]), ("g", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "key string, vec array<float>").withColumn("meta", F.lit(None).cast("string"))
+    want = {}
+    for key, vec in rows:
+        if vec and None not in vec:
+            want[key] = [(r.key, r.distance) for r in vectors.search(v.where("key <> 'f'"), vector_literal(vec), 6).collect()]
+    assert [k for k, _ in want["c"]] == ["c", "e", "a", "d", "g"] and np.isnan(want["c"][2][1])
+    for state in (200_000, 6):
+        monkeypatch.setattr(vectors, "MAX_STATE", state)
+        got = {}
+        for r in vectors.knn_join(v.where("key <> 'f'").repartition(3), v.where("key <> 'f'"), 6, block=2).orderBy("query_key", "rank").collect():
+            got.setdefault(r.query_key, []).append((r.key, r.distance))
+        assert {q: [k for k, _ in x] for q, x in got.items()} == {q: [k for k, _ in x] for q, x in want.items()}
+        assert all(np.allclose([d for _, d in got[q]], [d for _, d in want[q]], equal_nan=True) for q in want)
+    assert vectors.knn_join(v.where("vec is null"), v, 2).count() == 0 == vectors.knn_join(v, v.where("vec is null"), 2).count()
+    assert {r.key for r in vectors.knn_join(v, v.where("key = 'c'"), 7).collect()} == set("acdefg")  # a null number is NaN
+    with pytest.raises(Validation):
+        vectors.knn_join(v, spark.createDataFrame([("x", [1.0]), ("y", [1.0, 2.0])], "key string, vec array<float>"), 1)
+    with pytest.raises(Exception, match="length 1"):
+        vectors.knn_join(v, spark.createDataFrame([("x", [1.0])], "key string, vec array<float>"), 1).collect()
+
+
 def test_upsert_get_delete(spark, index):
     changes = spark.createDataFrame([("near", [0.0] * 4, None, 1), ("near", [0.5] * 4, '{"v":2}', 2), ("new", [1.0] * 4, None, 1)], "key string, vec array<float>, meta string, seq int")
     after = {r.key: (r.vec, r.meta) for r in vectors.upsert(index, changes, "seq").collect()}
@@ -93,6 +117,11 @@ def test_names():
     for bad in (lambda: names.parse_vector_arn("arn:aws:s3:::x"), lambda: names.target(), lambda: names.target("arn", "b", "i"), lambda: names.target(index_arn=names.vector_arn("b")), lambda: names.sized("ab", "name", names.NAME_CHARS)):
         with pytest.raises(Validation):
             bad()
+    assert names.parse_table_arn(names.table_arn("b", "t")) == ("b", "t") and names.parse_table_arn(names.table_arn("b")) == ("b", None)
+    assert names.index_spec("idx", 4096, "cosine")["dtype"] == "float32"
+    for bad in (lambda: names.parse_table_arn(names.vector_arn("b")), lambda: names.index_spec("idx", 4097, "cosine"), lambda: names.index_spec("idx", 0, "cosine"), lambda: names.index_spec("idx", 4, "dot"), lambda: names.index_spec("i", 4, "cosine"), lambda: names.index_spec("idx", 4, "cosine", "float64")):
+        with pytest.raises(Validation):
+            bad()
     assert names.version_token("s3://x/metadata/00003-abc.json").startswith("00003-") and names.version_token("a") == f"0-{97:016x}"
 
 
@@ -108,6 +137,15 @@ def test_table_catalog(spark):
             tables.create_table(spark, ["nowhere"], "small", fields)
         with pytest.raises(Conflict):
             tables.create_namespace(spark, ["lv", "test"])
+        with pytest.raises(Unsupported):
+            tables.create_table(spark, ["lv", "test"], "other", fields, "AVRO")
+        assert tables.get_namespace(spark, ["lv", "test"]) in tables.list_namespaces(spark, "lv_")
+        with pytest.raises(Conflict):
+            tables.drop_namespace(spark, ["lv", "test"])
+        with pytest.raises(NotFound):
+            tables.get_namespace(spark, ["nowhere"])
+        at = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.678901' AS at").select(names.iso_time(F.col("at")).alias("s")).first().s
+        assert at == "2024-01-02T03:04:05.678901000Z"
         tables.drop_table(spark, ["lv", "test"], "small")
         with pytest.raises(NotFound):
             tables.drop_table(spark, ["lv", "test"], "small")
