@@ -7,6 +7,7 @@ Sizes are in tokens of four characters; offsets and lengths are in characters.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,28 +39,54 @@ def chunk_off(docs: DataFrame) -> DataFrame:
     return docs.where(F.length("text") > 0).withColumn("chunk_idx", F.lit(0)).withColumn("chunk", F.col("text"))
 
 
-def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Windows of ``size`` tokens every ``size - overlap``, trimmed, blank ones left out; the last reaches the end."""
+def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, back_off: int = 0) -> DataFrame:
+    """Windows of ``size`` tokens every ``size - overlap``, trimmed, blank ones left out; the last reaches the end.
+
+    ``back_off``: a window that would end inside a word ends before it, if that is at most so many characters back. No text
+    is lost, as it is never more than the overlap.
+    """
     window, step = windows(size, overlap)
     last = F.greatest(F.ceil((F.length("text") - window) / step), F.lit(0)).cast("int")
     placed = docs.where(F.length("text") > 0).withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), last)))
-    return placed.withColumn("chunk", F.trim(F.substring(F.col("text"), F.col("chunk_idx") * step + 1, F.lit(window)))).where("chunk != ''")
+    piece = F.substring(F.col("text"), F.col("chunk_idx") * step + 1, F.lit(window))
+    if back := min(back_off, window - step):
+        after = F.substring(F.col("text"), F.col("chunk_idx") * step + 1 + window, F.lit(1))
+        whole = F.regexp_extract(piece, rf"(?s)^(.*\s)\S{{1,{back}}}\z", 1)
+        piece = F.when(after.rlike(r"\S") & (whole != ""), whole).otherwise(piece)
+    return placed.withColumn("chunk", F.trim(piece)).where("chunk != ''")
+
+
+_SENTENCE_END = re.compile(r"(?<=[.!?])[ \t\n\x0B\f\r]+")
+
+
+def packed_sentences(text: str, limit: int) -> list[str]:
+    """Sentences joined by a space while they fit ``limit`` characters; longer ones are cut."""
+    out, held, length = [], [], 0
+    for sentence in _SENTENCE_END.split(text):
+        sentence = sentence.strip(" ")
+        for at in range(0, len(sentence), limit):
+            piece = sentence[at : at + limit].strip(" ")
+            if not piece:
+                continue
+            if held and length + 1 + len(piece) > limit:
+                out.append(" ".join(held))
+                held, length = [], 0
+            length += len(piece) + (1 if held else 0)
+            held.append(piece)
+    return [*out, " ".join(held)] if held else out
 
 
 def chunk_sentence(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Sentences (split after . ! ? and white space) packed while they fit ``size`` tokens; longer ones are cut."""
+    """Sentences (split after . ! ? and white space) packed while they fit ``size`` tokens; longer ones are cut. The packing is one loop
+    over a text, which no built-in function has in linear time; texts go to it in Arrow batches."""
     limit = size * CHARS_PER_TOKEN
-    cut = lambda s: F.transform(F.sequence(F.lit(0), ((F.length(s) - 1) / limit).cast("int")), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(cut(s), lambda p: F.trim(p))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    step = lambda acc, s: (
-        F.when(acc["open"] == "", F.struct(acc["done"].alias("done"), s.alias("open")))
-        .when(F.length(acc["open"]) + 1 + F.length(s) <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(" "), s).alias("open")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open")))
-    )
-    packed = F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return docs.where(F.length("text") > 0).select("*", F.posexplode(packed).alias("chunk_idx", "chunk"))
+
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: packed_sentences(t or "", limit))
+
+    packed = F.pandas_udf(pack, "array<string>")
+    return docs.where(F.length("text") > 0).select("*", F.posexplode(packed("text")).alias("chunk_idx", "chunk"))
 
 
 def headings(text: str) -> list[tuple[int, int, str]]:

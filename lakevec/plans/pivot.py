@@ -96,11 +96,28 @@ def pivot(fact: DataFrame, model: Model, rows, measure: str, cols=None, where: s
     for c in cols:
         cells = cells.where(F.col(c).isNotNull())
     values = [sorted(r[0] for r in named.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()) for c in cols]
-    heads = ["_".join(v) for v in product(*values)]
+    heads = list(product(*values))
     if len(heads) > MAX_PIVOT_COLUMNS:
         raise Validation(f"more than {MAX_PIVOT_COLUMNS} columns")
-    spread = cells.withColumn("_head", F.concat_ws("_", *cols)).groupBy(*rows, *flags).pivot("_head", heads).agg(F.first(m.name))
-    return spread.orderBy(*order).limit(limit)
+    sized = lambda v: f"{len(v)}:{v}"  # noqa: E731  no two lists of values have the same
+    head = F.concat(*(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")) for c in cols))
+    spread = cells.withColumn("_head", head).groupBy(*rows, *flags).pivot("_head", ["".join(map(sized, v)) for v in heads]).agg(F.first(m.name))
+    return spread.toDF(*rows, *flags, *headings(heads, {*rows, *flags})).orderBy(*order).limit(limit)
+
+
+def headings(values: list[tuple[str, ...]], taken: set[str]) -> list[str]:
+    """One column name for each tuple of values: joined by _; where that is ambiguous each _ in a value is doubled, and a name that is still
+    taken gets a number. Names are compared in lower case, as Spark does."""
+    plain = ["_".join(v).lower() for v in values]
+    out, used = [], {t.lower() for t in taken}
+    for v, p in zip(values, plain):
+        name = "_".join(v) if plain.count(p) == 1 else "_".join(x.replace("_", "__") for x in v)
+        n, free = 2, name
+        while free.lower() in used:
+            n, free = n + 1, f"{name}_{n}"
+        used.add(free.lower())
+        out.append(free)
+    return out
 
 
 def inferred(columns: list[str], model: Model) -> tuple[list[str], str] | None:

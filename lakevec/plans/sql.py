@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from lakevec.errors import Validation
 
-#: Fixed words: a statement must begin with one of these.
-READS = ("select", "with", "from", "values", "table", "describe", "desc", "show", "explain")
+#: Fixed names of Spark's plans: statements that change something or run another text, and look-ups that are commands by form only.
+_CHANGES = ("Command", "ParsedStatement")
+_LOOKUPS = re.compile(r"(Show|Describe)\w*|ExplainCommand")
+_CALLS = re.compile(r"\b(?:try_)?reflect\s*\(|\bjava_method\s*\(", re.I)
 
 
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """The result of one query. Whatever Spark analyses as a command other than a look-up is refused unrun."""
-    bare = re.sub(r"^(\s|\(|--[^\n]*\n|/\*.*?\*/)+", "", sql, flags=re.S)
-    word = re.match(r"[a-zA-Z]*", bare)[0].lower()
-    if word not in READS or re.search(r"\binsert\s+(into|overwrite)\b", re.sub(r"'[^']*'", "", bare), re.I):
-        raise Validation("only queries are allowed")
+    """The result of one query or look-up. The text goes through Spark's parser first; a plan that holds a command, an insert or any other
+    change at any depth is refused unrun, as are texts in texts and calls of Java methods."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise Validation(f"not a query: {e}") from None
+    found = list(_plans(plan))
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in _CHANGES]
+    for n, p in enumerate(found):
+        name = p.getClass().getSimpleName()
+        lookup = n == 0 and _LOOKUPS.fullmatch(name)
+        if "ExecuteImmediate" in name or name == "CompoundBody" or not lookup and any(k.isInstance(p) for k in kinds):
+            raise Validation(f"only queries are allowed, not {name}")
+    if _CALLS.search(re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", sql)):
+        raise Validation("Java methods may not be called")
     return spark.sql(sql)
 
 
+def _plans(plan):
+    """``plan`` and all plans below it, those of its common table expressions included."""
+    yield plan
+    for below in (plan.children(), plan.innerChildren()):
+        for k in range(below.size()):
+            child = below.apply(k)
+            if hasattr(child, "innerChildren"):
+                yield from _plans(child)
+
+
 def schema_of(df: DataFrame) -> DataFrame:
     """(position, column_name, data_type) of a table."""
     rows = [(i, n, t) for i, (n, t) in enumerate(df.dtypes)]

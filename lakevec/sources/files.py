@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -18,6 +19,8 @@ MAX_FILE_BYTES = 50 << 20
 TEXT = ("txt", "text", "log", "rst", "csv", "tsv", "json", "jsonl", "yaml", "yml", "toml")
 MARKDOWN, HTML = ("md", "markdown", "mdx"), ("html", "htm", "xhtml")
 OFFICE = ("docx", "docm", "pptx", "pptm", "odt", "odp", "xlsx", "xlsm")
+PDF = ("pdf",)
+INLINE = "<text-value>"
 
 
 def extension(path: Column) -> Column:
@@ -110,23 +113,78 @@ def _sheets(z: zipfile.ZipFile, names: set[str]) -> str:
     return "\n".join(out)
 
 
+_STREAM = re.compile(rb"<<((?:(?!stream).)*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_TEXT_BLOCK = re.compile(rb"\bBT\b(.*?)\bET\b", re.S)
+_SHOWN = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")|(T\*|T[dD]\b)", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|(-\d+(?:\.\d+)?)", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
+#: Fixed values of the format: what a letter after a backslash stands for.
+_LETTERS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_text(content: bytes) -> str:
+    """Text that the content streams of a PDF show in one-byte encodings, one page (stream) after another by form feeds.
+    Files that are encrypted or show no such text are errors."""
+    if not content.lstrip().startswith(b"%PDF-"):
+        raise ValueError("no PDF header")
+    if b"/Encrypt" in content:
+        raise ValueError("encrypted")
+    shown = lambda raw: _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else _LETTERS.get(m[1], m[1]), raw)
+    pages = []
+    for header, data in _STREAM.findall(content):
+        if b"/FlateDecode" in header:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                continue  # not text, or damaged: other pages go on
+        elif b"/Filter" in header:
+            continue
+        parts = []
+        for block in _TEXT_BLOCK.findall(data):
+            for array, string, move in _SHOWN.findall(block):
+                if move:
+                    parts.append(b" ")
+                for piece, gap in _STRING.findall(array or string):
+                    parts.append(shown(piece) if not gap else b" " if float(gap) < -200 else b"")
+            parts.append(b" ")
+        if words := b"".join(parts).decode("cp1252", "replace").split():
+            pages.append(" ".join(words))
+    if not pages:
+        raise ValueError("no text that can be read")
+    return "\f".join(pages)
+
+
+def inline(spark: SparkSession, text: str) -> DataFrame:
+    """One text given as such, as a parsed document."""
+    row = spark.createDataFrame([(INLINE, "text", text)], "source string, kind string, text string")
+    return row.select("*", F.sha2("text", 256).alias("content_hash"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("reason"))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """(source, kind, text, content_hash, failed): files of a known kind; a file that cannot be read has failed set."""
+    """(source, kind, text, content_hash, failed, reason): files of a known kind; a file that cannot be read has failed set and
+    says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                kind = "text" if r.ext in TEXT else "markdown" if r.ext in MARKDOWN else "html" if r.ext in HTML else "office"
+                kind = "text" if r.ext in TEXT else "markdown" if r.ext in MARKDOWN else "html" if r.ext in HTML else "pdf" if r.ext in PDF else "office"
                 try:
-                    text = office_text(r.content, r.ext) if kind == "office" else r.content.decode("utf-8", "replace")
-                    rows.append((r.source, kind, html_text(text) if kind == "html" else text, r.content_hash, False))
-                except Exception:  # a damaged file is reported, the others go on
-                    rows.append((r.source, kind, None, r.content_hash, True))
-            yield pd.DataFrame(rows, columns=["source", "kind", "text", "content_hash", "failed"])
-
-    known = files.where(F.col("ext").isin([*TEXT, *MARKDOWN, *HTML, *OFFICE]))
-    return known.select("source", "ext", "content", "content_hash").mapInPandas(run, "source string, kind string, text string, content_hash string, failed boolean")
+                    text = office_text(r.content, r.ext) if kind == "office" else pdf_text(r.content) if kind == "pdf" else r.content.decode("utf-8", "replace")
+                    rows.append((r.source, kind, html_text(text) if kind == "html" else text, r.content_hash, False, None))
+                except Exception as e:  # a damaged file is reported, the others go on
+                    rows.append((r.source, kind, None, r.content_hash, True, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["source", "kind", "text", "content_hash", "failed", "reason"])
+
+    known = files.where(F.col("ext").isin([*TEXT, *MARKDOWN, *HTML, *OFFICE, *PDF]))
+    return known.select("source", "ext", "content", "content_hash").mapInPandas(run, "source string, kind string, text string, content_hash string, failed boolean, reason string")
+
+
+def sampled(rows: DataFrame, by: Column, fraction: float, seed: int = 0) -> DataFrame:
+    """About ``fraction`` of the rows: those whose hash of ``by`` and ``seed`` is low. The same rows on every run, however they are dealt
+    into files and partitions."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", by.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return rows.where(number < int(fraction * 2**32))
 
 
 def not_done(files: DataFrame, ledger: DataFrame) -> DataFrame:

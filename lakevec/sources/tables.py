@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakevec.errors import Conflict, NotFound, Validation
+from lakevec.errors import Conflict, NotFound, Unsupported, Validation
 
 #: Fixed names of the primitive types.
 PRIMITIVES = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampNTZType(), "timestamptz": T.TimestampType(), "string": T.StringType(), "uuid": T.StringType(), "binary": T.BinaryType()}
@@ -57,9 +58,30 @@ def create_namespace(spark: SparkSession, segments: list[str]) -> str:
     return name
 
 
+def list_namespaces(spark: SparkSession, prefix: str = "") -> list[str]:
+    return sorted(d.name for d in spark.catalog.listDatabases() if d.name.startswith(prefix))
+
+
+def get_namespace(spark: SparkSession, segments: list[str]) -> str:
+    name = _name(segments)
+    if not spark.catalog.databaseExists(name):
+        raise NotFound(name)
+    return name
+
+
+def drop_namespace(spark: SparkSession, segments: list[str]) -> None:
+    """Only an empty namespace goes."""
+    name = get_namespace(spark, segments)
+    if spark.catalog.listTables(name):
+        raise Conflict(f"{name} is not empty")
+    spark.sql(f"DROP NAMESPACE `{name}`")
+
+
 def create_table(spark: SparkSession, namespace: list[str], name: str, fields: list[dict], file_format: str | None = None) -> DataFrame:
     """An empty Parquet table of the declared schema."""
     space = _name(namespace)
+    if file_format in ("AVRO", "ORC"):
+        raise Unsupported(f"tables are not written as {file_format}")
     if file_format not in (None, "ICEBERG", "PARQUET"):
         raise Validation(f"unknown format {file_format}")
     if not spark.catalog.databaseExists(space):
@@ -74,3 +96,23 @@ def drop_table(spark: SparkSession, namespace: list[str], name: str) -> None:
     if not spark.catalog.tableExists(f"{_name(namespace)}.{name}"):
         raise NotFound(name)
     spark.sql(f"DROP TABLE `{_name(namespace)}`.`{name}`")
+
+
+def read_csv(spark: SparkSession, path: str, fields: list[dict], optional: bool = False) -> DataFrame:
+    """A CSV file with a header as a table of the declared fields, found by name in any case and cast; what does not cast, and a column
+    that the file lacks, is null. A missing file is an error, or with ``optional`` an empty table."""
+    schema = spark_schema(fields)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        if optional:
+            return spark.createDataFrame([], schema)
+        raise NotFound(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    found = {c.lower(): c for c in raw.columns}
+    name = lambda f: found.get(f.name.lower())
+    return raw.select(*((F.col(f"`{name(f)}`").try_cast(f.dataType) if name(f) else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
+
+
+def insert_csv(target: DataFrame, path: str, fields: list[dict]) -> DataFrame:
+    """``target`` with the rows of a CSV file, by the target's column names."""
+    return target.unionByName(read_csv(target.sparkSession, path, fields), allowMissingColumns=True)

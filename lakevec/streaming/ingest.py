@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakevec.operators.ingest import embedded
+from lakevec.operators.ingest import embedded, put
 from lakevec.sources.files import eligible, extension, parse_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -18,8 +18,11 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Append the vectors of all files not seen yet to ``out`` and stop; the checkpoint remembers what is done."""
+    """Append the vectors of all files not seen yet to ``out`` and stop; the checkpoint remembers what is done. With a ``dimension``, a
+    vector of another size stops the stream before its batch is committed."""
     vectors = embedded(parse_files(eligible(file_stream(spark, folder))).where("not failed"), **options)
+    if "dimension" in options:
+        vectors = put(vectors, options["dimension"])
     return vectors.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -1,6 +1,8 @@
 import io
 import re
+import time
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,39 @@ def test_markdown(spark):
     assert chunks.headings("#no\n####### seven\n\n---\n") == []
 
 
+def test_windows_end_at_words(spark):
+    text = " ".join(f"word{n}" for n in range(500)) + " " + "x" * 900
+    got = [r.chunk for r in chunks.chunk_fixed(docs(spark, text), 50, 20, back_off=128).orderBy("chunk_idx").collect()]
+    plain = [text[k : k + 200] for k in range(0, len(text) - 80, 120)]
+    want = []
+    for k, p in enumerate(plain):
+        cut = re.match(r"(?s)(.*\s)\S{1,80}\Z", p)
+        want.append((cut[1] if cut and text[k * 120 + 200 : k * 120 + 201].strip() else p).strip(" "))
+    assert got == [w for w in want if w] and any(w != p.strip(" ") for w, p in zip(want, plain))
+
+
+def test_sentence_packing_is_linear():
+    began = time.time()
+    assert len(chunks.packed_sentences("Ab cd. " * 400_000, 1600)) > 1000 and time.time() - began < 5
+
+
+def test_pdf_inline_and_samples(spark, tmp_path):
+    page = lambda body, compress: (b"<< /Length %d%s >>\nstream\n" % (len(body), b" /Filter /FlateDecode" * compress)) + (zlib.compress(body) if compress else body) + b"\nendstream\n"
+    body = b"%PDF-1.4\n1 0 obj\n" + page(b"BT /F1 12 Tf (A plain \\(first\\) page) Tj 0 -14 Td [(spl) -20 (it) -300 (word)] TJ ET", False) + page(b"BT (second \\351) Tj ET", True) + page(b"q 1 0 0 1 0 0 cm Q", True) + b"%%EOF"
+    (tmp_path / "a.pdf").write_bytes(body)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 /Encrypt 1 0 R")
+    (tmp_path / "c.pdf").write_bytes(b"not one")
+    got = {r.source[-5]: (r.kind, r.text, r.failed, r.reason) for r in files.parse_files(files.read_files(spark, str(tmp_path))).collect()}
+    assert got["a"] == ("pdf", "A plain (first) page split word\fsecond é", False, None)
+    assert got["b"][1:3] == got["c"][1:3] == (None, True) and "encrypted" in got["b"][3] and "header" in got["c"][3]
+    one = ingest.embedded(files.inline(spark, "some text"), "off", "path", 8).first()
+    assert one.key == "<text-value>#0" and len(one.vec) == 8
+    rows = spark.range(2000)
+    sample = {r.id for r in files.sampled(rows, F.col("id"), 0.1, 3).collect()}
+    assert sample == {r.id for r in files.sampled(rows.repartition(7), F.col("id"), 0.1, 3).collect()} and 140 < len(sample) < 260
+    assert sample != {r.id for r in files.sampled(rows, F.col("id"), 0.1, 4).collect()}
+
+
 def test_keys_metadata_and_stub(spark):
     d = docs(spark, "hello", "world", "hello")
     row = chunks.chunk_off(d).withColumn("k", chunks.content_key(F.col("source"), F.col("chunk_idx"), F.col("chunk"))).withColumn("e", chunks.embed_stub(F.col("chunk"), 64)).withColumn("f", chunks.file_key(F.col("source"), F.col("chunk_idx"))).withColumn("m", chunks.merged_metadata(chunks.metadata(F.col("source"), F.col("chunk_idx"), F.col("chunk")), {chunks.META_SOURCE: "mine"})).orderBy("source").collect()
@@ -101,9 +136,10 @@ def test_files(spark, folder):
 
 def test_pipeline_query_and_stats(spark, folder):
     parsed = files.parse_files(files.read_files(spark, folder))
-    vecs = ingest.embedded(parsed, "fixed", "path", 64, size=100, overlap=20)
-    row = ingest.stats(parsed, vecs).first()
-    assert (row.raw, row.parsed, row.parse_failures) == (7, 6, 1) and row.chunks == row.put > 6
+    tried = ingest.attempted(parsed, "fixed", "path", 64, size=100, overlap=20)
+    row = ingest.stats(parsed, tried).first()
+    assert (row.raw, row.parsed, row.parse_failures, row.embed_failures) == (7, 6, 1, 0) and row.chunks == row.embedded == row.put > 6
+    assert ingest.stats(parsed, tried, tried.limit(3)).first().put == 3 and {r.status for r in ingest.ledger(parsed, tried).collect()} == {"done"}
     named = ingest.embedded(docs(spark, "alpha", "beta", "gamma"), "off", "filename", 32, user_metadata={"team": "x"})
     top = ingest.text_query(named, "alpha", 3, 32).collect()
     assert top[0].snippet == "alpha" and top[0].distance < 1e-6 and len(top) == 3
@@ -133,6 +169,17 @@ def test_provider_and_retry(spark):
     got = ingest.embedded(docs(spark, "a", "bb", "ccc").coalesce(1), "off", "path", embed=ingest.embed_with(Provider())).collect()
     assert sorted(r.vec[0] for r in got) == [1, 2, 3]
     assert ingest.embedded(docs(spark, "drop"), "off", "path", embed=ingest.embed_with(Provider())).count() == 0
+    parsed = docs(spark, "a", "bb", "drop", "ccc", "").coalesce(1).selectExpr("*", "md5(text) as content_hash", "false as failed")
+    tried = ingest.attempted(parsed, "off", "path", embed=ingest.embed_with(Provider()))
+    row = ingest.stats(parsed, tried).first()
+    assert (row.raw, row.chunks, row.embedded, row.embed_failures, row.put) == (5, 4, 2, 2, 2)  # the batch with "drop" fails as a whole
+    kept = {r.source[-5]: (r.chunks, r.puts, r.status) for r in ingest.ledger(parsed, tried).collect()}
+    assert kept == {"0": (1, 1, "done"), "1": (1, 1, "done"), "2": (1, 0, "partial"), "3": (1, 0, "partial"), "4": (0, 0, "done")}
+    assert {r.source[-5] for r in files.not_done(parsed, ingest.ledger(parsed, tried)).collect()} == {"2", "3"}
+    lost = {r.source[-5]: r.status for r in ingest.ledger(parsed, tried, tried.where("source like '%0.txt'")).collect()}
+    assert lost["0"] == "done" and lost["1"] == "partial"
+    with pytest.raises(Exception, match="length 3"):
+        ingest.put(tried, 3).where("vec is not null").collect()
     calls, waits = [], []
     def flaky():
         calls.append(1)

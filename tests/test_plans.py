@@ -3,9 +3,11 @@ import pytest
 
 import __spark_entry__
 from lakevec import queries
-from lakevec.errors import Validation
+from lakevec.errors import NotFound, Validation
+from lakevec.operators import dml
 from lakevec.plans import pivot as pv
 from lakevec.plans import sql
+from lakevec.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -60,6 +62,50 @@ def test_only_reads(spark):
             sql.run_sql(spark, bad)
 
 
+def test_no_text_changes_a_table(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS lakevec_kept (a INT) USING parquet")
+    try:
+        for bad in (
+            "WITH s AS (SELECT 2 a) INSERT/**/ INTO lakevec_kept SELECT * FROM s", "FROM (SELECT 3 a) INSERT/* */INTO lakevec_kept SELECT a", "EXECUTE IMMEDIATE 'INSERT INTO lakevec_kept VALUES (1)'",
+            "BEGIN INSERT INTO lakevec_kept VALUES (1); END", "CREATE TABLE lakevec_other AS SELECT 1", "MERGE INTO lakevec_kept USING (SELECT 1 b) ON a = b WHEN MATCHED THEN DELETE", "SELECT reflect('java.lang.System', 'gc')", "not sql",
+        ):
+            with pytest.raises(Validation):
+                sql.run_sql(spark, bad)
+        assert spark.table("lakevec_kept").count() == 0
+        for good in ("FROM lakevec_kept |> SELECT a", "DESCRIBE lakevec_kept", "SHOW TABLES", "SELECT 'insert into x' AS y, 'reflect(1)' AS z", "VALUES (1)", "WITH RECURSIVE r AS (SELECT 1 n UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r"):
+            sql.run_sql(spark, good).collect()
+    finally:
+        spark.sql("DROP TABLE lakevec_kept")
+
+
+def test_headings_of_two_columns_never_collide(spark):
+    model = pv.Model.of([pv.Dimension(c, lambda c=c: pv.F.col(f"raw_{c}")) for c in "abr"], [pv.Measure("n", lambda: pv.F.count("*"))])
+    fact = spark.createDataFrame([("a_b", "c", "x"), ("a", "b_c", "x"), ("a", "b_c", "x"), ("a", "c", "y")], "raw_a string, raw_b string, raw_r string")
+    got = pv.pivot(fact, model, "r", "n", "a,b", rollup=False)
+    row = {r.r: r.asDict() for r in got.collect()}
+    assert row["x"]["a_b__c"] == 2 and row["x"]["a__b_c"] == 1 and row["y"]["a_c"] == 1
+    assert pv.headings([("r",), ("R",), ("x",)], {"r"}) == ["r_2", "R_3", "x"] and pv.headings([("a_", "b"), ("a", "_b")], set()) == ["a___b", "a___b_2"]
+
+
+def test_rows_that_a_joined_key_confuses_are_merged(spark):
+    target, source = (spark.createDataFrame(rows, "x string, y string") for rows in ([("a|b", "c"), ("n", None)], [("a", "b|c"), ("a|b", "c"), ("n", None), (None, "n")]))
+    got = {tuple(r) for r in dml.new_rows(target, source, ["x", "y"]).collect()}
+    assert got == {("a", "b|c"), (None, "n")} and dml.new_rows(target, source, ["x", "y"], hashed=True).count() == 0
+    assert dml.merge_insert(target, target, ["x", "y"]).count() == 2 and dml.new_rows(target.limit(0), source, ["x"]).count() == 4
+
+
+def test_csv_under_a_declared_schema(spark, tmp_path):
+    path = tmp_path / "z.csv"
+    path.write_text('LocationID,Borough,"Zone"\n1,EWR,"Newark, ""A"""\nx,Queens,\n3,,Two\n')
+    fields = [{"name": n, "type": t} for n, t in (("locationid", "int"), ("zone", "string"), ("borough", "string"), ("service", "string"))]
+    assert [tuple(r) for r in tables.read_csv(spark, str(path), fields).collect()] == [(1, 'Newark, "A"', "EWR", None), (None, None, "Queens", None), (3, "Two", None, None)]
+    assert tables.read_csv(spark, f"{tmp_path}/none.csv", fields, optional=True).columns == ["locationid", "zone", "borough", "service"]
+    with pytest.raises(NotFound):
+        tables.read_csv(spark, f"{tmp_path}/none.csv", fields)
+    grown = tables.insert_csv(spark.createDataFrame([(9, "own")], "locationid int, zone string"), str(path), fields[:2])
+    assert grown.count() == 4 and grown.columns == ["locationid", "zone"]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
