@@ -193,7 +193,8 @@ def merged_metadata(standard: Column, user: dict) -> Column:
 def embed_stub(text: Column, dimension: int = 768) -> Column:
     """A deterministic unit vector: byte i mod 32 of the text's SHA-256 over 255, normalised."""
     once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a lambda's argument is worked out once
-    byte = lambda digest: lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
-    raw = once(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), byte(digest)))
+    byte = lambda digest: lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
+    digest = once(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(min(dimension, 32) - 1)), byte(digest)))
+    raw = F.slice(F.flatten(F.array_repeat(digest, -(-dimension // 32))), 1, dimension)
     length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
     return once(raw, lambda r: once(length(r), lambda n: F.transform(r, lambda x: x / n)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakevec.errors import Validation
+from lakevec.functions.distance import vector_literal
 from lakevec.operators import chunks
 from lakevec.operators.vectors import search
 
@@ -110,7 +111,8 @@ def text_query(vectors: DataFrame, query: str, k: int = 5, dimension: int = 768,
     if not query.strip():
         raise Validation("the query is empty")
     vector = embed if embed is not None else chunks.embed_stub(F.lit(query), dimension)
-    hits = search(vectors, vector, k, where=where)
+    own = vectors.sparkSession.range(1).select(vector.cast("array<double>")).first()[0]  # the query, once
+    hits = search(vectors, vector_literal(own), k, where=where)
     get = lambda name: F.get_json_object("meta", f"$['{name}']")
     return hits.select(get(chunks.META_SOURCE).alias("source"), get(chunks.META_INDEX).cast("int").alias("chunk_idx"), F.substring(get(chunks.META_CONTENT), 1, 60).alias("snippet"), "distance", "key")
 
