@@ -24,7 +24,7 @@ def leaks(rows, items):
         g = grams(w)
         for item in items:
             i = words(item)
-            if g & grams(i) and plain_score(i, w) / len(i) >= decontam.THRESHOLD:
+            if g & grams(i) and plain_score(i, w) >= min(decontam.THRESHOLD * len(i), decontam.LONG_SCORE):
                 out.add(doc_id)
     return out
 
