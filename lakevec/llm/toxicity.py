@@ -27,6 +27,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 MAX_TOXIC, MAX_CLEAN, FEATURES, LEAST_ROWS, WORD_BYTES = 4000, 8000, 256, 3, 64
 INNER_FOLDS, RIDGE, STEPS, MOST_LOG_ODDS = 5, 1.0, 25, 12.0
 PREFIXES = (3, 4, 5, 6)
+#: Most files of a table of the bounded sample.
+SAMPLE_PARTS = 32
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -95,7 +99,7 @@ def seen(texts: list[bytes], hasher: RunHasher, lookup: Lookup) -> tuple[np.ndar
 
 
 def telling_features(sample: DataFrame, labels: list[tuple[int, int]]) -> list[list]:
-    """For each inner fold left out, and last for none: (h, rows of toxic, rows of clean) of the FEATURES most telling hashes.
+    """For each inner fold left out, and last for none: (h, rows of clean) of the FEATURES most telling hashes, in any order.
 
     ``sample``: (doc_id, text, y, part); ``labels``: (y, part) of its rows.
     """
@@ -118,7 +122,7 @@ def telling_features(sample: DataFrame, labels: list[tuple[int, int]]) -> list[l
 
     names = [f"n{g}" for g in range(2 * INNER_FOLDS)]
     sums = sample.mapInArrow(tally, "h long, " + ", ".join(f"{n} long" for n in names)).groupBy("h").agg(*(F.sum(n).alias(n) for n in names))
-    sums = stored(sums.where(sum((F.col(n) for n in names[3::2]), F.col(names[1])) >= LEAST_ROWS), "telling-words")
+    sums = stored(sums.where(sum((F.col(n) for n in names[3::2]), F.col(names[1])) >= LEAST_ROWS).coalesce(SAMPLE_PARTS), "telling-words")
     part = lambda n, of, total, all_rows: F.when(n > 0, n * F.log(n * all_rows / (of * total))).otherwise(0.0)
     out = []
     for without in [*range(INNER_FOLDS), None]:
@@ -128,9 +132,10 @@ def telling_features(sample: DataFrame, labels: list[tuple[int, int]]) -> list[l
         every = F.lit(n_toxic + n_clean)
         ratio = part(t, rows, F.lit(n_toxic), every) + part(c, rows, F.lit(n_clean), every) + part(n_toxic - t, rest, F.lit(n_toxic), every) + part(n_clean - c, rest, F.lit(n_clean), every)
         kept = sums.where((t >= LEAST_ROWS) & (t * n_clean > 3 * c * n_toxic))
-        out.append(kept.orderBy(F.round(ratio, 9).desc(), "h").limit(FEATURES).select("h", t.alias("t"), c.alias("c")).collect())
+        out.append(kept.orderBy(F.round(ratio, 9).desc(), "h").limit(FEATURES).select(F.lit(len(out)).alias("of"), "h", c.alias("c")))
+    found = reduce(DataFrame.unionByName, out).collect()
     drop_stored(sums)
-    return out
+    return [[r for r in found if r.of == k] for k in range(len(out))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -141,7 +146,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     ridge[-1] = 1e-6
     for _ in range(STEPS):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        spread, curve = p * (1 - p) + 1e-9, np.diag(ridge)
+        for k in range(0, len(x), 2048):  # blocks of rows
+            curve += (x[k : k + 2048] * spread[k : k + 2048, None]).T @ x[k : k + 2048]
+        step = np.linalg.solve(curve, x.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -161,32 +169,30 @@ def predicted(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return sigmoid(x @ w[:-1] + w[-1])
 
 
-def apart(x: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Out-of-fold probabilities: those of the rows of fold f by a model of the other rows over the features x[f]."""
+def apart(x: Callable[[int], np.ndarray], y: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Out-of-fold probabilities: those of the rows of fold f by a model of the other rows over the features x(f)."""
     out = np.zeros(len(y))
-    for f in range(INNER_FOLDS):
-        if (part == f).any():
-            out[part == f] = predicted(x[f][part == f], logistic(x[f][part != f], y[part != f]))
+    for f in np.unique(part).tolist():
+        own = x(f)
+        out[part == f] = predicted(own[part == f], logistic(own[part != f], y[part != f]))
     return out
 
 
 class Chain:
-    """The three models. ``words``: for each fold left out, and last for none, (rows, features) presence and which of the features
-    no clean row holds; ``form``: number of words, then the form."""
+    """The three models. ``words``: for a fold left out, or None for none, the presence of its words (rows, features); ``hits``: for each
+    fold left out how often a row has words of no clean row; ``form``: number of words, then the form."""
 
-    def __init__(self, words: list[tuple[np.ndarray, np.ndarray]], hits: list[np.ndarray], form: np.ndarray, toxic: np.ndarray, part: np.ndarray):
+    def __init__(self, words: Callable[[int | None], np.ndarray], hits: list[np.ndarray], form: np.ndarray, toxic: np.ndarray, part: np.ndarray):
         own = np.zeros(len(toxic))  # share of words that are insults, by the words of the other folds
         for f in range(INNER_FOLDS):
             own[part == f] = hits[f][part == f] / np.maximum(form[part == f, 0], 1)
         insult = toxic * (own > 0)
         middle = np.median(own[insult > 0]) if insult.any() else 0.0
         severe = insult * (own >= middle)
-        self.targets, form = np.stack([insult, severe, toxic], axis=1), form[:, 1:]
-        p = apart([x for x, _ in words[:-1]], insult, part)
-        second = np.hstack([form, log_odds(p)[:, None]])
-        q = apart([second] * INNER_FOLDS, severe, part)
-        third = np.hstack([second, log_odds(q)[:, None]])
-        self.weights = [logistic(words[-1][0], insult), logistic(second, severe), logistic(third, toxic)]
+        form = form[:, 1:]
+        second = np.hstack([form, log_odds(apart(words, insult, part))[:, None]])
+        third = np.hstack([second, log_odds(apart(lambda f: second, severe, part))[:, None]])
+        self.weights = [logistic(words(None), insult), logistic(second, severe), logistic(third, toxic)]
 
     def __call__(self, x: np.ndarray, form: np.ndarray) -> np.ndarray:
         """(rows, 3) probabilities in the order of CATEGORIES."""
@@ -205,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lookup, Chain | None]:
     if len({y for _, y in rows}) < 2:
         return nothing
     part = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(INNER_FOLDS)).cast("int")
-    sample = stored(labelled_texts(docs, rows).withColumn("part", part), "labelled-texts")
+    sample = stored(labelled_texts(docs, rows).withColumn("part", part).coalesce(SAMPLE_PARTS), "labelled-texts")
     labelled = [tuple(r) for r in sample.select("y", "part").collect()]  # one a sampled document at most
     if len({y for y, _ in labelled}) < 2:
         return nothing
@@ -224,16 +230,29 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lookup, Chain | None]:
 
     got = sorted(sample.mapInArrow(features, "doc_id long, at binary, n binary, form binary, y int, part int").collect())
     drop_stored(sample)
-    counts = np.zeros((len(got), len(lookup.kept)))
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r.at, "<i4")] = np.frombuffer(r.n, "<i4")
-    words, hits = [], []
-    for t, h in zip(telling, hashes):
-        at = np.searchsorted(lookup.kept, h)
-        free = at[[r.c == 0 for r in t]] if len(t) else at
-        words.append(((counts[:, at] > 0).astype(np.float64), free))
-        hits.append(counts[:, free].sum(axis=1))
-    chain = Chain(words, hits, np.stack([np.frombuffer(r.form, np.float64) for r in got]), np.array([r.y for r in got], np.float64), np.array([r.part for r in got]))
+    n_rows = len(got)
+    row = np.repeat(np.arange(n_rows), [len(r.at) // 4 for r in got])
+    at, n = (np.frombuffer(b"".join(r[c] for r in got), "<i4") for c in ("at", "n"))
+    own = [np.searchsorted(lookup.kept, h) for h in hashes]
+
+    def words(fold: int | None) -> np.ndarray:
+        """One fold's matrix at a time: the sample's rows times FEATURES numbers."""
+        place = np.full(len(lookup.kept), -1)
+        kept = own[-1 if fold is None else fold]
+        place[kept] = np.arange(len(kept))
+        there = place[at] >= 0
+        out = np.zeros((n_rows, len(kept)))
+        out[row[there], place[at[there]]] = 1
+        return out
+
+    hits = []
+    for t, kept in zip(telling, own):
+        free = np.zeros(len(lookup.kept), bool)
+        free[kept[[r.c == 0 for r in t]] if t else kept] = True
+        hits.append(np.bincount(row, weights=n * free[at], minlength=n_rows))
+    form, y, parts = np.stack([np.frombuffer(r.form, np.float64) for r in got]), np.array([r.y for r in got], np.float64), np.array([r.part for r in got])
+    del got[:]
+    chain = Chain(words, hits, form, y, parts)
     order = np.argsort(hashes[-1])  # as the final look-up has them
     chain.weights[0] = np.r_[chain.weights[0][:-1][order], chain.weights[0][-1]]
     return Lookup(hashes[-1]), chain
