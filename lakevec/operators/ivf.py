@@ -1,6 +1,6 @@
 """An approximate index: vectors in lists around centroids, stored by list, so that a search reads a few lists only.
 
-Centroids are fitted by k-means on a bounded sample (SAMPLE rows, by the least hash of the key; a documented parameter);
+Centroids are fitted by k-means on a bounded sample (SAMPLE rows and SAMPLE_BYTES, by the least hash of the key; documented parameters);
 every row is put into the list of its nearest centroid. A search takes the PROBES lists nearest to the query, which
 Parquet partition pruning turns into a partial scan, and ranks their rows exactly. ``vectors.search`` is the exact way.
 """
@@ -16,16 +16,26 @@ from pyspark.sql import functions as F
 
 from lakevec import names
 from lakevec.functions.distance import vector_literal
-from lakevec.operators.vectors import distances, knn_join, search
+from lakevec.operators.vectors import distances, knn_join, matrix, search
 
-SAMPLE, ROUNDS, PROBES = 20_000, 15, 8
+SAMPLE, SAMPLE_BYTES, ROUNDS, PROBES = 20_000, 64 << 20, 15, 8
+
+
+def sampled(vectors: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """The vectors of a stable sample as a matrix: at most ``sample`` rows, and ``sample_bytes`` as the matrix has them."""
+    rows = vectors.where("vec is not null")
+    first = rows.select(F.size("vec").alias("n")).first()
+    if first is None:
+        return np.zeros((0, 0))
+    most = max(1, min(sample, sample_bytes // (8 * max(first.n, 1))))
+    own = rows.orderBy(F.xxhash64("key"), "key").limit(most).select(F.col("vec").cast("array<float>").alias("vec"))
+    return matrix(own.toArrow().column("vec").combine_chunks(), first.n)
 
 
 def fit(vectors: DataFrame, lists: int, metric: str = "cosine", sample: int = SAMPLE) -> np.ndarray:
     """(lists, dimension) centroids, of unit length for cosine."""
     names.metric(metric)
-    rows = vectors.where("vec is not null").orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()
-    x = _ready(np.array([r.vec for r in rows], dtype=np.float64), metric)
+    x = _ready(sampled(vectors, sample), metric)
     centroids = x[: min(lists, len(x))].copy()
     for _ in range(ROUNDS if len(x) else 0):
         own = distances(x, centroids, "euclidean").argmin(axis=1)

@@ -20,7 +20,9 @@ from lakevec.functions.distance import distance
 from lakevec.functions.json_filter import compile_filter
 from lakevec.sources.scratch import stored
 
-OVERSAMPLE, MAX_STATE = 100, 200_000
+OVERSAMPLE = 100
+#: Of a part of the queries: its vectors and the k best rows of each, in the driver and in every task.
+PART_BYTES, ROW_BYTES = 64 << 20, 96
 NEAREST = "query_key string, key string, distance double"
 
 
@@ -106,7 +108,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     """(query_key, key, distance, rank): the k nearest rows of each query (key, vec; keys are unique), by distance to 9 digits and key;
     NaN distances come last. Rows and queries without a vector are left out; one of another size is an error.
 
-    The queries are dealt by hash into parts of about MAX_STATE / k, one pass over ``vectors`` each. A part is broadcast, and
+    The queries are dealt by hash into parts of about PART_BYTES with the best rows of each, one pass over ``vectors`` each. A part is broadcast, and
     every task keeps the best k rows of each of its queries while Arrow batches go by, as matrix products of ``block`` queries;
     at its end it hands those on, and a grouped top-k merges the tasks'. With several parts the results of one are stored and
     its broadcast destroyed before the next is made.
@@ -121,10 +123,10 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     if least != most:
         raise Validation(f"queries have {least} to {most} numbers")
     rows = vectors.where("vec is not null").select("key", "vec", *["list"] * (lists is not None))
-    parts = -(-n // max(1, MAX_STATE // k))
+    parts = -(-n * query_bytes(k, most or 0) // PART_BYTES)
     found = spark.createDataFrame([], NEAREST)
     for part in range(parts):
-        own = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()  # about MAX_STATE / k rows
+        own = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()  # about PART_BYTES / query_bytes rows
         if not own.num_rows:
             continue
         q = matrix(own.column("vec").combine_chunks(), most)
@@ -138,6 +140,11 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
 
+def query_bytes(k: int, dimension: int) -> int:
+    """What a query takes in a task of ``knn_join``: its numbers as they come and as a matrix, and its k best rows with their keys."""
+    return 12 * dimension + ROW_BYTES * k
+
+
 def matrix(vecs: pa.Array, dimension: int) -> np.ndarray:
     """Vectors of ``dimension`` numbers each, nulls among them as NaN."""
     if len(vecs) and (pc.min_max(pc.list_value_length(vecs)).as_py() != {"min": dimension, "max": dimension}):

@@ -56,8 +56,8 @@ def test_knn_join_equals_search_on_odd_vectors(spark, monkeypatch):
         if vec and None not in vec:
             want[key] = [(r.key, r.distance) for r in vectors.search(v.where("key <> 'f'"), vector_literal(vec), 6).collect()]
     assert [k for k, _ in want["c"]] == ["c", "e", "a", "d", "g"] and np.isnan(want["c"][2][1])
-    for state in (200_000, 6):
-        monkeypatch.setattr(vectors, "MAX_STATE", state)
+    for part in (64 << 20, 900):
+        monkeypatch.setattr(vectors, "PART_BYTES", part)
         got = {}
         for r in vectors.knn_join(v.where("key <> 'f'").repartition(3), v.where("key <> 'f'"), 6, block=2).orderBy("query_key", "rank").collect():
             got.setdefault(r.query_key, []).append((r.key, r.distance))
