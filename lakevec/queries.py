@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lakevec import names
 from lakevec.functions.distance import cosine_distance, euclidean_distance
 from lakevec.functions.json_filter import compile_filter
-from lakevec.operators import chunks, dml, ingest, ivf, pq, vectors
+from lakevec.operators import chunks, dml, ingest, ivf, pq, temporal, vectors
 from lakevec.plans import pivot as pv
 from lakevec.plans import sql as sqltool
-from lakevec.sources import files, snapshot, tables
+from lakevec.sources import files, keyed, snapshot, tables
 from lakevec.sources.scratch import drop_at_exit, scratch_path
 from lakevec.streaming.ingest import windowed_counts
 
@@ -692,3 +692,64 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session
 def session_window(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("s")).agg(F.count("*").alias("n"), F.min("ts").alias("start")).select("user_id", "start", "n")
+
+
+# ---------------------------------------------------------------- joins by order
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, o_orderkey AS last_order, o_orderdate AS ordered FROM lineitem ASOF LEFT JOIN o ON l_suppkey = o_custkey AND l_shipdate >= o_orderdate""")
+def asof_orders(spark, sf):
+    """The last order of the customer with the supplier's number up to each shipment; hot keys are cut into slices of time."""
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").alias("ordered"), F.col("o_orderkey").alias("last_order"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey"), "l_shipdate").withColumn("o_custkey", F.col("l_suppkey"))
+    return temporal.asof_join(lines, o, ["o_custkey"], "l_shipdate", "ordered", ["last_order", "ordered"], slice_rows=20_000).drop("o_custkey")
+
+
+@query("""WITH c AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL),
+e AS (SELECT e.event_id, e.user_id, e.ts, c.click_id, c.ts AS clicked FROM (FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts > c.ts)
+SELECT event_id, user_id, CASE WHEN ts - clicked <= INTERVAL 1 HOUR THEN click_id END AS click_id FROM e""")
+def asof_last_click(spark, sf):
+    """The user's last click in the hour before every other event."""
+    e = table(spark, sf, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("event_id").alias("click_id"))
+    return temporal.asof_join(e.where("event_type <> 'click'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "clicked", ["click_id"], strict=True, tolerance=3_600_000_000).select("event_id", "user_id", "click_id")
+
+
+_OUTAGES = "SELECT event_id AS outage_id, user_id, ts AS since, ts + to_microseconds((value * 10000000)::BIGINT) AS until FROM events WHERE event_type = 'error'"
+
+
+@query(f"""SELECT outage_id, event_id FROM ({_OUTAGES}) o JOIN events e ON e.ts BETWEEN o.since AND o.until WHERE e.event_type = 'purchase'""")
+def range_join_points(spark, sf):
+    """Purchases during each outage, whose length goes with the event's value; there is no other key."""
+    e = table(spark, sf, "events")
+    found = temporal.range_join(_outages(e).drop("user_id"), e.where("event_type = 'purchase'").select("event_id", "ts"), ("since", "until"), ("ts", "ts"), bin_rows=2_000)
+    return found.select("outage_id", "event_id")
+
+
+@query(f"""SELECT o.user_id, o.outage_id, p.outage_id AS other_id FROM ({_OUTAGES}) o JOIN ({_OUTAGES}) p ON o.user_id = p.user_id AND o.since <= p.until AND p.since <= o.until WHERE o.outage_id < p.outage_id""")
+def range_join_overlaps(spark, sf):
+    """Outages of one user that overlap."""
+    o = _outages(table(spark, sf, "events"))
+    p = o.select("user_id", F.col("outage_id").alias("other_id"), F.col("since").alias("other_since"), F.col("until").alias("other_until"))
+    return temporal.range_join(o, p, ("since", "until"), ("other_since", "other_until"), ["user_id"]).where("outage_id < other_id").select("user_id", "outage_id", "other_id")
+
+
+def _outages(e: DataFrame) -> DataFrame:
+    until = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 10_000_000).cast("long"))
+    return e.where("event_type = 'error'").select(F.col("event_id").alias("outage_id"), "user_id", F.col("ts").cast("timestamp").alias("since"), until.alias("until"))
+
+
+@query("""SELECT o_custkey::VARCHAR AS custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 5 <> 0
+UNION ALL SELECT o_custkey::VARCHAR, o_orderkey + 1, round(o_totalprice * 2, 2) FROM orders WHERE o_custkey % 7 = 0 AND o_custkey % 2 = 0""")
+def keyed_replace(spark, sf):
+    """Orders in a table keyed by customer: some customers' rows are replaced, some are deleted; only touched buckets are written again."""
+    path = scratch_path(spark, "keyed")
+    drop_at_exit(spark, path)
+    t = keyed.KeyedTable(spark, path, "custkey string, o_orderkey long, o_totalprice double", "custkey", 16)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("custkey"), "o_orderkey", "o_totalprice", "o_custkey")
+    t.replace(0, o.drop("o_custkey"))
+    mine = o.where("o_custkey % 7 = 0")
+    t.replace(1, mine.where("o_custkey % 2 = 0").select("custkey", F.col("o_orderkey") + 1, F.round(F.col("o_totalprice") * 2, 2)).toDF("custkey", "o_orderkey", "o_totalprice"), mine.select("custkey"))
+    t.delete(2, o.where("o_custkey % 5 = 0 and o_custkey % 7 <> 0").select("custkey"))
+    return t.rows()
