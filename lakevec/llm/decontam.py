@@ -1,28 +1,35 @@
-"""Operator 1: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
-
-Texts become lower-case words without punctuation. Every SEED_WORDS-gram of an item is a seed, however many documents hold
-it. A document and an item that share a seed are aligned (match +1, mismatch and gap -1) in the part of the document around
-their seeds, unless a bound shows that no alignment there can reach what is needed: THRESHOLD of the item's words, or
-LONG_SCORE whatever the item's length. The score is the best local alignment over that of the whole item. An item found word
-for word needs no alignment: its score is 1. Words are compared as bytes, by their number in the items' vocabulary; no hash decides.
-
-Seeds are not only the rare ones: at half of an item's score a copy may keep any of its grams and lose all others, so that each
-choice among them loses copies (a test has such). The bound does the work of rarity: an alignment of M matches and E edits has at
-most E + 1 runs of matches, so at least M - 2(E + 1) of the item's grams lie in it. With K places of the item whose gram is in the
-document and W places whose word is, M <= W and the score M - E is at most (K + W + 2) / 2, and at most W. An alignment that holds
-no seed at all has an edit for every two matches; such is not looked for. An alignment spans at most twice the item's words,
-which is how far is aligned around seeds.
-
-The benchmark is dealt into parts of at most about MAX_BENCHMARK_BYTES of text, one pass over the documents each. The driver makes
-and broadcasts one part at a time (some ten times its text), and a task loads the one part it works with.
+"""Operator 1: benchmark decontamination by n-gram seeds, Smith-Waterman alignment, and rarity of what was aligned.
+
+Texts become lower-case words without punctuation. Every SEED_WORDS-gram of an item is a seed. A document and an item that share a
+seed are aligned (match +1, mismatch and gap -1) in the part of the document around their seeds, unless a bound shows that no
+alignment there can reach what is needed: half of the item's words and more of a short item (``needed``), or LONG_SCORE whatever
+the item's length. The score is the best local alignment over that of the whole item. An item found word for word needs
+no alignment: its score is 1. Words are compared as bytes, by their number in the items' vocabulary; no hash decides.
+
+Rarity decides about what was aligned. The pass that aligns also counts the documents of every gram. What a gram has beyond the
+documents aligned with an item is its background there: a gram whose background is at least STOCK_DOCUMENTS and more than
+those aligned is stock for this item, all others are rare. An alignment counts if it holds RARE_SHARE of the item's rare grams, or NEARLY_ALL
+of the item. So two stock phrases that make up half of a question are no copy of it, while an item that thousands of documents
+hold, whole or edited alike, stays rare: those documents are its own, not background. Rarity does not choose seeds, as an
+edited copy may keep any of its grams and lose all others (a test has such).
+
+The bound keeps the alignments few: an alignment of M matches and E edits has at most E + 1 runs of matches, so at least M - 2(E + 1)
+of the item's grams lie in it. With K places of the item whose gram is in the document and W places whose word is, M <= W and
+the score M - E is at most (K + W + 2) / 2, and at most W. An alignment that holds no seed at all has an edit for every two matches; such
+is not looked for. An alignment spans at most twice the item's words, which is how far is aligned around seeds.
+
+The benchmark is dealt into parts of at most about MAX_BENCHMARK_BYTES of text, one pass over the documents each, and nothing but pairs
+and counts is stored. The driver makes and broadcasts one part at a time (some ten times its text), and a task loads the one part
+it works with.
 
 Defined results: null texts and items have no words and match nothing; items of fewer than SEED_WORDS words match where they
-stand word for word; repeated items and rows are each reported; null ids stay null; an empty table on either side gives an
-empty result; other columns are ignored; documents are read whole.
+stand word for word, whatever their rarity; repeated items and rows are each reported; null ids stay null; an empty table on either
+side gives an empty result; other columns are ignored; documents are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from itertools import chain, repeat
@@ -32,12 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.llm.shared import drop_stored, stored, texts_of
+from lakevec.llm.shared import stored, texts_of
 from lakevec.llm.textkernel import as_bytes, mix64, slices
 
 SEED_WORDS, THRESHOLD, LONG_SCORE = 3, 0.5, 25
+#: What a short item needs: so many words, and so much of each.
+SHORT_WORDS, SHORT_SHARE = 3, 0.4
+STOCK_DOCUMENTS, RARE_SHARE, NEARLY_ALL = 10, 0.125, 0.9
 MATCH, MISMATCH, GAP, REACH = 1, -1, -1, 2
 MAX_BENCHMARK_BYTES = 8 << 20
+#: Digests of leaking texts up to this size are broadcast to the documents.
+BROADCAST_BYTES = 64 << 20
 _MARKS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _WIDE_MARKS = re.compile(r"[^\w\x00-\x7f]+")
 
@@ -51,7 +63,8 @@ def normal(text: bytes) -> bytes:
 
 def needed(words):
     """The least score that counts, by the words of an item."""
-    return np.minimum(THRESHOLD * words, LONG_SCORE)
+    short = np.minimum(words, SHORT_WORDS + SHORT_SHARE * np.asarray(words))
+    return np.minimum(np.maximum(THRESHOLD * np.asarray(words), short), LONG_SCORE)
 
 
 class Numbered:
@@ -150,8 +163,9 @@ class Benchmark:
     def _item(self, number: int) -> np.ndarray:
         return self.words[self.first[number] : self.first[number] + self.counts[number]]
 
-    def matches(self, texts: list[bytes]) -> list[list[tuple[int, float, int, int]]]:
-        """For each text: (item number, score, first word, words) of the items whose score is enough."""
+    def matches(self, texts: list[bytes], tally: np.ndarray | None = None) -> list[list[tuple[int, float, int, int, list[int]]]]:
+        """For each text: (item number, score, first word, words, the item's grams there) of the items whose score is enough. ``tally``: texts of each
+        gram, added to."""
         out: list[list] = [[] for _ in texts]
         w = Numbered(texts, lambda words: map(self.vocabulary.get, words, repeat(-1)))
         if self.short:
@@ -167,21 +181,36 @@ class Benchmark:
             words = w.ids[first : first + n]
             own = words[words >= 0]
             present[own] = True
-            for item in self._possible(np.unique(gram[a:b]), present):
+            grams = np.unique(gram[a:b])
+            if tally is not None:
+                tally[grams] += 1
+            for item in self._possible(grams, present):
                 score, start, length = self._best(item, words, at[a:b] - first, gram[a:b])
                 if score * self.counts[item] >= needed(self.counts[item]):
-                    out[text].append((item, score, start, length))
+                    inside = gram[a:b][(at[a:b] - first >= start) & (at[a:b] - first <= start + length - SEED_WORDS)]
+                    out[text].append((item, score, start, length, np.intersect1d(inside, self.grams_of(item)).tolist()))
             present[own] = False
         return out
 
-    def _short(self, words: list[int]) -> list[tuple[int, float, int, int]]:
+    def grams_of(self, number: int) -> np.ndarray:
+        return self.gram_at[self.first[number] : self.first[number] + max(self.counts[number] - SEED_WORDS + 1, 0)]
+
+    def rare_enough(self, number: int, score: float, aligned: list[int], counts: dict[int, tuple[int, int]]) -> bool:
+        """``counts``: by gram, the documents aligned with this item that hold it, and all documents that do."""
+        if score >= NEARLY_ALL:
+            return True
+        stock = {g for g, (own, n) in counts.items() if n - own >= STOCK_DOCUMENTS and n - own > own}
+        rare = set(self.grams_of(number).tolist()) - stock
+        return bool(rare) and len(rare.intersection(aligned)) >= RARE_SHARE * len(rare)
+
+    def _short(self, words: list[int]) -> list[tuple[int, float, int, int, list[int]]]:
         first: dict[tuple, int] = {}
         for n in range(1, SEED_WORDS):
             for p in range(len(words) - n + 1):
                 run = tuple(words[p : p + n])
                 if run in self.short:
                     first.setdefault(run, p)
-        return [(item, 1.0, p, len(run)) for run, p in first.items() for item in self.short[run]]
+        return [(item, 1.0, p, len(run), []) for run, p in first.items() for item in self.short[run]]
 
     def _possible(self, gram: np.ndarray, present: np.ndarray) -> list[int]:
         """The items with one of the grams whose bound in the whole text is enough."""
@@ -197,7 +226,7 @@ class Benchmark:
         """``at`` and ``gram``: the words of the document where a gram of the benchmark begins, and which."""
         item = self._item(number)
         m = len(item)
-        own = self.gram_at[self.first[number] : self.first[number] + m - SEED_WORDS + 1]
+        own = self.grams_of(number)
         for start in at[gram == own[0]].tolist():
             if start + m <= len(doc) and (doc[start : start + m] == item).all():
                 return 1.0, start, m
@@ -230,46 +259,75 @@ def parts_of(benchmark: DataFrame):
         yield part, parts, benchmark.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in rows]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, n_words): every document and item whose alignment is enough."""
-    schema = "doc_id long, item_id long, score double, first_word int, n_words int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    docs = texts_of(docs)
-    for _, _, shared in parts_of(benchmark):
+_FOUND = "doc_id long, digest binary, item int, score double, first_word int, n_words int, grams array<int>, gram int, n long"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("item", pa.int32()), ("score", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("grams", pa.list_(pa.int32())), ("gram", pa.int32()), ("n", pa.int64())])
+PAIRS = "digest binary, doc_id long, item_id long, score double, first_word int, n_words int"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+
 
-        def align(batches, shared=shared):
+def aligned(docs: DataFrame, shared) -> DataFrame:
+    """One pass of (doc_id, text) over a part of the benchmark, stored: the pairs whose alignment is enough, and each task's count of documents by
+    gram."""
+
+    def run(batches):
+        benchmark = shared.value
+        tally = np.zeros(len(benchmark.index.sorted), np.int64)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = []
+            for a, b in slices(texts):
+                for i, found in enumerate(benchmark.matches(texts[a:b], tally), a):
+                    digest = hashlib.sha256(texts[i]).digest() if found else None
+                    rows += [(ids[i], digest, *pair, None, None) for pair in found]
+            yield _batch(rows, _ARROW)
+        grams = np.flatnonzero(tally)
+        for at in range(0, len(grams), 50_000):
+            part = grams[at : at + 50_000]
+            none = [pa.nulls(len(part), f.type) for f in list(_ARROW)[:-2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), pa.array(tally[part])], schema=_ARROW)
+
+    return stored(docs.mapInArrow(run, _FOUND), "aligned")
+
+
+def pairs_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """PAIRS: every row of ``docs`` and item whose alignment is enough and holds enough of the item's rare grams."""
+    out = docs.sparkSession.createDataFrame([], PAIRS)
+    types = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())])
+    for _, _, shared in parts_of(benchmark):
+        found = aligned(texts_of(docs), shared)
+        pairs = found.where("item is not null").drop("gram", "n")
+        total = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+        own = pairs.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("own"))
+        counts = own.join(total, "gram").groupBy("item").agg(F.collect_list(F.struct("gram", "own", "n")).alias("counts"))  # grams of one item
+
+        def rare(batches, shared=shared):
+            benchmark = shared.value
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
                 rows = []
-                for a, b in slices(texts):
-                    for i, found in enumerate(shared.value.matches(texts[a:b]), a):
-                        rows += [(ids[i], shared.value.ids[item], *rest) for item, *rest in found]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=["doc_id", "item_id", "score", "first_word", "n_words"])
+                for x in batch.to_pylist():
+                    known = {c["gram"]: (c["own"], c["n"]) for c in x["counts"] or []}
+                    if not x["grams"] or benchmark.rare_enough(x["item"], x["score"], x["grams"], known):
+                        rows.append((x["digest"], x["doc_id"], benchmark.ids[x["item"]], x["score"], x["first_word"], x["n_words"]))
+                yield _batch(rows, types)
 
-        out = out.unionByName(docs.mapInArrow(align, schema))
+        out = out.unionByName(pairs.join(counts, "item", "left").mapInArrow(rare, PAIRS))
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that match no item. With several parts, what a pass keeps is stored for
-    the next, so that no task holds two parts."""
-    at, before = docs.columns.index("text"), None
-    for part, parts, shared in parts_of(benchmark):
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, first_word, n_words): every document and item whose alignment is enough."""
+    return pairs_of(docs, benchmark).drop("digest")
 
-        def keep(batches, shared=shared):
-            for batch in batches:
-                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-                clean = [not found for a, b in slices(texts) for found in shared.value.matches(texts[a:b])]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-        if part < parts - 1:
-            docs, last = stored(docs, "clean-so-far"), before
-            before = docs
-            if last is not None:
-                drop_stored(last)
-    return docs
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that match no item: those whose text is none of the leaking ones, by its SHA-256."""
+    leaks = stored(pairs_of(docs, benchmark).select(F.col("digest").alias("_leak")).distinct(), "leaks")
+    if leaks.count() * 64 <= BROADCAST_BYTES:
+        leaks = F.broadcast(leaks)
+    return docs.join(leaks, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)) == F.col("_leak"), "left_anti")
 
 
 def op1_decontam(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_the_bound_loses_nothing():
         doc = text.split()
         grams = {tuple(doc[k : k + 3]) for k in range(len(doc) - 2)}
         scores = {i: plain_score(x.split(), doc) / len(x.split()) for i, x in enumerate(items) if any(tuple(x.split()[k : k + 3]) in grams for k in range(len(x.split()) - 2))}
-        assert {i: s for i, s, *_ in got} == {i: s for i, s in scores.items() if s * len(items[i].split()) >= min(decontam.THRESHOLD * len(items[i].split()), decontam.LONG_SCORE)}
+        assert {i: s for i, s, *_ in got} == {i: s for i, s in scores.items() if s * len(items[i].split()) >= decontam.needed(len(items[i].split()))}
 
 
 def test_parts_of_the_benchmark_change_nothing(planted, monkeypatch):
@@ -119,13 +119,43 @@ def test_recall_of_edited_copies_against_all_alignments(spark):
         copy = [w for w in items[n % 30] if rng.random() > n % 8 * 0.03]
         copy = [word() if rng.random() < n % 10 * 0.04 else w for w in copy]
         docs.append([word() for _ in range(20)] + copy + [word() for _ in range(9)])
-    reach = lambda item, doc: plain_score(item, doc) >= min(decontam.THRESHOLD * len(item), decontam.LONG_SCORE)
+    reach = lambda item, doc: plain_score(item, doc) >= decontam.needed(len(item))
     want = {(d, i) for d, doc in enumerate(docs) for i in {d % 30, (d + 7) % 30} if reach(items[i], doc)}
     found = decontam.contaminated(spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     got = {(r.doc_id, r.item_id) for r in found}
     assert len(want) > 120 and len(got & want) >= 0.99 * len(want) and all(reach(items[i], docs[d]) for d, i in got)
 
 
+def test_stock_phrases_are_no_leaks(spark):
+    """Questions whose beginnings and ends clean text is full of; the questions themselves, whole and edited, are found."""
+    items = [(1, "What is the capital of France?"), (2, "What is the name of the author of this book?"), (3, "one two three four five six seven eight")]
+    clean = ["My question is simple: what is the point of gardening in winter?", "Tell me what is the name of your dog and the author of nothing", "Count with me: one two three four, and again one two three four"]
+    docs = [(n, t) for n, t in enumerate(clean)] + [(10, "He asked what is the capital of France and left"), (11, "so what is the name of the author of that book then"), (12, "one two three four five seven eight")]
+    frames = lambda docs, items: (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(*frames(docs, items)).collect()}
+    assert {d for d, _ in got} == {10, 11} and {r.doc_id for r in decontam.without_leaks(*frames(docs, items)).collect()} == {0, 1, 2, 12}
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_precision_on_clean_text_and_recall_of_copies(spark, copies):
+    """Items are half stock phrases. Clean texts hold these phrases, some of them both of an item's; copies are edited, however often repeated."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 7)))
+    stock = ["which of the following statements best describes the main idea of", "according to the passage above what can be inferred about the author and", "choose the answer that best completes the sentence below given that"]
+    items = [(i, f"{stock[i % 3]} {' '.join(word() for _ in range(rng.randint(4, 6)))} {stock[(i + 1) % 3]}") for i in range(12)]
+    clean = [(1_000 + n, " ".join([*(word() for _ in range(30)), stock[n % 3], *(word() for _ in range(9 if n % 5 else 3)), stock[(n + 1) % 3 if n % 5 == 0 else n % 3], word()])) for n in range(400)]
+    leaks = []
+    for i, text in items:
+        words = text.split()
+        for n in range(copies):
+            edited = [word() if rng.random() < 0.08 else w for w in words]
+            leaks.append((10 * i + n % 10, " ".join([word(), word(), *edited, word()])))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(clean + leaks, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, d // 10) for d, _ in leaks}
+    assert len(got & want) >= 0.9 * len(want) and not {d for d, _ in got if d >= 1_000}
+    assert len(got - want) <= 0.1 * len(want)
+
+
 def test_a_large_benchmark_is_bounded_in_memory():
     """20 MB of items: three parts, each made within 600 MB of the driver's Python and pickled to less than its budget."""
     script = """
@@ -156,7 +186,7 @@ def test_equals_brute_force(spark, small_docs, sf_dir):
         doc = words(r.text)
         grams = {tuple(doc[k : k + 3]) for k in range(len(doc) - 2)}
         for i, item in items:
-            if any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and plain_score(item, doc) >= min(decontam.THRESHOLD * len(item), decontam.LONG_SCORE):
+            if any(tuple(item[k : k + 3]) in grams for k in range(len(item) - 2)) and plain_score(item, doc) >= decontam.needed(len(item)):
                 want.add((r.doc_id, i))
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(small_docs.limit(60), benchmark).collect()} == want
 
