@@ -10,13 +10,19 @@ A token is valid in its class if it is ordered, standing at the same rank among
 and nested, standing in the same gap between two tokens of the frame on every page. The template of a host is what is
 valid: its containers open the slots, and its texts are template text. The rest of the text falls into the slots. From
 the whole page down, the main slot is the one below that holds MAIN_SHARE of the remaining text outside of links; what stands in it and is
-no template text is the main text, with text that stands directly in the slots above it; the other slots passed on the way are left out. Tag names only
-break ties: of slots with at least half of the heaviest one's text, one that is or leads to an article, then to a main container,
-goes first, and such a container is not gone below, nor does text above it count. Hosts of too few pages have no template, and pages
-without text in the main slot of their host do not fit it: both are judged by the same descent over their own containers.
+no template text is the main text, with text that stands directly in the slots above it; the other slots passed on the way are left out. Tag names
+decide among slots with at least half of the heaviest one's text: one that is or leads to an article, then to a main container, goes
+first, and such a container is not gone below, nor does text above it count. Articles side by side are one slot, whatever their
+classes. Hosts of too few pages have no template, and pages without text in the main slot of their host do not fit it: both are
+judged by the same descent over their own containers.
 
-What markup declares to be a menu, header, footer, sidebar, notice, advert, form or reader comment is never main text: by
-tag, or by a class, id or role made of listed words alone; but never html, body, or the containers around the only article or main.
+What markup declares to be a menu, header, footer, sidebar, notice, advert, form or reader comment is no main text: by
+tag, or by a class, id or role made of listed words alone; but never html, body, the containers around the only article or main, a header in
+an article or main, or a form or named container around all the text of a page: where nothing else remains, such a container is judged by the
+template like any other.
+
+Work grows with the length of a page, also where nothing is closed: containers nested deeper than MAX_DEPTH count as side by side, and raw text is
+found in one scan.
 
 A host's template has at most twice as many tokens as its mean page, as each stands on half of the pages. Templates are
 broadcast up to MAX_BROADCAST tokens in all, and beyond joined by host and salt, so that a host of any size is spread.
@@ -33,7 +39,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
@@ -46,8 +52,11 @@ from lakevec.llm.shared import stored
 from lakevec.llm.textkernel import as_bytes
 
 SUPPORT, MIN_PAGES, MAIN_SHARE, MAX_BROADCAST, SALTS = 0.5, 3, 0.75, 200_000, 32
-#: Raw text up to its end tag, or else to the end of the page; an unclosed title ends at the next tag.
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|html|article|main)\b).)*+</title\s*>|[^<]*)", re.S | re.I)
+#: Containers below so many others stand beside the last of these, as browsers limit depth too.
+MAX_DEPTH = 100
+_RAW = re.compile(r"<!--|<(script|style|textarea|title)\b", re.I)
+_RAW_END = re.compile(r"</(script|style|textarea)\s*>", re.I)
+_TITLE_END = re.compile(r"</title\s*>|</?(?:title|head|body|html|article|main)\b", re.I)
 #: Hidden up to the next end tag of their own; without one, or closed in itself, only the tag goes.
 _HIDDEN = frozenset("noscript template iframe svg select button".split())
 _HIDDEN_END = re.compile(rf"</({'|'.join(sorted(_HIDDEN))})\s*>", re.I)
@@ -55,11 +64,46 @@ _MARK = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _CONTAINERS = frozenset("html body article main section div nav header footer aside form table ul ol dl figure details dialog fieldset".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
+_FORMS = frozenset("form fieldset".split())
 _DROPPED_TAGS = frozenset("nav footer aside form dialog fieldset".split())
 #: Fixed words: a container with a class, id or role made of these alone (``cookie-notice``, not ``has-sidebar``) is boilerplate.
 _DROPPED_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 
+def without_raw(html: str) -> str:
+    """``html`` without comments and raw text, each up to its end or else to the end of the page; an unclosed title ends at the next tag. One scan
+    forward, whatever is unclosed."""
+    ends: dict[str, list[int]] = {"script": [], "style": [], "textarea": []}
+    for m in _RAW_END.finditer(html):
+        ends[m[1].lower()].append(m.end())
+    out, at = [], 0
+    while m := _RAW.search(html, at):
+        out += [html[at : m.start()], " "]
+        if m[1] is None:
+            at = html.find("-->", m.end()) + 3
+            if at < 3:
+                return "".join(out)
+            continue
+        at = html.find(">", m.end()) + 1
+        if not at:
+            return "".join(out)
+        tag = m[1].lower()
+        if tag == "title":
+            stop = _TITLE_END.search(html, at)
+            if stop and stop[0].endswith(">"):
+                at = stop.end()
+            else:
+                at = html.find("<", at)
+                if at < 0:
+                    return "".join(out)
+        else:
+            k = bisect(ends[tag], at)
+            if k == len(ends[tag]):
+                return "".join(out)
+            at = ends[tag][k]
+    return "".join([*out, html[at:]])
+
+
 class Page:
     """blocks: (container path, declared boilerplate or not, text, characters outside of links), in page order; tokens:
     (token, path, is a text, block number or -1) in page order, without texts of declared boilerplate."""
@@ -68,11 +112,13 @@ class Page:
         self.blocks: list[tuple[str, bool, str, int]] = []
         self.tokens: list[tuple[int, str, bool, int]] = []
         nodes = [("", 0, False, False)]  # path, number of the node above, listed as boilerplate, article or main
+        forms: set[int] = set()  # of these, listed by tag alone
+        opened: Counter[str] = Counter()  # of the stack, by tag
         found: list[tuple[int, str, int]] = []  # node, text, characters outside of links
         seen: list[str | int] = []  # path of a tag, or number of a block
         stack: list[tuple[str, int]] = []  # tag, node
         node, path, text, at, link, linked = 0, "", [], 0, False, 0
-        html = _RAW.sub(" ", html)
+        html = without_raw(html)
         ends: dict[str, list[int]] = {t: [] for t in _HIDDEN}
         for m in _HIDDEN_END.finditer(html):
             ends[m[1].lower()].append(m.end())
@@ -86,7 +132,7 @@ class Page:
             text.clear()
             link, linked = False, 0
 
-        for m in _MARK.finditer(html):
+        for m in _MARK.finditer(html, 0, html.rfind(">") + 1):
             if m.start() < at:
                 continue
             text.append(html[at : m.start()])
@@ -112,41 +158,69 @@ class Page:
             if not m[1]:
                 whole = {x for n in _NAMES.findall(m[3]) for x in n.lower().strip("\"'").split()}
                 split = [[x for x in re.split(r"[^a-z0-9]+", n) if x and not x.isdigit()] for n in whole]
-                path = f"{path}/{'.'.join([tag, *sorted({x for n in split for x in n})])}"
+                path = f"{path if len(stack) < MAX_DEPTH else _up(path)}/{'.'.join([tag, *sorted({x for n in split for x in n})])}"
                 inside = "/article" in path or "/main" in path
-                listed = tag in _DROPPED_TAGS or tag == "header" and not inside or any(n and _DROPPED_NAMES.issuperset(n) for n in split)
+                named = any(n and _DROPPED_NAMES.issuperset(n) and not (inside and n == ["header"]) for n in split)
+                listed = tag in _DROPPED_TAGS or tag == "header" and not inside or named
                 body = tag in ("article", "main") or "main" in whole
                 nodes.append((path, node, listed and not body and tag not in ("body", "html"), body))
                 node = len(nodes) - 1
+                if tag in _FORMS and not named:
+                    forms.add(node)
                 stack.append((tag, node))
+                opened[tag] += 1
                 seen.append(path)
-            elif any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            elif opened[tag]:
+                while (last := stack.pop()[0]) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
                 node = stack[-1][1] if stack else 0
                 path = nodes[node][0]
         text.append(html[at:])
         close()
-        self._judge(nodes, found)
+        self._judge(nodes, found, forms)
         for x in seen:
             if isinstance(x, str):
                 self.tokens.append((tag_token(x), x, False, -1))
             elif not self.blocks[x][1]:
                 self.tokens.append((text_token(self.blocks[x][0], self.blocks[x][2]), self.blocks[x][0], True, x))
 
-    def _judge(self, nodes: list[tuple[str, int, bool, bool]], found: list[tuple[int, str, int]]) -> None:
-        """Blocks below a listed container are boilerplate; but if no article or main has text outside of these, the
-        containers around one are not."""
-        dropped, inside, holds = [], [], [False] * len(nodes)
-        for n, (_, up, listed, body) in enumerate(nodes):
-            dropped.append(listed or n > 0 and dropped[up])
-            inside.append(body or n > 0 and inside[up])
-        if not any(inside[n] and not dropped[n] for n, _, _ in found):
+    def _judge(self, nodes: list[tuple[str, int, bool, bool]], found: list[tuple[int, str, int]], forms: set[int]) -> None:
+        """Blocks below a listed container are boilerplate; but if no article or main has text outside of these, the containers around one are
+        not. Where all text outside of links would be boilerplate, the page is no form (a form around a whole page), and if that leaves nothing
+        either, not the container listed by its names with the most such text of its own."""
+        listed, inside, holds = [x[2] for x in nodes], [False] * len(nodes), [False] * len(nodes)
+        for n, (_, up, _, body) in enumerate(nodes):
+            inside[n] = body or n > 0 and inside[up]
+
+        def within() -> list[int]:
+            """For each node the innermost listed container that it is or lies in, or -1."""
+            out: list[int] = []
+            for n, (_, up, _, _) in enumerate(nodes):
+                out.append(n if listed[n] else out[up] if n else -1)
+            return out
+
+        own = within()
+        if not any(inside[n] and own[n] < 0 for n, _, _ in found):
             for n in range(len(nodes) - 1, 0, -1):
                 holds[nodes[n][1]] |= holds[n] or nodes[n][3]
-            for n, (_, up, listed, _) in enumerate(nodes):
-                dropped[n] = listed and not holds[n] or n > 0 and dropped[up]
-        self.blocks = [(nodes[n][0], dropped[n], words, chars) for n, words, chars in found]
+            listed = [x and not h for x, h in zip(listed, holds)]
+            own = within()
+        left = lambda: any(own[n] < 0 and chars for n, _, chars in found)
+        if not left() and forms:
+            listed = [x and n not in forms for n, x in enumerate(listed)]
+            own = within()
+        if not left():
+            weights: Counter[int] = Counter()
+            for n, _, chars in found:
+                if own[n] >= 0 and nodes[own[n]][0].rpartition("/")[2].split(".")[0] not in _DROPPED_TAGS | {"header"}:
+                    weights[own[n]] += chars
+            top = max(weights, key=lambda n: (weights[n], -n), default=0)
+            if weights[top]:
+                while top > 0:
+                    listed[top], top = False, nodes[top][1]
+                own = within()
+        self.blocks = [(nodes[n][0], own[n] >= 0, words, chars) for n, words, chars in found]
 
     def rest(self, template: frozenset[int] | set[int]) -> list[tuple[str, str, int]]:
         """(path, text, characters outside of links) of each block that is neither declared boilerplate nor template text."""
@@ -155,12 +229,13 @@ class Page:
     def text(self, template: frozenset[int] | set[int] = frozenset(), main: str | None = None) -> str:
         """The remaining blocks of the main slot, in page order; of the page's own one if there are none."""
         rest = self.rest(template)
-        if main is None or not any(_below(p, main) for p, _, _ in rest):
+        if main is None or not any(_below(p, top) for p, _, _ in rest for top in main.split("|")):
             weights: Counter[str] = Counter()
             for p, _, chars in rest:
                 weights[p] += chars
             main = main_slot(weights)
-        return " ".join(t for p, t, _ in rest if _below(p, main) or rank(main) == 1 and _below(main, p))
+        tops = main.split("|")
+        return " ".join(t for p, t, _ in rest if any(_below(p, top) or rank(top) == 1 and _below(top, p) for top in tops))
 
 
 @lru_cache(16384)
@@ -180,6 +255,7 @@ def _up(path: str) -> str:
     return path.rpartition("/")[0]
 
 
+@lru_cache(16384)
 def rank(path: str) -> int:
     """3 for an article that is in no other, 2 for a main container, else 1."""
     tags = [p.split(".")[0] for p in path.split("/")]
@@ -189,23 +265,40 @@ def rank(path: str) -> int:
 
 
 def main_slot(weights: dict[str, int]) -> str:
-    """The main slot; ``weights``: characters of text directly in each slot, by path."""
+    """The main slot, as paths joined by | where it is several; ``weights``: characters of text directly in each slot, by path."""
     total: Counter[str] = Counter()
+    below: defaultdict[str, list[str]] = defaultdict(list)
     for path, n in weights.items():
-        total[path] += n
         while path:
-            path = _up(path)
+            if path not in total:
+                below[_up(path)].append(path)
             total[path] += n
-    at = ""
-    while rank(at) < 3:
-        below = [p for p in total if p and _up(p) == at]
-        most = max((total[p] for p in below), default=0)
-        leads = {p: max(rank(q) for q in total if _below(q, p) and 2 * total[q] >= total[p]) for p in below if 2 * total[p] >= most}
-        best = max(leads, key=lambda p: (leads[p], total[p], p), default=None)
-        if best is None or leads[best] <= rank(at) and (rank(at) > 1 or total[best] < MAIN_SHARE * total[at] or not total[best] and len(below) > 1):
-            break
-        at = best
-    return at
+            path = _up(path)
+        total[""] += n
+
+    def leads(top: str) -> int:
+        """The highest rank of ``top`` and of what holds half of its text."""
+        best, todo = 0, [top]
+        while todo:
+            path = todo.pop()
+            best = max(best, rank(path))
+            todo += [p for p in below[path] if 2 * total[p] >= total[top]]
+        return best
+
+    found, todo = [], [""]
+    while todo:
+        at = todo.pop()
+        while rank(at) < 3:
+            most = max((total[p] for p in below[at]), default=0)
+            near = {p: leads(p) for p in below[at] if 2 * total[p] >= most}
+            best = max(near, key=lambda p: (near[p], total[p], p), default=None)
+            if best is None or near[best] <= rank(at) and (rank(at) > 1 or total[best] < MAIN_SHARE * total[at] or not total[best] and len(below[at]) > 1):
+                break
+            if near[best] > 1:  # articles side by side, or containers of as much text that lead to some
+                todo += [p for p in below[at] if p != best and near[best] in (near.get(p), rank(p))]
+            at = best
+        found.append(at)
+    return "|".join(sorted(found))
 
 
 def _with_host(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import html as entities
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from lakevec.llm import pages
 
 SCHEMA = "page_id long, url string, html string"
@@ -155,3 +158,59 @@ def test_hosts_are_apart(spark, monkeypatch):
     monkeypatch.setattr(pages, "MAX_BROADCAST", 0)  # the shuffled join gives the same
     rows = [(1, "http://a/1", "<main><p>m</p></main>"), (2, "https://user@b.c/2", "<body><p>n</p></body>"), (3, "http://a/3?x", "<main><p>o</p></main>")]
     assert extract(spark, *rows) == {1: "m", 2: "n", 3: "o"}
+
+
+SHAPES = {
+    "form": '<body><form id="aspnetForm"><nav><a href=x>Home</a></nav><div id="content"><p>{0}</p><p>And more of {0}</p></div><div class="footer">Imprint</div></form></body>',
+    "header": '<body><div class="menu"><a href=x>Home</a></div><div class="header"><div class="content"><p>{0}</p><p>And more of {0}</p></div></div></body>',
+    "widget": '<body><nav><a href=x>Home</a></nav><div class="widget"><p>{0}</p><p>And more of {0}</p></div></body>',
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_the_only_text_of_a_page_stays_whatever_it_stands_in(spark, shape):
+    said = [f"Number {n} says that its words are {' '.join(f'w{n}x{k}' for k in range(n + 5))}." for n in range(6)]
+    rows = [(n, f"http://a.example/{n}", SHAPES[shape].format(x)) for n, x in enumerate(said)]
+    rows += [(10 + n, f"http://h{n}.example/", SHAPES[shape].format(x)) for n, x in enumerate(said)]  # hosts of one page
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + n: f"{x} And more of {x}" for n, x in enumerate(said) for k in (0, 1)}
+
+
+def test_articles_side_by_side_and_headers_in_articles(spark):
+    html = '<body><nav>Menu</nav><main><article class="post news"><div class="header"><h1>Title {0}</h1></div><p>Long news {0} {1}</p></article><article class="post sport"><p>Sport {0}</p></article></main><footer>F</footer></body>'
+    rows = [(n, f"http://a.example/{n}", html.format(n, "word " * (n + 9))) for n in range(6)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Title {n} Long news {n} {' '.join(['word'] * (n + 9))} Sport {n}" for n in range(6)}
+
+
+def test_boilerplate_alone_stays_empty():
+    for html in ("<nav><a href=x>Home</a></nav><footer>Imprint, all rights reserved</footer>", "<body><aside>Side text</aside></body>", '<div class="menu"><a href=a>One</a><a href=b>Two</a></div>'):
+        assert pages.Page(html).text() == ""
+
+
+@pytest.mark.parametrize("html", ["<div><p>word</p>" * 2_000, "<div>" * 5_000 + "word", "<script " * 130_000, "<title>" * 100_000, "<!--" * 200_000, "<div>" * 20_000 + "</section>" * 50_000, "<div class=a{}>x</div>" * 5_000, '<a "' * 100_000, "<textarea>" * 50_000])
+def test_broken_pages_take_linear_time(html):
+    import time
+
+    if "{}" in html:
+        html = "".join(f"<div class=a{n}>x</div>" for n in range(5_000))
+    began = time.process_time()
+    page = pages.Page(html)
+    page.text()
+    assert time.process_time() - began < 2
+    if "word" in html:
+        assert page.text().split() == ["word"] * html.count("word")
+
+
+def test_pages_whose_markup_tells_nothing(spark):
+    """Only div and p without names: what all pages of the host share goes, by a plain rule; what differs stays."""
+    rng = random.Random(3)
+    top, bottom = ["Home", "About us", "Contact"], ["Imprint text of this site", "All rights reserved"]
+    rows, want = [], {}
+    for n in range(12):
+        own = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(8, 30))) + f" {n} {k}" for k in range(rng.randint(2, 5))]
+        block = lambda texts: "<div>" + "".join(f"<p>{t}</p>" for t in texts) + "</div>"
+        rows.append((n, f"http://plain.example/{n}", f"<body>{block(top)}<div><div>{''.join(f'<p>{t}</p>' for t in own)}</div></div>{block(bottom)}</body>"))
+        want[n] = " ".join(own)
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
