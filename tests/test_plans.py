@@ -78,6 +78,21 @@ def test_no_text_changes_a_table(spark):
         spark.sql("DROP TABLE lakevec_kept")
 
 
+def test_no_java_method_is_called(spark):
+    call = "('java.lang.System', 'setProperty', 'lakevec.reached', '1')"
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW lakevec_hidden AS SELECT reflect{call} AS x")
+    for bad in (
+        f"SELECT `reflect`{call}", f"SELECT reflect/**/{call}", f"SELECT reflect \n {call}", f"SELECT ReFlEcT{call}", f"SELECT `java_method`{call}", f"SELECT try_reflect{call}", f"SELECT system.builtin.reflect{call}", f"SELECT `system`.`builtin`.`reflect`{call}",
+        f"SELECT 1 WHERE 'x' IN (SELECT `reflect`{call})", f"WITH a AS (SELECT `reflect`{call} AS x) SELECT * FROM a", f"SELECT transform(array(1), y -> `reflect`{call})", f"SELECT * FROM explode(array(`reflect`{call}))", f"SELECT 1 ORDER BY `reflect`{call}",
+        f"SELECT count(*) FILTER (WHERE `reflect`{call} = '1')", f"SELECT * FROM VALUES (`reflect`{call})", "SELECT * FROM lakevec_hidden", f"SELECT (SELECT max(`reflect`{call}))", f"SELECT * FROM (SELECT 1 x) JOIN (SELECT 1 y) ON `reflect`{call} = '1'",
+    ):
+        with pytest.raises(Validation, match="Java methods"):
+            sql.run_sql(spark, bad)
+    assert spark._jvm.java.lang.System.getProperty("lakevec.reached") is None
+    for good in ("SELECT 'reflect(1)' AS reflect", "SELECT reflect FROM (SELECT 1 AS reflect)", "SELECT transform(array(1, 2), x -> x + 1)", "SELECT (SELECT max(id) FROM range(3)) AS m", "SELECT explode(array(1)) -- reflect('a')"):
+        sql.run_sql(spark, good).collect()
+
+
 def test_headings_of_two_columns_never_collide(spark):
     model = pv.Model.of([pv.Dimension(c, lambda c=c: pv.F.col(f"raw_{c}")) for c in "abr"], [pv.Measure("n", lambda: pv.F.count("*"))])
     fact = spark.createDataFrame([("a_b", "c", "x"), ("a", "b_c", "x"), ("a", "b_c", "x"), ("a", "c", "y")], "raw_a string, raw_b string, raw_r string")
