@@ -9,9 +9,11 @@ or can be made; the grouping is pre-aggregated before its shuffle, and what it h
 single, with their place. Pass 3 removes the words covered by the windows estimated repeated that are not single. The
 hashes of anchors may collide at will: that only raises estimates.
 
-The sketch has ROWS rows whose width follows the volume of text (about four cells for each anchor) up to MAX_CELLS. Only
-one bit for each cell, "counted twice or more", is broadcast: at most ROWS * MAX_CELLS / 8 bytes (128 MiB). Beyond that
-volume more single windows pass to the exact grouping; none is lost at any size.
+The sketch has ROWS rows whose width follows the volume of text: about four cells for each anchor at any size, so the share of
+single windows that pass it does not grow. Up to MAX_CELLS one bit for each cell, "counted twice or more", is broadcast: at most
+ROWS * MAX_CELLS / 8 bytes (128 MiB). Beyond, the sketch is dealt over the executors: its cells, counted by task first, are rows that are
+added up by cell, and each document's anchors meet the cells counted twice or more in one semi-join for each row of the sketch. An anchor
+stands for some 15 windows, so that these joins move a fraction of the text.
 
 Defined results: a null text has no words; a text shorter than a window is kept whole; kept words are joined by one
 space; a repeated row repeats its windows, so they go; a null doc_id is a document like any other; an empty table gives
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakevec.llm.shared import texts_of
+from lakevec.llm.shared import stored, texts_of
 from lakevec.llm.textkernel import RunHasher, Words, mix64, slices, sliding_min
 
 WINDOW, ANCHOR = 35, 12
@@ -72,8 +74,8 @@ def _cells(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 def sketch_cells(n_bytes: int) -> int:
-    """Cells of a row: the power of two at or above four for each expected anchor, within bounds."""
-    return min(MAX_CELLS, max(MIN_CELLS, 1 << (4 * n_bytes // BYTES_PER_ANCHOR).bit_length()))
+    """Cells of a row: the power of two at or above four for each expected anchor, and MIN_CELLS at least."""
+    return max(MIN_CELLS, 1 << (4 * n_bytes // BYTES_PER_ANCHOR).bit_length())
 
 
 def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
@@ -131,6 +133,51 @@ def repeated_cells(docs: DataFrame, cells: int, window: int = WINDOW, anchor: in
     return bits.reshape(ROWS, cells // 8)
 
 
+def repeated_anchors(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, tag, anchor): the anchors of each document of ``docs`` (id, text, tag) whose cells are all counted twice or more, by a sketch dealt
+    over the executors. Each comes once for a document and batch."""
+    cell = [f"cell{r}" for r in range(ROWS)]
+
+    def starts(batches):
+        hasher = RunHasher(1)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for a, b in slices(texts):
+                found = Windows(texts[a:b], hasher, window, anchor).starts
+                for r in range(ROWS):
+                    own, count = np.unique(_cells(found, r, cells), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r, np.int32)), pa.array(own), pa.array(count)], names=["row", "cell", "n"])
+
+    def asked(batches):
+        hasher = RunHasher(1)
+        for batch in batches:
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for a, b in slices(texts):
+                w = Windows(texts[a:b], hasher, window, anchor)
+                text = w.words.text_of[w.at]
+                new = np.ones(len(text), bool)  # runs of windows with one anchor
+                new[1:] = (text[1:] != text[:-1]) | (w.anchors[1:] != w.anchors[:-1])
+                own, text = w.anchors[new], text[new]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(tags[a:b][text]), pa.array(own.view(np.int64)), *(pa.array(_cells(own, r, cells)) for r in range(ROWS))], names=["id", "tag", "anchor", *cell])
+
+    counted = docs.select("text").mapInArrow(starts, "row int, cell long, n long").groupBy("row", "cell").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = stored(counted.select("row", "cell"), "cells")
+    found = docs.select("id", "tag", "text").mapInArrow(asked, f"id long, tag long, anchor long, {', '.join(f'{c} long' for c in cell)}")
+    for r, c in enumerate(cell):
+        found = found.join(counted.where(F.col("row") == r).select(F.col("cell").alias(c)), c, "left_semi")
+    return found.select("id", "tag", "anchor")
+
+
+def _estimator(bits, known: list[list[int] | None]):
+    """A test of anchors: by the broadcast sketch, or by the repeated anchors ``known`` of the same documents (an estimate is the anchor's, whichever
+    document has it)."""
+    if bits is not None:
+        return lambda anchors: _estimated_repeated(anchors, bits.value)
+    own = np.array([a for x in known if x for a in x], np.int64).view(np.uint64)
+    return lambda anchors: np.isin(anchors, own)
+
+
 def _estimated_repeated(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """True where every row of the sketch counts the anchor twice or more."""
     out = np.ones(len(anchors), bool)
@@ -141,24 +188,24 @@ def _estimated_repeated(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def single_windows(docs: DataFrame, bits, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, tag, pos): the windows estimated repeated that occur once in all documents. ``bits``: a broadcast; ``docs``:
-    (doc_id, text, tag), tag telling apart rows that share a doc_id but not a text."""
+    """(doc_id, tag, pos): the windows estimated repeated that occur once in all documents. ``bits``: a broadcast, or None; ``docs``:
+    (doc_id, text, tag, known), tag telling apart rows that share a doc_id but not a text, known the repeated anchors without ``bits``."""
 
     def candidates(batches):
         hasher = RunHasher(1)
         for batch in batches:
             ids, tags = (np.array(batch.column(c).fill_null(0)) for c in (0, 2))
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts, known = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], batch.column(3).to_pylist()
             for a, b in slices(texts):
                 w = Windows(texts[a:b], hasher, window, anchor)
-                at = w.at[_estimated_repeated(w.anchors, bits.value)]
+                at = w.at[_estimator(bits, known[a:b])(w.anchors)]
                 for k in range(0, len(at), DIGESTS):  # digests are Python objects: few at a time
                     part = at[k : k + DIGESTS]
                     text, pos = w.words.text_of[part], part - w.words.first[w.words.text_of[part]]
                     digests = np.frombuffer(w.digests(part, window), "<i8").reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(ids[a:b][text]), pa.array(tags[a:b][text]), pa.array(pos.astype(np.int32))], names=["h", "h2", "doc_id", "tag", "pos"])
 
-    rows = docs.select("doc_id", "text", "tag").mapInArrow(candidates, "h long, h2 long, doc_id long, tag long, pos int")
+    rows = docs.select("doc_id", "text", "tag", "known").mapInArrow(candidates, "h long, h2 long, doc_id long, tag long, pos int")
     alone = rows.groupBy("h", "h2").agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("doc_id", "tag", "pos"))).where("n = 1")  # least of one
     return alone.select("doc_id", "tag", "pos")
 
@@ -172,21 +219,29 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     carried = [] if rest is None else [rest]
     docs = texts_of(docs, *carried)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, sketch_cells(n_bytes), window, anchor))
+    cells = sketch_cells(n_bytes)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"), F.coalesce("doc_id", F.lit(0)).alias("id"), *(F.col(c).alias("carried") for c in carried))
+    if cells <= MAX_CELLS:
+        bits = spark.sparkContext.broadcast(repeated_cells(docs, cells, window, anchor))
+        keyed = keyed.withColumn("known", F.lit(None).cast("array<long>"))
+    else:
+        bits = None
+        known = repeated_anchors(keyed, cells, window, anchor).groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("anchor").alias("known"))  # of one document
+        known = stored(known, "anchors")
+        keyed = keyed.join(known, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").drop("_id", "_tag")
     alone = single_windows(keyed, bits, window, anchor).groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_list("pos").alias("alone"))  # of one document
-    joined = keyed.join(alone, ["id", "tag"], "left").select("doc_id", "text", "alone", *["carried"] * len(carried))
+    joined = keyed.join(alone, ["id", "tag"], "left").select("doc_id", "text", "alone", "known", *["carried"] * len(carried))
 
     def removed(batches):
         hasher = RunHasher(1)
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
-            texts, alone = [t or b"" for t in raw], batch.column(2).to_pylist()
+            texts, alone, known = [t or b"" for t in raw], batch.column(2).to_pylist(), batch.column(3).to_pylist()
             kept, n_words, n_removed = [], [], []
             for a, b in slices(texts):
                 w = Windows(texts[a:b], hasher, window, anchor)
                 repeated = np.zeros(len(w.words.starts) + 1, np.int64)
-                repeated[w.at[_estimated_repeated(w.anchors, bits.value)]] = 1
+                repeated[w.at[_estimator(bits, known[a:b])(w.anchors)]] = 1
                 for i in range(a, b):
                     if alone[i]:
                         repeated[w.words.first[i - a] + np.array(alone[i])] = 0
@@ -205,7 +260,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     kept.append(None if raw[i] is None else b" ".join(runs))
                     n_words.append(n)
                     n_removed.append(n - int(stays.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *batch.columns[3:]], names=["doc_id", "kept", "n_words", "n_removed", *["carried"] * len(carried)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), *batch.columns[4:]], names=["doc_id", "kept", "n_words", "n_removed", *["carried"] * len(carried)])
 
     fields = StructType().add("doc_id", "long").add("kept", "string").add("n_words", "long").add("n_removed", "long")
     for c in carried:

@@ -88,6 +88,33 @@ def test_no_estimate_is_below_the_count():
     assert all(counted[a] >= exact[k] for a, k in zip(windows.anchors.tolist(), keys))
 
 
+def test_a_dealt_sketch_equals_brute_force(spark, small_docs, edge_docs, monkeypatch):
+    """Beyond MAX_CELLS: the sketch's cells are rows, and anchors are joined to them."""
+    monkeypatch.setattr(substring, "MAX_CELLS", 1)
+    assert result(substring.repeated_words(small_docs)) == brute_force([(r.doc_id, r.text) for r in small_docs.collect()], substring.WINDOW)
+    rows = [(r.doc_id, r.text) for r in edge_docs.collect() if r.doc_id != 8]
+    assert result(substring.repeated_words(edge_docs.where("doc_id is null or doc_id != 8"))) == brute_force(rows, substring.WINDOW)
+    assert substring.repeated_words(edge_docs.limit(0)).count() == 0 and substring.without_repeats(edge_docs).columns == edge_docs.columns
+
+
+def test_a_dealt_sketch_rejects_single_windows_at_any_size(spark, monkeypatch):
+    """As text grows tenfold the share of single windows that pass stays; the few repeated ones all pass."""
+    rng = random.Random(5)
+    monkeypatch.setattr(substring, "MIN_CELLS", 64)
+    shares = []
+    for n in (40, 400):
+        rows = [(k, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))) for k in range(n)]
+        shared = " ".join(f"shared{k}" for k in range(40))
+        rows[3], rows[7] = (3, f"{rows[3][1]} {shared}"), (7, f"{shared} {rows[7][1]}")
+        docs = spark.createDataFrame(rows, "id long, text string").withColumn("tag", substring.F.lit(0).cast("long"))
+        cells = substring.sketch_cells(sum(len(t) for _, t in rows))
+        found = substring.repeated_anchors(docs, cells).collect()
+        every = sum(len(set(substring.Windows([t.encode()], RunHasher(1), 35, 12).anchors.tolist())) for _, t in rows)
+        assert {r.id for r in found} >= {3, 7}
+        shares.append(len(found) / every)
+    assert max(shares) < 0.15 and shares[1] < 2 * shares[0] + 0.05
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 50, 101).astype(np.uint64)
     for width in (1, 2, 7, 101):
