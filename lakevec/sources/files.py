@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_FILE_BYTES = 50 << 20
+#: Of all parts of a packed file together, as they are unpacked.
+MAX_UNPACKED_BYTES = 256 << 20
 #: Fixed lists: what each parser takes.
 TEXT = ("txt", "text", "log", "rst", "csv", "tsv", "json", "jsonl", "yaml", "yml", "toml")
 MARKDOWN, HTML = ("md", "markdown", "mdx"), ("html", "htm", "xhtml")
@@ -76,8 +78,29 @@ def _xml_text(data: bytes) -> str:
     return " ".join(t.strip() for t in ElementTree.fromstring(data).itertext() if t.strip())
 
 
+class Unpacked:
+    """What may still be unpacked of one file; more than MAX_UNPACKED_BYTES is an error before it is in memory."""
+
+    def __init__(self):
+        self.left = MAX_UNPACKED_BYTES
+
+    def _took(self, data: bytes) -> bytes:
+        self.left -= len(data)
+        if self.left < 0:
+            raise ValueError(f"more than {MAX_UNPACKED_BYTES} bytes when unpacked")
+        return data
+
+    def member(self, z: zipfile.ZipFile, name: str) -> bytes:
+        with z.open(name) as f:
+            return self._took(f.read(self.left + 1))
+
+    def inflated(self, data: bytes) -> bytes:
+        return self._took(zlib.decompressobj().decompress(data, self.left + 1))
+
+
 def office_text(content: bytes, ext: str) -> str:
     """Text of an office file: its parts one per line; a sheet begins with a heading of its name."""
+    unpacked = Unpacked()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         if ext in ("docx", "docm"):
@@ -87,23 +110,23 @@ def office_text(content: bytes, ext: str) -> str:
         elif ext in ("pptx", "pptm"):
             wanted = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         else:
-            return _sheets(z, names)
-        return "\n".join(t for t in (_xml_text(z.read(n)) for n in wanted if n in names) if t)
+            return _sheets(z, names, unpacked)
+        return "\n".join(t for t in (_xml_text(unpacked.member(z, n)) for n in wanted if n in names) if t)
 
 
-def _sheets(z: zipfile.ZipFile, names: set[str]) -> str:
+def _sheets(z: zipfile.ZipFile, names: set[str], unpacked: Unpacked) -> str:
     local = lambda e: e.tag.rpartition("}")[2]
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(si.itertext()).strip() for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
+        shared = ["".join(si.itertext()).strip() for si in ElementTree.fromstring(unpacked.member(z, "xl/sharedStrings.xml")) if local(si) == "si"]
     titles = []
     if "xl/workbook.xml" in names:
-        titles = [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"]
+        titles = [e.get("name") for e in ElementTree.fromstring(unpacked.member(z, "xl/workbook.xml")).iter() if local(e) == "sheet"]
     sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
     out = []
     for i, name in enumerate(sheets):
         cells = []
-        for c in ElementTree.fromstring(z.read(name)).iter():
+        for c in ElementTree.fromstring(unpacked.member(z, name)).iter():
             if local(c) == "c" and c.get("t") == "s":
                 v = next((e.text for e in c if local(e) == "v"), None)
                 cells.append(shared[int(v)] if v and int(v) < len(shared) else "")
@@ -130,11 +153,11 @@ def pdf_text(content: bytes) -> str:
     if b"/Encrypt" in content:
         raise ValueError("encrypted")
     shown = lambda raw: _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else _LETTERS.get(m[1], m[1]), raw)
-    pages = []
+    pages, unpacked = [], Unpacked()
     for header, data in _STREAM.findall(content):
         if b"/FlateDecode" in header:
             try:
-                data = zlib.decompressobj().decompress(data)
+                data = unpacked.inflated(data)
             except zlib.error:
                 continue  # not text, or damaged: other pages go on
         elif b"/Filter" in header:

@@ -98,19 +98,26 @@ def drop_table(spark: SparkSession, namespace: list[str], name: str) -> None:
     spark.sql(f"DROP TABLE `{_name(namespace)}`.`{name}`")
 
 
-def read_csv(spark: SparkSession, path: str, fields: list[dict], optional: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, fields: list[dict], optional: bool = False, multi_line: bool = True, rejects: str | None = None) -> DataFrame:
     """A CSV file with a header as a table of the declared fields, found by name in any case and cast; what does not cast, and a column
-    that the file lacks, is null. A missing file is an error, or with ``optional`` an empty table."""
+    that the file lacks, is null. A missing file is an error, or with ``optional`` an empty table.
+
+    ``multi_line``: values may hold line breaks, for which a file is one task; without it, a file is read in pieces. ``rejects``: a column of the
+    names of the fields whose value did not cast."""
     schema = spark_schema(fields)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
         if optional:
-            return spark.createDataFrame([], schema)
+            none = spark.createDataFrame([], schema)
+            return none if rejects is None else none.withColumn(rejects, F.array().cast("array<string>"))
         raise NotFound(path)
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     found = {c.lower(): c for c in raw.columns}
     name = lambda f: found.get(f.name.lower())
-    return raw.select(*((F.col(f"`{name(f)}`").try_cast(f.dataType) if name(f) else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
+    value = lambda f: F.col(f"`{name(f)}`").try_cast(f.dataType) if name(f) else F.lit(None).cast(f.dataType)
+    bad = [F.when(F.col(f"`{name(f)}`").isNotNull() & value(f).isNull(), f.name) for f in schema if name(f)]
+    more = [] if rejects is None else [F.array_compact(F.array(*bad)).cast("array<string>").alias(rejects)]
+    return raw.select(*(value(f).alias(f.name) for f in schema), *more)
 
 
 def insert_csv(target: DataFrame, path: str, fields: list[dict]) -> DataFrame:
