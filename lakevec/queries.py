@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakevec import names
 from lakevec.functions.distance import cosine_distance, euclidean_distance
 from lakevec.functions.json_filter import compile_filter
+from lakevec.functions.typed_meta import compile_typed, with_fields
 from lakevec.operators import chunks, dml, ingest, ivf, pq, temporal, vectors
 from lakevec.plans import pivot as pv
 from lakevec.plans import sql as sqltool
@@ -694,6 +695,16 @@ def session_window(spark, sf):
     return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("s")).agg(F.count("*").alias("n"), F.min("ts").alias("start")).select("user_id", "start", "n")
 
 
+@query(f"WITH {VEC_SQL} SELECT key, meta FROM v WHERE label >= 3 AND label < 7 AND vec_id % 5 IN (1, 2) OR label = 9 AND vec_id % 5 = 4")
+def filter_typed(spark, sf):
+    """A filter whose fields are declared: stored beside the metadata in order of the label, comparisons reach the scan."""
+    path, fields = scratch_path(spark, "typed"), {"label": "double", "tier": "double"}
+    with_fields(_vectors(spark, sf), fields).repartitionByRange("meta_label").sortWithinPartitions("meta_label").write.parquet(path)
+    drop_at_exit(spark, path)
+    spec = {"$or": [{"label": {"$gte": 3, "$lt": 7}, "tier": {"$in": [1, 2]}}, {"$and": [{"label": 9}, {"tier": {"$eq": 4}}]}]}
+    return spark.read.parquet(path).where(compile_typed(spec, F.col("meta"), fields)).select("key", "meta")
+
+
 # ---------------------------------------------------------------- joins by order
 
 
