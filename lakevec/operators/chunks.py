@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakevec.errors import Validation
+from lakevec.functions.sentences import unicode_sentences
 
 CHARS_PER_TOKEN, SIZE, OVERLAP = 4, 400, 80
 #: Fixed names of the standard metadata.
@@ -89,6 +90,34 @@ def chunk_sentence(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.where(F.length("text") > 0).select("*", F.posexplode(packed("text")).alias("chunk_idx", "chunk"))
 
 
+def packed_whole(sentences: list[str], limit: int) -> list[str]:
+    """Sentences put together as they stand while they fit ``limit`` characters, trimmed; a longer one is cut, its pieces stand alone."""
+    out, held, length = [], [], 0
+    for sentence in sentences:
+        if held and length + len(sentence) > limit:
+            out.append("".join(held))
+            held, length = [], 0
+        if len(sentence) > limit:
+            out += [sentence[at : at + limit] for at in range(0, len(sentence), limit)]
+        else:
+            held.append(sentence)
+            length += len(sentence)
+    return [piece for piece in (c.strip() for c in [*out, "".join(held)]) if piece]
+
+
+def chunk_unicode_sentence(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Sentences of any script (``functions.sentences``) packed while they fit ``size`` tokens; those without a letter or a digit are left
+    out. Null and empty texts give no chunk."""
+    limit = size * CHARS_PER_TOKEN
+
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: packed_whole(unicode_sentences(t or ""), limit))
+
+    packed = F.pandas_udf(pack, "array<string>")
+    return docs.where(F.length("text") > 0).select("*", F.posexplode(packed("text")).alias("chunk_idx", "chunk"))
+
+
 def headings(text: str) -> list[tuple[int, int, str]]:
     """(start, level, title) of the ATX and Setext headings outside code fences."""
     out, at, fence, above = [], 0, "", None

@@ -55,7 +55,7 @@ def embed_with(provider: EmbeddingProvider):
     return F.pandas_udf(run, "array<float>")
 
 
-CHUNKERS = {"off": chunks.chunk_off, "fixed": chunks.chunk_fixed, "sentence": chunks.chunk_sentence, "markdown": chunks.chunk_markdown}
+CHUNKERS = {"off": chunks.chunk_off, "fixed": chunks.chunk_fixed, "sentence": chunks.chunk_unicode_sentence, "stops": chunks.chunk_sentence, "markdown": chunks.chunk_markdown}
 KEYS = {
     "content-hash": lambda: chunks.content_key(F.col("source"), F.col("chunk_idx"), F.col("chunk")),
     "filename": lambda: chunks.file_key(F.col("source"), F.col("chunk_idx")),

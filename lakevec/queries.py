@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakevec import names
 from lakevec.functions.distance import cosine_distance, euclidean_distance
 from lakevec.functions.json_filter import compile_filter
+from lakevec.functions.sentences import sentences
 from lakevec.functions.typed_meta import compile_typed, with_fields
 from lakevec.operators import chunks, dml, ingest, ivf, pq, temporal, vectors
 from lakevec.plans import pivot as pv
@@ -410,6 +411,28 @@ def chunk_sentence(spark, sf):
     return chunks.chunk_sentence(_docs(spark, sf)).select("doc_id", "chunk_idx", "chunk")
 
 
+#: Boundaries are marked after every stop and line break, then marks are taken back rule by rule; twice where two places may overlap.
+_STOP, _TAIL = r"[.!?]", r"""["'()\[\]{}\p{Ps}\p{Pe}\p{Pi}\p{Pf}]*[\p{Zs}\t\x0B\f]*"""
+UNICODE_SENTENCES_SQL = rf"""m AS (SELECT doc_id, regexp_replace(text, '({_STOP}{_TAIL.replace("'", "''")}(?:\r\n|[\r\n])?|\r\n|[\r\n])', '\1' || chr(1), 'g') AS x FROM documents WHERE length(text) > 0),
+m2 AS (SELECT doc_id, {"regexp_replace(" * 2}x{rf""", '({_STOP}{_TAIL.replace("'", "''")})\x01([-,:.!?])', '\1\2', 'g')""" * 2} AS x FROM m),
+m3 AS (SELECT doc_id, {"regexp_replace(" * 3}x, '\.\x01(\p{{Nd}})', '.\1', 'g'){r""", '([\p{Lu}\p{Lt}\p{Ll}]\.)\x01([\p{Lu}\p{Lt}])', '\1\2', 'g')""" * 2} AS x FROM m2),
+m4 AS (SELECT doc_id, regexp_replace(x, '(\.{_TAIL.replace("'", "''")})\x01([^\p{{L}}\r\n.!?\x01]*\p{{Ll}})', '\1\2', 'g') AS x FROM m3),
+s AS (SELECT doc_id, list_filter(string_split(x, chr(1)), lambda y: regexp_matches(y, '[\p{{L}}\p{{N}}]')) AS x FROM m4)"""
+
+
+@query(f"""WITH {UNICODE_SENTENCES_SQL} SELECT doc_id, (generate_subscripts(x, 1) - 1)::INT AS sentence_idx, unnest(x) AS sentence FROM s WHERE len(x) > 0""")
+def doc_sentences(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sentence_idx", "sentence"))
+
+
+@query(f"""WITH {UNICODE_SENTENCES_SQL}, p AS (SELECT doc_id, list_transform(x, lambda y: CASE WHEN length(y) > 1600 THEN chr(1) || array_to_string(list_transform(range(0, length(y), 1600), lambda i: substring(y, i + 1, 1600)), chr(1)) || chr(1) ELSE y END) AS x FROM s WHERE len(x) > 0),
+r AS (SELECT doc_id, list_reduce(x, lambda a, b: CASE WHEN b LIKE chr(1) || '%' THEN a || b WHEN length(split_part(a, chr(1), -1)) + length(b) <= 1600 THEN a || b ELSE a || chr(1) || b END) AS x FROM p),
+c AS (SELECT doc_id, list_filter(list_transform(string_split(x, chr(1)), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13))), lambda y: y <> '') AS x FROM r)
+SELECT doc_id, (generate_subscripts(x, 1) - 1)::INT AS chunk_idx, unnest(x) AS chunk FROM c WHERE len(x) > 0""")
+def chunk_unicode_sentence(spark, sf):
+    return chunks.chunk_unicode_sentence(_docs(spark, sf)).select("doc_id", "chunk_idx", "chunk")
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT source, chunk_idx, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> '' ORDER BY source, chunk_idx LIMIT 100")
 def chunk_cap(spark, sf):
     return chunks.capped(chunks.chunk_fixed(_docs(spark, sf)), 100).select("source", "chunk_idx", F.md5("chunk").alias("chunk_md5"))
