@@ -40,6 +40,13 @@ def chunk_off(docs: DataFrame) -> DataFrame:
     return docs.where(F.length("text") > 0).withColumn("chunk_idx", F.lit(0)).withColumn("chunk", F.col("text"))
 
 
+def fixed_windows(text: str, window: int, step: int) -> list[tuple[int, str]]:
+    """``chunk_fixed`` of one text, for table functions."""
+    last = max(0, -(-(len(text) - window) // step))
+    cut = ((i, text[i * step : i * step + window].strip(" ")) for i in range(last + 1))
+    return [(i, piece) for i, piece in cut if piece]
+
+
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, back_off: int = 0) -> DataFrame:
     """Windows of ``size`` tokens every ``size - overlap``, trimmed, blank ones left out; the last reaches the end.
 
@@ -154,29 +161,31 @@ def md_sections(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.explode(sections("text")).alias("h")).select("*", "h.start", "h.level", "h.title").drop("h")
 
 
+def markdown_regions(text: str, window: int, step: int) -> list[dict]:
+    """(chunk_idx, chunk, section_path) of one text: a region for each heading and one before the first, cut by windows."""
+    found, path, out, last = headings(text), [], [], 0
+    edges = [(0, 0, ""), *found] if not found or found[0][0] > 0 else found
+    for (start, level, title), end in zip(edges, [*(s for s, _, _ in edges[1:]), len(text)]):
+        if level:
+            path = [p for p in path if p[0] < level] + [(level, title)]
+        region = text[start:end].strip(" ")
+        parts = max(0, -(-(len(region) - window) // step)) + 1 if len(region) > window else 1
+        for i in range(parts):
+            chunk = region[i * step : i * step + window].strip(" ")
+            if chunk.strip():
+                out.append({"chunk_idx": last, "chunk": chunk, "section_path": [t for _, t in path]})
+                last += 1
+    return out
+
+
 def chunk_markdown(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """One region per heading (and one before the first), cut by windows where it is longer than ``size`` tokens; each
     chunk knows the titles above it, outermost first."""
     window, step = windows(size, overlap)
 
-    def regions(text: str) -> list[dict]:
-        found, path, out, last = headings(text), [], [], 0
-        edges = [(0, 0, ""), *found] if not found or found[0][0] > 0 else found
-        for (start, level, title), end in zip(edges, [*(s for s, _, _ in edges[1:]), len(text)]):
-            if level:
-                path = [p for p in path if p[0] < level] + [(level, title)]
-            region = text[start:end].strip(" ")
-            parts = max(0, -(-(len(region) - window) // step)) + 1 if len(region) > window else 1
-            for i in range(parts):
-                chunk = region[i * step : i * step + window].strip(" ")
-                if chunk.strip():
-                    out.append({"chunk_idx": last, "chunk": chunk, "section_path": [t for _, t in path]})
-                    last += 1
-        return out
-
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: regions(t or ""))
+            yield texts.map(lambda t: markdown_regions(t or "", window, step))
 
     chunks = F.pandas_udf(find, "array<struct<chunk_idx:int,chunk:string,section_path:array<string>>>")
     return docs.select("*", F.explode(chunks("text")).alias("c")).select("*", "c.chunk_idx", "c.chunk", "c.section_path").drop("c")

@@ -15,6 +15,7 @@ from lakevec.functions.typed_meta import compile_typed, with_fields
 from lakevec.operators import chunks, dml, ingest, ivf, pq, temporal, vectors
 from lakevec.plans import pivot as pv
 from lakevec.plans import sql as sqltool
+from lakevec.plans import udtf
 from lakevec.sources import files, keyed, snapshot, tables
 from lakevec.sources.scratch import drop_at_exit, scratch_path
 from lakevec.streaming.ingest import windowed_counts
@@ -396,6 +397,13 @@ def chunk_fixed(spark, sf):
     return chunks.chunk_fixed(_docs(spark, sf)).select("doc_id", "chunk_idx", "chunk")
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_idx, chunk FROM c WHERE chunk <> ''")
+def sql_chunk_fixed(spark, sf):
+    """The same by the table function, called from SQL."""
+    udtf.register(spark)
+    return spark.sql("SELECT doc_id, chunk_idx, chunk FROM chunk(TABLE({docs}), 'fixed', 400, 80)", docs=_docs(spark, sf).drop("source"))
+
+
 @query(rf"""WITH {CHUNKS_SQL} SELECT doc_id, chunk_idx, trim(CASE WHEN regexp_matches(substring(text, chunk_idx * 1280 + 1601, 1), '\S') AND regexp_extract(substring(text, chunk_idx * 1280 + 1, 1600), '(?s)^(.*\s)\S{{1,128}}\z', 1) <> ''
 THEN regexp_extract(substring(text, chunk_idx * 1280 + 1, 1600), '(?s)^(.*\s)\S{{1,128}}\z', 1) ELSE substring(text, chunk_idx * 1280 + 1, 1600) END, ' ') AS chunk FROM (SELECT c.*, text FROM c JOIN documents USING (doc_id)) WHERE chunk <> ''""")
 def chunk_fixed_words(spark, sf):

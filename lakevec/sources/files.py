@@ -22,6 +22,7 @@ TEXT = ("txt", "text", "log", "rst", "csv", "tsv", "json", "jsonl", "yaml", "yml
 MARKDOWN, HTML = ("md", "markdown", "mdx"), ("html", "htm", "xhtml")
 OFFICE = ("docx", "docm", "pptx", "pptm", "odt", "odp", "xlsx", "xlsm")
 PDF = ("pdf",)
+KNOWN = (*TEXT, *MARKDOWN, *HTML, *OFFICE, *PDF)
 INLINE = "<text-value>"
 
 
@@ -183,6 +184,17 @@ def inline(spark: SparkSession, text: str) -> DataFrame:
     return row.select("*", F.sha2("text", 256).alias("content_hash"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("reason"))
 
 
+def parsed(ext: str, content: bytes | None) -> tuple[str, str | None, bool, str | None]:
+    """(kind, text, failed, reason) of one file of a known extension."""
+    kind = "text" if ext in TEXT else "markdown" if ext in MARKDOWN else "html" if ext in HTML else "pdf" if ext in PDF else "office"
+    try:
+        content = bytes(content or b"")
+        text = office_text(content, ext) if kind == "office" else pdf_text(content) if kind == "pdf" else content.decode("utf-8", "replace")
+        return kind, html_text(text) if kind == "html" else text, False, None
+    except Exception as e:  # a damaged file is reported, the others go on
+        return kind, None, True, f"{type(e).__name__}: {e}"
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """(source, kind, text, content_hash, failed, reason): files of a known kind; a file that cannot be read has failed set and
     says why."""
@@ -191,15 +203,11 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                kind = "text" if r.ext in TEXT else "markdown" if r.ext in MARKDOWN else "html" if r.ext in HTML else "pdf" if r.ext in PDF else "office"
-                try:
-                    text = office_text(r.content, r.ext) if kind == "office" else pdf_text(r.content) if kind == "pdf" else r.content.decode("utf-8", "replace")
-                    rows.append((r.source, kind, html_text(text) if kind == "html" else text, r.content_hash, False, None))
-                except Exception as e:  # a damaged file is reported, the others go on
-                    rows.append((r.source, kind, None, r.content_hash, True, f"{type(e).__name__}: {e}"))
+                kind, text, failed, reason = parsed(r.ext, r.content)
+                rows.append((r.source, kind, text, r.content_hash, failed, reason))
             yield pd.DataFrame(rows, columns=["source", "kind", "text", "content_hash", "failed", "reason"])
 
-    known = files.where(F.col("ext").isin([*TEXT, *MARKDOWN, *HTML, *OFFICE, *PDF]))
+    known = files.where(F.col("ext").isin(*KNOWN))
     return known.select("source", "ext", "content", "content_hash").mapInPandas(run, "source string, kind string, text string, content_hash string, failed boolean, reason string")
 
 
