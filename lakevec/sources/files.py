@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakevec.sources.pdf import page_texts
+
 MAX_FILE_BYTES = 50 << 20
 #: Of all parts of a packed file together, as they are unpacked.
 MAX_UNPACKED_BYTES = 256 << 20
@@ -79,16 +81,23 @@ def _xml_text(data: bytes) -> str:
     return " ".join(t.strip() for t in ElementTree.fromstring(data).itertext() if t.strip())
 
 
+class TooLarge(ValueError):
+    pass
+
+
 class Unpacked:
     """What may still be unpacked of one file; more than MAX_UNPACKED_BYTES is an error before it is in memory."""
 
     def __init__(self):
         self.left = MAX_UNPACKED_BYTES
 
-    def _took(self, data: bytes) -> bytes:
-        self.left -= len(data)
+    def took(self, size: int) -> None:
+        self.left -= size
         if self.left < 0:
-            raise ValueError(f"more than {MAX_UNPACKED_BYTES} bytes when unpacked")
+            raise TooLarge(f"more than {MAX_UNPACKED_BYTES} bytes when unpacked")
+
+    def _took(self, data: bytes) -> bytes:
+        self.took(len(data))
         return data
 
     def member(self, z: zipfile.ZipFile, name: str) -> bytes:
@@ -147,12 +156,24 @@ _LETTERS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
 def pdf_text(content: bytes) -> str:
-    """Text that the content streams of a PDF show in one-byte encodings, one page (stream) after another by form feeds.
-    Files that are encrypted or show no such text are errors."""
-    if not content.lstrip().startswith(b"%PDF-"):
+    """Text that a PDF shows, one page after another by form feeds, in the order of its page tree and by its fonts' maps to Unicode. Where no
+    page tree can be found, content streams in the order of the file, in one-byte encodings. Files that are encrypted or show no text
+    that can be read are errors."""
+    content = content.lstrip()
+    if not content.startswith(b"%PDF-"):
         raise ValueError("no PDF header")
-    if b"/Encrypt" in content:
-        raise ValueError("encrypted")
+    unpacked = Unpacked()
+    pages = page_texts(content, unpacked.inflated, unpacked.took)
+    if pages is None:
+        if b"/Encrypt" in content:
+            raise ValueError("encrypted")
+        pages = _loose_streams(content)
+    if not any(pages):
+        raise ValueError("no text that can be read")
+    return "\f".join(pages)
+
+
+def _loose_streams(content: bytes) -> list[str]:
     shown = lambda raw: _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else _LETTERS.get(m[1], m[1]), raw)
     pages, unpacked = [], Unpacked()
     for header, data in _STREAM.findall(content):
@@ -173,9 +194,7 @@ def pdf_text(content: bytes) -> str:
             parts.append(b" ")
         if words := b"".join(parts).decode("cp1252", "replace").split():
             pages.append(" ".join(words))
-    if not pages:
-        raise ValueError("no text that can be read")
-    return "\f".join(pages)
+    return pages
 
 
 def inline(spark: SparkSession, text: str) -> DataFrame:
