@@ -72,6 +72,50 @@ def test_quality_scores_equal_plain_voting(spark, small_docs):
         assert abs(got[i] - sum(a * y[k] for a, (_, k) in zip(w, near)) / sum(w)) < 0.02
 
 
+def test_quality_latent_space_equals_a_plain_one(small_docs):
+    """Counts gram by gram, weights by their definition and a full singular value decomposition instead of the operator's own."""
+    texts = [(r.text or "").encode() for r in small_docs.orderBy("doc_id").limit(140).collect()] + [b"", b"ab", b"the the end"]
+
+    def shape(b):
+        c = chr(b)
+        return ord("a") if "a" <= c <= "z" or b > 127 else ord("A") if "A" <= c <= "Z" else ord("0") if "0" <= c <= "9" else b
+
+    def row(text):
+        out = [0.0] * quality.WIDTH
+        for f, seen in enumerate((text, bytes(map(shape, text)))):
+            for a, b, c in zip(seen, seen[1:], seen[2:]):
+                out[f * quality.FAMILY + (((a << 16 | b << 8 | c) * 2654435761) % 2**32 >> 22)] += 1
+        words = text.split()
+        out[-1] = sum(a == b for a, b in zip(words, words[1:]))
+        return out
+
+    plain = np.array([row(t) for t in texts])
+    assert (quality.counts(texts) == plain).all()
+    fit, rest = plain[:100], plain[100:]
+    idf = np.array([math.log(101 / (1 + sum(x > 0 for x in column))) + 0.1 for column in fit.T])
+
+    def unit(x):
+        return np.array([v / (np.sqrt((v * v).sum()) or 1) for v in x])
+
+    weighted = unit(np.log1p(fit) * idf)
+    _, values, axes = np.linalg.svd(weighted, full_matrices=False)
+    assert values[quality.DIMENSIONS - 1] - values[quality.DIMENSIONS] > 1e-4  # the kept axes are well defined
+    axes = axes[: quality.DIMENSIONS].T
+    want = unit(unit(np.log1p(rest) * idf) @ axes) @ unit(weighted @ axes).T
+    y = np.arange(100) % 2
+    model = quality.Model(quality.counts(texts[:100]), y)
+    got = model._unit(model._weighted(quality.counts(texts[100:])) @ model.projection) @ model.vectors.T
+    assert np.abs(got - want).max() < 2e-3
+    votes = []
+    for line in want:
+        near = np.argsort(-line)[: quality.NEIGHBOURS]
+        w = np.maximum(line[near], 0) ** quality.SHARPNESS
+        votes.append((w * y[near]).sum() / w.sum() if w.sum() else 0.5)
+    close = [np.sort(line)[-quality.NEIGHBOURS] - np.sort(line)[-quality.NEIGHBOURS - 1] > 4e-3 or not line.any() for line in want]
+    scores = model.score(quality.counts(texts[100:]))
+    assert sum(close) >= 10 and all(abs(s - v) < 0.02 for s, v, c in zip(scores, votes, close) if c)
+
+
 def test_quality_and_toxicity_edge_rows(spark, edge_docs, no_docs, small_docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("text", F.lit("clash"))
     odd = labels.select("doc_id", "quality", "toxic").union(spark.createDataFrame([(None, 1, 1), (5, None, None), (0, 0, 0), (0, 1, 1)], "doc_id long, quality int, toxic int"))
