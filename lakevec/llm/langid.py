@@ -1,11 +1,13 @@
 """Operator 7: language identification by multinomial naive Bayes over hashed character n-grams.
 
 Each text is lower-cased, runs of non-letters become one space, and its character 1-, 2- and 3-grams are hashed into
-BUCKETS. Training counts rows and grams by language over every training row: partitions pre-aggregate, the sums
-(languages times BUCKETS numbers) make the priors and the log-probability matrix, which is broadcast. Scoring gathers the matrix
-rows of a batch's grams and adds them up by document in numpy.
+BUCKETS. Training counts rows and grams by language over every training row: partitions pre-aggregate, and the sums are stored. They
+make the priors and the log-probability matrix, which is broadcast. Scoring gathers the matrix rows of a batch's grams and adds them
+up by document in numpy.
 
-The matrix is bounded as languages are: more than MAX_LANGUAGES different values of lang are refused, as they are none.
+The matrix is made and broadcast in blocks of BLOCK languages (34 MB each), however many values of lang there are. A row goes through the
+blocks one after another with the best language so far and the mass of all seen, so the posterior is exact; after CHAIN blocks
+the rows are stored. With BLOCK languages or fewer, texts are read once for the counts and once for the scores.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when there is nothing to
 learn from; ties go to the language first in order; the score is the posterior probability of the predicted language.
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevec.llm.shared import texts_of
+from lakevec.llm.shared import stored, texts_of
 from lakevec.llm.textkernel import slices
 
-BUCKET_BITS, SIZES, SMOOTHING, FOLDS, HELD_OUT, MAX_LANGUAGES = 15, (1, 2, 3), 0.5, 4, 2, 1000
+BUCKET_BITS, SIZES, SMOOTHING, FOLDS, HELD_OUT = 15, (1, 2, 3), 0.5, 4, 2
 BUCKETS = 1 << BUCKET_BITS
+#: Languages that the driver and a task hold at once, and blocks that follow each other unstored.
+BLOCK, CHAIN = 128, 4
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -53,77 +57,108 @@ def fold(doc_id, folds: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, bucket, n) over all rows of ``docs`` (text, lang); the count of rows stands under bucket -1."""
+def gram_counts(docs: DataFrame, held: int = BLOCK) -> DataFrame:
+    """(lang, bucket, n) over all rows of ``docs`` (text, lang); the count of rows stands under bucket -1. A task hands on its sums
+    when they are of ``held`` languages and another one comes."""
+
+    def handed(known, sums, rows):
+        for lang, k in known.items():
+            at = np.flatnonzero(sums[k, :BUCKETS])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows[k], sums[k, at]])], names=["lang", "bucket", "n"])
 
     def count(batches):
         known: dict[str, int] = {}
-        sums = np.zeros((0, BUCKETS + 1), np.int64)
-        rows = np.zeros(0, np.int64)
+        sums, rows = np.zeros((held, BUCKETS + 1), np.int64), np.zeros(held, np.int64)
         for batch in batches:
             texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            lang = np.array([known.setdefault(x, len(known)) for x in batch.column(1).to_pylist()], np.int64)
-            if len(known) > len(rows):
-                if len(known) > MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
-                grown = len(known) - len(rows)
-                sums, rows = np.vstack([sums, np.zeros((grown, BUCKETS + 1), np.int64)]), np.r_[rows, np.zeros(grown, np.int64)]
-            rows += np.bincount(lang, minlength=len(rows))
+            langs = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 buckets, starts = grams(texts[a:b])
-                own = np.repeat(lang[a:b], np.diff(np.r_[starts, len(buckets[0])]))
-                for k in np.unique(lang[a:b]).tolist():
-                    of = own == k if len(np.unique(lang[a:b])) > 1 else slice(None)
+                ends = np.r_[starts[1:], len(buckets[0])]
+                by_lang: dict[str, list[int]] = {}
+                for i, lang in enumerate(langs[a:b]):
+                    by_lang.setdefault(lang, []).append(i)
+                for lang, own in by_lang.items():
+                    if lang not in known and len(known) == held:
+                        yield from handed(known, sums, rows)
+                        known.clear()
+                        sums[:], rows[:] = 0, 0
+                    k = known.setdefault(lang, len(known))
+                    rows[k] += len(own)
+                    of = slice(None) if len(by_lang) == 1 else np.concatenate([np.arange(starts[i], ends[i]) for i in own])
                     for bucket in buckets:
                         sums[k] += np.bincount(bucket[of], minlength=BUCKETS + 1)
-        for lang, k in known.items():
-            at = np.flatnonzero(sums[k, :BUCKETS])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows[k], sums[k, at]])], names=["lang", "bucket", "n"])
+        yield from handed(known, sums, rows)
 
     return docs.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the matrix (BUCKETS + 1, languages) of log-probabilities, the last row that of the priors.
-    ``docs``: rows to learn from."""
+def train(docs: DataFrame) -> tuple[list[tuple[str, int]], DataFrame]:
+    """Languages in order, each with its rows, and the stored counts (lang, bucket, n). ``docs``: rows to learn from."""
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = gram_counts(docs).toPandas()  # MAX_LANGUAGES * (BUCKETS + 1) rows at most
-    langs = sorted(found["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((BUCKETS + 1, len(langs)))
-    np.add.at(counts, (found["bucket"].to_numpy(np.int64), np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else np.zeros(0, np.int64)), found["n"].to_numpy(np.float64))
-    prior, counts = counts[-1], counts[:-1] + SMOOTHING
-    return langs, np.vstack([np.log(counts / counts.sum(axis=0)), np.log(prior / prior.sum()) if langs else prior])
+    counts = stored(gram_counts(docs), "grams")
+    return sorted((r.lang, r.n) for r in counts.where("bucket = -1").collect()), counts  # a name and a number for each language
+
+
+def matrix(counts: DataFrame, langs: list[tuple[str, int]], rows: int) -> np.ndarray:
+    """(BUCKETS + 1, languages) of log-probabilities of a block of languages that follow each other, the last row that of the priors;
+    ``rows``: those of all languages."""
+    own = counts.where(F.col("lang").between(langs[0][0], langs[-1][0]) & (F.col("bucket") >= 0))
+    number = F.create_map(*(F.lit(x) for n, (lang, _) in enumerate(langs) for x in (lang, n)))
+    found = own.select("bucket", number[F.col("lang")].alias("k"), "n").toArrow()  # BLOCK * BUCKETS rows of 16 bytes at most
+    n = np.full((BUCKETS, len(langs)), SMOOTHING)
+    n[found["bucket"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
+    return np.vstack([np.log(n / n.sum(axis=0)), np.log(np.array([x for _, x in langs]) / rows)])
 
 
-def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+def _through(rows: DataFrame, names: list[str], weights: np.ndarray, first: bool, last: bool) -> DataFrame:
+    """One block of languages: (doc_id, text, lang_pred, top, mass), the best language so far, its logarithm and the sum of all
+    relative to it; of the last block (doc_id, lang_pred, score)."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches):
         prior = shared.value[-1]
         weights = np.vstack([shared.value[:-1], np.zeros(len(prior))])
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
-            pred, best = [], []
-            for a, b in slices([t or b"" for t in raw], max(20_000, 1_000_000 // max(1, len(langs)))):
+            pred = [None] * len(raw) if first else batch.column(2).to_pylist()
+            top, mass = (np.full(len(raw), -np.inf), np.zeros(len(raw))) if first else (batch.column(n).to_numpy().copy() for n in (3, 4))
+            for a, b in slices([t or b"" for t in raw], max(20_000, 1_000_000 // len(names))):
                 texts = [(t or b"").decode("utf-8", "replace") for t in raw[a:b]]
-                letters = [bool(langs) and any(map(str.isalpha, t)) for t in texts]
-                if not any(letters):
-                    pred, best = pred + ["und"] * (b - a), best + [0.0] * (b - a)
-                    continue
-                buckets, starts = grams(texts)
-                log = prior + sum(np.add.reduceat(weights[bucket], starts, axis=0) for bucket in buckets)
-                log -= log.max(axis=1, keepdims=True)
-                p = np.exp(log)
-                p /= p.sum(axis=1, keepdims=True)
-                k = p.argmax(axis=1)
-                pred += [langs[j] if has else "und" for j, has in zip(k, letters)]
-                best += [float(x) if has else 0.0 for x, has in zip(p.max(axis=1), letters)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(best, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return texts_of(docs).mapInArrow(score, "doc_id long, lang_pred string, score double")
+                letters = [any(map(str.isalpha, t)) for t in texts]
+                if any(letters):
+                    buckets, starts = grams(texts)
+                    log = prior + sum(np.add.reduceat(weights[bucket], starts, axis=0) for bucket in buckets)
+                    best = log.max(axis=1)
+                    k = log.argmax(axis=1)
+                    new = np.maximum(best, top[a:b])
+                    for i in np.flatnonzero(best > top[a:b]).tolist():
+                        pred[a + i] = names[k[i]]
+                    mass[a:b] = mass[a:b] * np.exp(top[a:b] - new) + np.exp(log - new[:, None]).sum(axis=1)
+                    top[a:b] = new
+                if last:
+                    for i, has in enumerate(letters, a):
+                        pred[i], mass[i] = (pred[i], 1 / mass[i]) if has else ("und", 0.0)
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(mass)], names=["doc_id", "lang_pred", "score"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(top), pa.array(mass)], names=["doc_id", "text", "lang_pred", "top", "mass"])
+
+    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double" if last else "doc_id long, text string, lang_pred string, top double, mass double")
+
+
+def classify(docs: DataFrame, langs: list[tuple[str, int]], counts: DataFrame, block: int = BLOCK, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, by what ``train`` gave."""
+    rows, total = texts_of(docs), sum(n for _, n in langs)
+    if not langs:
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    starts = range(0, len(langs), block)
+    for k, at in enumerate(starts):
+        own = langs[at : at + block]
+        rows = _through(rows, [lang for lang, _ in own], matrix(counts, own, total), k == 0, k == len(starts) - 1)
+        if (k + 1) % chain == 0 and k < len(starts) - 1:
+            rows = stored(rows, "langid")
+    return rows
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,28 @@ def test_language_edge_rows(spark, edge_docs, no_docs, small_docs):
     assert {r.lang_pred for r in langid.classify(edge_docs, *langid.train(no_docs)).collect()} == {"und"}
 
 
+def test_languages_in_blocks_score_alike(spark, small_docs, edge_docs):
+    docs = small_docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 7).cast("string")))
+    langs, counts = langid.train(docs)
+    assert len(langs) > 20 and sum(n for _, n in langs) == docs.where("text is not null and lang is not null").count()
+    few = langid.gram_counts(docs.where("text is not null and lang is not null"), held=3)  # handed on every three languages
+    assert few.exceptAll(counts).count() == counts.exceptAll(few).count() == 0
+    both = small_docs.select("doc_id", "text").unionByName(edge_docs.select("doc_id", "text"))
+    once = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in langid.classify(both, langs, counts).collect())
+    for block, chain in ((9, 1), (4, 3)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in langid.classify(both, langs, counts, block, chain).collect())
+        assert [g[:3] for g in got] == [o[:3] for o in once] and np.allclose([g[3] for g in got], [o[3] for o in once], atol=1e-9)
+
+
+def test_ties_between_blocks_go_to_the_first_language(spark):
+    rows = [(x, f"l{n:03}") for n in range(300) for x in ("same words", "other words")]
+    langs, counts = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(1, "same"), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(docs, langs, counts).collect()}
+    assert len(langs) == 300 > 2 * langid.BLOCK and got[2] == ("und", 0.0)
+    assert got[1][0] == "l000" and abs(got[1][1] - 1 / 300) < 1e-9
+
+
 @pytest.mark.parametrize("name, column, folds, rest", [("op6_quality", "quality", 5, 0), ("op7_langid", "lang", 4, 2), ("op10_toxicity", "toxic", 5, 0)])
 def test_held_out_accuracy(spark, name, column, folds, rest):
     got = {r.doc_id: r for r in QUERIES[name](spark, SF).collect()}
