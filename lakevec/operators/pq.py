@@ -10,6 +10,9 @@ these up in a table of (part, centre) each; for many, a batch of codes becomes c
 does the same. Each task keeps the nearest k * RERANK rows of a query, a grouped top-k merges them, and the exact distance of these
 candidates decides. Every row is indexed; ``vectors.knn_join`` is the exact way.
 
+With ``exact`` no neighbour is lost: no row that is not a candidate is nearer than the last candidate's estimate less the index's radius, the
+greatest distance of a row from its centres. Queries whose k-th row is not surely nearer than that are searched again by ``vectors.knn_join``.
+
 The index is stored once: ``codes`` (list, key, codes), ``vectors`` (key, vec, meta) in order of the key, so that the candidates of a single
 query skip row groups, and ``book`` with the centres. Defined results: rows and queries without a vector are left out; a vector of another
 size than the codebook's is an error; zero vectors count as such (under cosine their distance is NaN and comes last); an empty
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from lakevec import names
 from lakevec.errors import Validation
+from lakevec.functions.distance import norm
 from lakevec.operators import ivf
-from lakevec.operators.vectors import NEAREST, Best, distances, matrix
+from lakevec.operators.vectors import NEAREST, Best, distances, knn_join, matrix
 from lakevec.sources.scratch import stored
 
 SUBSPACES, CENTRES, RERANK = 16, 256, 20
@@ -84,6 +88,7 @@ class Index:
     path: str
     book: Codebook
     centroids: np.ndarray
+    radius: float = float("inf")
 
     def codes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("key string, codes binary, list int").parquet(f"{self.path}/codes")
@@ -135,21 +140,24 @@ def write(vectors: DataFrame, path: str, metric: str = "cosine", lists: int = 16
                 continue
             x = matrix(batch.column("vec"), book.dimension)
             at = distances(np.nan_to_num(ivf._ready(x, book.metric)), centroids, "euclidean").argmin(axis=1)
-            codes = [c.tobytes() for c in book.encode(x)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary()), pa.array(at, pa.int32())], names=["key", "codes", "list"])
+            codes = book.encode(x)
+            radius = np.linalg.norm(book.ready(x) - book.decode(codes), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(at, pa.int32()), pa.array(radius)], names=["key", "codes", "list", "radius"])
 
-    rows.select("key", "vec").mapInArrow(coded, "key string, codes binary, list int").repartition("list", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/codes")
-    kept = [("book", m, k, c.tolist()) for m, part in enumerate(book.centres) for k, c in enumerate(part)] + [("list", 0, k, c.tolist()) for k, c in enumerate(centroids)]
+    rows.select("key", "vec").mapInArrow(coded, "key string, codes binary, list int, radius double").repartition("list", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/codes")
+    radius = spark.read.schema("radius double").parquet(f"{path}/codes").agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0]
+    kept = [("radius", 0, 0, [radius])] * len(centroids[:1]) + [("book", m, k, c.tolist()) for m, part in enumerate(book.centres) for k, c in enumerate(part)] + [("list", 0, k, c.tolist()) for k, c in enumerate(centroids)]
     book_rows = spark.createDataFrame(kept or [("list", -1, -1, [])], "kind string, part int, number int, centre array<double>")
     book_rows.select("*", F.lit(book.dimension).alias("dimension"), F.lit(metric).alias("metric")).coalesce(1).write.parquet(f"{path}/book")
-    return Index(path, book, centroids)
+    return Index(path, book, centroids, radius)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     rows = spark.read.parquet(f"{path}/book").orderBy("kind", "part", "number").collect()  # the centres: a bounded table
     book, lists = [r for r in rows if r.kind == "book"], [r.centre for r in rows if r.kind == "list" and r.number >= 0]
     centres = np.array([r.centre for r in book], np.float64).reshape(len(book) // CENTRES, CENTRES, len(book[0].centre))
-    return Index(path, Codebook(centres, rows[0].dimension, rows[0].metric), np.array(lists, np.float64).reshape(len(lists), rows[0].dimension))
+    radius = max((r.centre[0] for r in rows if r.kind == "radius"), default=float("inf"))
+    return Index(path, Codebook(centres, rows[0].dimension, rows[0].metric), np.array(lists, np.float64).reshape(len(lists), rows[0].dimension), radius)
 
 
 def probed(index: Index, q: np.ndarray, probes: int) -> np.ndarray:
@@ -158,7 +166,7 @@ def probed(index: Index, q: np.ndarray, probes: int) -> np.ndarray:
 
 
 def candidates(index: Index, keys: list[str], q: np.ndarray, n: int, probes: int | None, spark: SparkSession) -> DataFrame:
-    """(query_key, key): the ``n`` nearest rows of each query by estimated distance."""
+    """(query_key, key, distance): the ``n`` nearest rows of each query by estimated distance."""
     rows, near = index.codes(spark), None
     if probes is not None and probes < len(index.centroids):
         near = probed(index, q, probes)
@@ -188,21 +196,23 @@ def candidates(index: Index, keys: list[str], q: np.ndarray, n: int, probes: int
 
     found = rows.mapInArrow(scan, NEAREST)
     order = Window.partitionBy("query_key").orderBy("distance", "key")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_key", "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_key", "key", "distance")
 
 
-def knn(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
+def knn(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int | None = None, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """(query_key, key, distance, rank): the k nearest rows of each query (key, vec) among its k * ``rerank`` candidates, by exact distance
-    to 9 digits and key. ``probes``: lists that are read for a query, all without it.
+    to 9 digits and key. ``probes``: lists that are read for a query, all without it. ``exact``: the k nearest of all rows.
 
     Queries are dealt by hash into parts of at most about PART_BYTES with their tables and candidates. A part's candidates are stored, and
     broadcast to the vectors: that side is bounded, and no vector is shuffled.
     """
     names.top_k(k)
+    if exact and probes is not None:
+        raise Validation("an exact search reads all lists")
     known, book, n = queries.where("vec is not null").select("key", F.col("vec").cast("array<float>").alias("vec")), index.book, k * rerank
     each = book.centres.shape[0] * CENTRES * 8 + n * 64 + book.dimension * 16
     parts = -(-known.count() * each // PART_BYTES) if book.dimension else 0
-    out = spark.createDataFrame([], NEAREST)
+    out, edges = spark.createDataFrame([], NEAREST), spark.createDataFrame([], "query_key string, candidates long, edge double")
     for part in range(parts):
         own = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow()  # about PART_BYTES / each rows
         if not own.num_rows:
@@ -212,10 +222,34 @@ def knn(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: i
         rows = index.vectors(spark).select(F.col("key").alias("row_key"), "vec")
         if own.num_rows == 1:  # few enough to skip row groups by
             rows = rows.where(F.col("row_key").isin([r.key for r in near.select("key").collect()]))
-        meet = rows.join(F.broadcast(near), F.col("row_key") == F.col("key")).select("query_key", "key", "vec")
+        meet = rows.join(F.broadcast(near.select("query_key", "key")), F.col("row_key") == F.col("key")).select("query_key", "key", "vec")
         out = out.unionByName(meet.mapInArrow(_exact(spark.sparkContext.broadcast((keys, q)), book.metric), NEAREST))
+        edges = edges.unionByName(near.groupBy("query_key").agg(F.count("*").alias("candidates"), F.max("distance").alias("edge")))
     order = Window.partitionBy("query_key").orderBy(F.round("distance", 9), "key")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not exact or not parts:
+        return out
+    out = stored(out, "ranked")
+    again = stored(unsettled(index, known, out, edges, n), "unsettled")
+    settled = out.join(again.select(F.col("key").alias("query_key")), "query_key", "left_anti")
+    return settled.unionByName(knn_join(index.vectors(spark), again, k, book.metric))
+
+
+def unsettled(index: Index, queries: DataFrame, ranked: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """The ``queries`` (key, vec) a row of which that is no candidate may be among the nearest. ``ranked``: their k nearest candidates;
+    ``edges`` (query_key, candidates, edge): how many candidates, ``n`` unless that is all rows, and the last one's estimate.
+
+    Estimates are single-precision sums of products, so each may be off by that many roundings of what it is summed from.
+    """
+    last = ranked.groupBy("query_key").agg(F.max("distance").alias("last"))  # NaN is the greatest
+    off = F.lit(float(np.finfo(np.float32).eps) * (index.book.dimension + 8))
+    if index.book.metric == "cosine":
+        least = 1 + F.col("edge") - 2 * off - index.radius
+    else:
+        least = F.sqrt(F.greatest(F.col("edge") - off * (3 * norm(F.col("vec")) ** 2 + 2 * F.abs("edge")), F.lit(0.0))) - index.radius
+    sure = (F.col("candidates") < n) | (~F.isnan("last") & (F.col("last") + 1e-8 < least))
+    met = queries.join(edges.join(last, "query_key").withColumnRenamed("query_key", "key"), "key", "left")
+    return met.where(~F.coalesce(sure, F.lit(False))).select("key", "vec")
 
 
 def _exact(shared, metric: str):

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lakevec import queries
 from lakevec.errors import Validation
 from lakevec.operators import ivf, pq, vectors
 
@@ -77,6 +78,37 @@ def test_odd_vectors_and_no_rows(spark, tmp_path):
     assert pq.knn(spark, empty, rows, 3).count() == 0 and pq.load(spark, f"{tmp_path}/e").codes(spark).count() == 0
 
 
+def test_the_query_loses_no_neighbour(spark, tmp_path):
+    """Random vectors of 128 numbers, of which the 200 candidates by 16 bytes do not hold all neighbours."""
+    x = np.random.default_rng(8).normal(size=(6_000, 128))
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = queries._vectors(spark, str(tmp_path))
+    want = queries._near(vectors.knn_join(v, queries._queries(v), 10)).collect()
+    assert len(want) == 600 and sorted(queries.vec_pq_search(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_distances_are_rounded_as_in_the_sql(spark):
+    found = spark.createDataFrame([("q", "a", 0.5369654997350257, 1), ("q", "b", 0.559998499947612, 2), ("q", "c", float("nan"), 3)], "query_key string, key string, distance double, rank int")
+    got = [r.distance for r in queries._near(found).orderBy("rank").collect()]
+    assert got[:2] == [0.536966, 0.559999] and np.isnan(got[2])
+
+
+def test_only_queries_that_codes_leave_open_are_searched_again(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(40, 16)) * 1e-3, rng.normal(size=(2_000, 16))])
+    rows, asked = frame(spark, x), []
+    monkeypatch.setattr(pq, "knn_join", lambda v, q, *a: asked.append({r.key for r in q.collect()}) or vectors.knn_join(v, q, *a))
+    for metric in ("cosine", "euclidean"):
+        pq.write(rows, f"{tmp_path}/{metric}", metric, lists=4, subspaces=8)
+        index, own = pq.load(spark, f"{tmp_path}/{metric}"), rows.where("key like '%00'").unionByName(rows.where("key in ('k00003', 'k00030')"))
+        got = pq.knn(spark, index, own, 5, rerank=10, exact=True).collect()
+        want = vectors.knn_join(rows, own, 5, metric).collect()
+        assert {(r.query_key, r["rank"]): r.key for r in got} == {(r.query_key, r["rank"]): r.key for r in want}
+        assert asked[-1] and not asked[-1] & {"k00000", "k00003", "k00030"} and 0 < index.radius < np.inf
+    with pytest.raises(Validation):
+        pq.knn(spark, index, own, 5, probes=2, exact=True)
+
+
 def test_bounds_are_in_bytes(spark):
     rows = frame(spark, np.ones((50, 64)))
     assert ivf.sampled(rows, 1_000, 10 * 8 * 64).shape == (10, 64)
