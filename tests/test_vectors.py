@@ -71,6 +71,26 @@ def test_knn_join_equals_search_on_odd_vectors(spark, monkeypatch):
         vectors.knn_join(v, spark.createDataFrame([("x", [1.0])], "key string, vec array<float>"), 1).collect()
 
 
+def test_knn_join_holds_no_more_for_larger_batches():
+    """What a task takes for its distances, over batches of 2,000 and of 10,000 rows."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, most = np.random.default_rng(2), []
+    shared = SimpleNamespace(value=([f"q{i}" for i in range(512)], rng.normal(size=(512, 64)), None))
+    for n in (2_000, 10_000):
+        vecs = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 64).astype(np.float32)), 64).cast(pa.list_(pa.float32()))
+        batch = pa.RecordBatch.from_arrays([pa.array([f"k{i:05d}" for i in range(n)]), vecs], names=["key", "vec"])
+        tracemalloc.start()
+        found = sum(b.num_rows for b in vectors._nearest(shared, 20, "euclidean", 512)([batch]))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 512 * 20
+    assert most[1] < 1.5 * most[0] and most[1] < 16 * vectors.TILE_BYTES
+
+
 def test_upsert_get_delete(spark, index):
     changes = spark.createDataFrame([("near", [0.0] * 4, None, 1), ("near", [0.5] * 4, '{"v":2}', 2), ("new", [1.0] * 4, None, 1)], "key string, vec array<float>, meta string, seq int")
     after = {r.key: (r.vec, r.meta) for r in vectors.upsert(index, changes, "seq").collect()}
