@@ -134,6 +134,29 @@ def test_files(spark, folder):
     assert files.not_done(found, ledger).count() == found.count() - 1
 
 
+def test_files_are_parsed_by_slices(monkeypatch):
+    """What a task takes beside a batch of 40 MB is some slices; rows, nulls and files larger than a slice come as one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batch(contents):
+        columns = [[f"s{i}" for i in range(len(contents))], ["txt", "html"] * (len(contents) // 2), contents, [f"h{i}" for i in range(len(contents))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.string()))], names=["source", "ext", "content", "content_hash"])
+
+    large, texts = batch([b"some words \xe9 " * 300] * 10_000), 0
+    tracemalloc.start()
+    for part in files._parse(iter([large])):
+        texts += part.num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts == 10_000 and most < 6 * files.SLICE_BYTES
+    monkeypatch.setattr(files, "SLICE_BYTES", 8)
+    odd = [b"ab", b"<p>c</p>", b"long as nothing else", None, b"", b"<b>x"]
+    parts = list(files._parse(iter([batch([]), batch(odd)])))
+    assert len(parts) == 4 and [tuple(r.values()) for p in parts for r in p.to_pylist()] == [(f"s{i}", *files.parsed(e, c)[:2], f"h{i}", *files.parsed(e, c)[2:]) for i, (e, c) in enumerate(zip(["txt", "html"] * 3, odd))]
+
+
 def test_pipeline_query_and_stats(spark, folder):
     parsed = files.parse_files(files.read_files(spark, folder))
     tried = ingest.attempted(parsed, "fixed", "path", 64, size=100, overlap=20)
