@@ -157,6 +157,20 @@ def test_files_are_parsed_by_slices(monkeypatch):
     assert len(parts) == 4 and [tuple(r.values()) for p in parts for r in p.to_pylist()] == [(f"s{i}", *files.parsed(e, c)[:2], f"h{i}", *files.parsed(e, c)[2:]) for i, (e, c) in enumerate(zip(["txt", "html"] * 3, odd))]
 
 
+def test_counts_do_not_depend_on_slices(spark, folder):
+    """Every file in a slice of its own gives the rows of the default size."""
+    parsed = files.parse_files(files.read_files(spark, str(folder)))
+    batches = parsed.select("source", "text", "failed").toArrow()
+    rows = files.read_files(spark, str(folder)).where(F.col("ext").isin(*files.KNOWN)).select("source", "ext", "content", "content_hash").toArrow().to_batches()
+    saved, files.SLICE_BYTES = files.SLICE_BYTES, 1
+    try:
+        parts = list(files._parse(iter(rows)))
+    finally:
+        files.SLICE_BYTES = saved
+    one = {(r["source"], r["text"], r["failed"]) for p in parts for r in p.to_pylist()}
+    assert all(p.num_rows == 1 for p in parts) and one == {tuple(r.values()) for r in batches.to_pylist()} and len(one) == sum(p.num_rows for p in parts)
+
+
 def test_pipeline_query_and_stats(spark, folder):
     parsed = files.parse_files(files.read_files(spark, folder))
     tried = ingest.attempted(parsed, "fixed", "path", 64, size=100, overlap=20)
